@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import langid, media, mixing, quality, urlfilter
+from quorumlake.llm import langid, media, mixing, packing, quality, urlfilter
 from quorumlake.llm.common import documents
 
 ROWS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -21,6 +21,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
 def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -38,7 +45,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality, op4_mixing, op7_urlfilter, op8_langid, op10_media)}
+    return {f.__name__: f for f in (op3_quality, op4_mixing, op6_packing, op7_urlfilter, op8_langid, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
