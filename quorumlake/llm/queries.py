@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import langid, media, mixing, packing, quality, urlfilter
+from quorumlake.llm import langid, media, mixing, packing, pii, quality, urlfilter
 from quorumlake.llm.common import documents
 
 ROWS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -21,6 +21,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +50,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality, op4_mixing, op6_packing, op7_urlfilter, op8_langid, op10_media)}
+    return {f.__name__: f for f in (op3_quality, op4_mixing, op5_pii, op6_packing, op7_urlfilter, op8_langid, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
