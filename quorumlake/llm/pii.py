@@ -296,6 +296,10 @@ def spans_of(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def overlaps(s: Column, t: Column) -> Column:
     return (s["start"] < t["end"]) & (t["start"] < s["end"])
 
@@ -315,7 +319,7 @@ def detect(docs: DataFrame, models: dict[str, Model] | None = None) -> DataFrame
     )
     return (
         best.drop("own_candidates")
-        .withColumns({f"n_{k}": F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long") for n, k in enumerate(KINDS)})
+        .withColumns({f"n_{k}": F.size(_of_kind(F.col("base"), n)).cast("long") for n, k in enumerate(KINDS)})
         .withColumns({"base_spans": spans_of(F.col("base")), "spans": spans_of(F.concat("base", "added"))})
     )
 
