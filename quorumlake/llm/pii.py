@@ -83,6 +83,7 @@ def base_spans(text: Column, kind: str) -> Column:
 # Generators of candidates, each with the kinds that it may stand for, and its hint.
 GENERATORS = {
     "number": (r"(?<![\w.@=/-])[+(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,18}+(?![\w@])", ("card", "phone"), r"[0-9](?:[ ().\-/]{0,2}[0-9]){6}"),
+    "run": (r"(?<![\w.@=])[0-9]{12,19}+(?![\w@])", ("card",), r"[0-9]{12}"),
     "address": (rf"(?<![{LOCAL}])[A-Za-z0-9._%+-]{{1,64}}+ ?(?:@|[(\[](?i:at)[)\]]) ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:\.|[(\[](?i:dot)[)\]]) ?[A-Za-z0-9-]{{2,63}}+){{1,5}}+", ("email",), r"(?i)[(\[](?:at|dot)[)\]]"),
     "network": (r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|[(]\.[)])[0-9]{1,3}){3}+(?![0-9.])", ("ip",), r"[0-9][\[(]\.[\])][0-9]"),
 }
