@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import langid, media, minhash, mixing, packing, pii, quality, urlfilter
+from quorumlake.llm import langid, media, minhash, mixing, packing, pii, quality, substring, urlfilter
 from quorumlake.llm.common import documents
 
 ROWS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -15,6 +15,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), k=2, least=(80, 100))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     return quality.judge(docs, carried=("doc_id",)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -54,7 +58,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op3_quality, op4_mixing, op5_pii, op6_packing, op7_urlfilter, op8_langid, op10_media)}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_quality, op4_mixing, op5_pii, op6_packing, op7_urlfilter, op8_langid, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
