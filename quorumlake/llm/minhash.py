@@ -6,10 +6,11 @@ first round that reaches it, and coordinates that half of the rounds leave empty
 every coordinate gets a value. Bands of coordinates make buckets; the documents of a bucket are candidates, and links
 are confirmed on the full sets.
 
-Documents with equal sets are one class from the start. Within a bucket the classes are first compared with the
-smallest one only; where a bucket still holds several components, its classes are compared across these. Components,
-not links, are what is asked for, so no link between different components is lost and copies are never paired among
-themselves.
+Documents with equal sets are one class from the start. Within a bucket the classes are first compared with one of
+them only; where a bucket still holds several components, a few rounds compare classes outside its main component with
+members of others. What then still lies in different components of a bucket, and could be similar by its set's size, is
+compared pair by pair, so that no candidate between different components is left out. Components, not links, are what is
+asked for: copies are never paired among themselves, nor are those that are already known to belong together.
 
 Defined results: a null text counts as empty; an empty set has no links; a null doc_id is in the component of its class
 without being kept; documents that share a doc_id are one node with the links of all of them, and each row is returned;
@@ -142,7 +143,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, least: tuple[int, int])
     return both.mapInArrow(of, f"a {kind}, b {kind}")
 
 
-SMALL_BUCKET, ROUNDS = 8, 8
+SMALL_BUCKET, ROUNDS = 8, 3
 
 
 def _first_pairs(buckets: DataFrame) -> DataFrame:
@@ -170,29 +171,42 @@ def _cross_pairs(buckets: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
     return _ordered(to_main.unionByName(to_other).unionByName(small))
 
 
+def _remaining_pairs(buckets: DataFrame, roots: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """All pairs of a bucket that lie in different components and whose set sizes allow the similarity. One side of each is outside the bucket's main component, which is never joined with itself."""
+    held = buckets.join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
+    parts = held.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mains = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    split = held.join(mains, "key")
+    outside = split.where("root <> main").select("key", F.col("rep").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size"))
+    every = split.select("key", F.col("rep").alias("b"), F.col("root").alias("b_root"), F.col("size").alias("b_size"), (F.col("root") == F.col("main")).alias("in_main"))
+    fits = F.least("a_size", "b_size") * least[1] >= F.greatest("a_size", "b_size") * least[0]
+    return _ordered(outside.join(every, "key").where((F.col("a_root") != F.col("b_root")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fits).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 100), bands: int = BANDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the component) and kept (doc_id = component_id), one row for each row of docs.
 
-    Rounds of comparisons end when one finds no link between different components. In buckets of up to SMALL_BUCKET
-    classes all pairs across components are compared; in larger ones a round compares each class outside the main
-    component with two of the others, so the work stays in proportion to the bucket.
+    Rounds of comparisons end when one finds no link between different components, or after ``rounds``; a last step
+    compares all candidates that are left. In buckets of up to SMALL_BUCKET classes a round compares all pairs across
+    components; in larger ones each class outside the main component with two of the others, so its work stays in
+    proportion to the bucket.
     """
     drawn = materialize(sketches(docs, k, bands), "sketches")
     known = drawn.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = materialize(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "rep", "n"), "buckets")
+    classes = known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    keys = classes.select("rep", "size", F.explode("bands").alias("key"))
+    buckets = materialize(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "rep", "size", "n"), "buckets")
     texts = materialize(docs.select("doc_id", "text").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidate-texts")
     tried = materialize(_first_pairs(buckets), "pairs")
     links = materialize(confirm(tried, texts, k, least), "links")
     roots = connected_components(links)
-    for r in range(1, rounds):
-        pairs = materialize(_cross_pairs(buckets, roots, r).join(tried, ["a", "b"], "left_anti"), "pairs")
+    for r in range(1, rounds + 1):
+        wanted = _cross_pairs(buckets, roots, r) if r < rounds else _remaining_pairs(buckets, roots, least)
+        pairs = materialize(wanted.join(tried, ["a", "b"], "left_anti"), "pairs")
         fresh = materialize(confirm(pairs, texts, k, least), "links")
-        if fresh.isEmpty():
-            break
-        tried, links = tried.unionByName(pairs), links.unionByName(fresh)
-        roots = connected_components(links)
+        tried = tried.unionByName(pairs)
+        if not fresh.isEmpty():
+            roots = connected_components(roots.toDF("a", "b").unionByName(fresh))
     # a class follows its least document; rows that share that document's id follow it too
     named = classes.select("set_hi", "set_lo", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("set_hi", "set_lo", F.coalesce("root", "rep").alias("root"))
     out = drawn.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")

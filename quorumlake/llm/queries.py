@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import langid, media, minhash, mixing, packing, pii, quality, substring, urlfilter
+from quorumlake.llm import langid, lm, media, minhash, mixing, packing, pii, quality, substring, urlfilter
 from quorumlake.llm.common import documents
 
-ROWS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
-
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), k=2, least=(80, 100))
 
@@ -53,13 +50,104 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", fold == 2).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = lm.score(docs, train=F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir), keep_bytes=False)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_quality, op4_mixing, op5_pii, op6_packing, op7_urlfilter, op8_langid, op10_media)}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_quality, op4_mixing, op5_pii, op6_packing, op7_urlfilter, op8_langid, op9_lm, op10_media)}
+
+
+# ---- SQL for DuckDB ------------------------------------------------------------------------------------------------
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+TEXT_SQL = "coalesce(text, '')"
+
+OP1_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, {WORDS_SQL.format(f"translate({TEXT_SQL}, '{UPPER}', '{UPPER.lower()}')")} AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT a AS doc_id, b AS node FROM edges UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.node = e.a
+), least AS (
+  SELECT doc_id, min(node) AS node FROM reached GROUP BY doc_id
+)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(l.node, s.doc_id)) AS component_id,
+  s.doc_id <= coalesce(l.node, s.doc_id) AS kept
+FROM sets s LEFT JOIN least l ON s.doc_id = l.doc_id
+"""
+
+OP2_SQL = f"""
+WITH words AS (
+  SELECT doc_id, {WORDS_SQL.format(TEXT_SQL)} AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, w FROM words WHERE len(w) >= 20
+), ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY md5(array_to_string(w[p : p + 19], ' ')) ORDER BY doc_id, p) AS r FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, p + unnest(range(20)) AS p FROM ranked WHERE r > 1
+), placed AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM words
+), kept AS (
+  SELECT placed.doc_id, string_agg(x, ' ' ORDER BY placed.p) AS t, count(*) AS n
+  FROM placed LEFT JOIN gone ON placed.doc_id = gone.doc_id AND placed.p = gone.p WHERE gone.p IS NULL GROUP BY placed.doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+"""
+
+OP4_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, len({WORDS_SQL.format(TEXT_SQL)})::BIGINT AS size FROM documents
+), by_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM by_source
+), levels AS (
+  SELECT *, sum(source_size) OVER ()::DOUBLE AS total, sum(weight) OVER () AS weights,
+    coalesce(sum(cap) OVER before, 0) AS cap_before, coalesce(sum(weight) OVER before, 0) AS weight_before
+  FROM weighed WINDOW before AS (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), water AS (
+  SELECT coalesce(min_by(share, cap / weight), 0) AS level FROM (SELECT *, (total - cap_before) / (weights - weight_before) AS share FROM levels) WHERE share <= cap / weight
+), rated AS (
+  SELECT source, source_size, least(cap, weight * level) AS target, CASE WHEN source_size > 0 THEN least(cap, weight * level) / source_size ELSE 0 END AS rate FROM levels, water
+)
+SELECT doc_id, size, source_size, target,
+  (size * least(3, floor(rate) + CASE WHEN ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 12))::BIGINT / {float(1 << 48)} < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source
+"""
+
+OP7_SQL = f"""
+WITH rules(verdict, host, path) AS (
+  VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urlfilter.RULES)}
+), split AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{UPPER.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split
+), fitting AS (
+  SELECT page_id, max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) AS best
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id
+)
+SELECT p.page_id, p.host, p.path, best.rule AS rule,
+  coalesce(best.verdict, CASE WHEN {" OR ".join(f"p.host = '{h}' OR ends_with(p.host, '.{h}')" for h in urlfilter.BLOCKED_HOSTS)} THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN fitting f ON p.page_id = f.page_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash": OP1_SQL, "op2_substring": OP2_SQL, "op4_mixing": OP4_SQL, "op7_urlfilter": OP7_SQL}
