@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import materialize
@@ -35,6 +35,9 @@ from quorumlake.llm.components import connected_components
 BANDS, BAND_ROWS = 40, 5
 SIZE = BANDS * BAND_ROWS
 WORD_CACHE = 300_000
+#: Of each coordinate PLANES bits are kept for a closer look at candidates. At a similarity of 0.8 the kept bits of 37.5
+#: coordinates of 200 differ on average, with a standard deviation of 5.5; more than MOST_DIFFERENT do so in 1 of 10 ** 6.
+PLANES, MOST_DIFFERENT = 4, 65
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,21 +105,40 @@ def band_keys(coordinates: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
+def planes_of(coordinates: np.ndarray) -> np.ndarray:
+    """The lowest PLANES bits of all coordinates, plane by plane, each filled up to whole numbers of 64 bits."""
+    bits = (coordinates[None, :] >> np.arange(PLANES, dtype=np.uint64)[:, None]) & np.uint64(1)
+    return np.packbits(np.pad(bits.astype(np.uint8), ((0, 0), (0, -len(coordinates) % 64))), axis=1).reshape(-1).view(np.int64)
+
+
+def differing(a: Column, b: Column, size: int = SIZE) -> Column:
+    """How many coordinates differ in one of their kept bits."""
+    width = -(-size // 64)
+    out = F.lit(0)
+    for i in range(width):
+        any_plane = a[i].bitwiseXOR(b[i])
+        for p in range(1, PLANES):
+            any_plane = any_plane.bitwiseOR(a[p * width + i].bitwiseXOR(b[p * width + i]))
+        out = out + F.bit_count(any_plane)
+    return out
+
+
 def sketches(docs: DataFrame, k: int, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, a 128-bit hash of the set in two longs, and the keys of its bands (null for an empty set)."""
+    """key, n_shingles, a 128-bit hash of the set in two longs, and the keys of its bands and its planes (null for an empty set)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
             rows = []
-            for value in b.column(1):
-                s = shingles(words_of(value.as_py()), k, cache)
+            for value in b.column(1).cast(pa.binary()):
+                s = shingles((value.as_py() or b"").lower().split(), k, cache)
                 both = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((len(s), int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True), band_keys(sketch(s), bands).view(np.int64) if len(s) else None))
-            n, hi, lo, keys = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [key, "n_shingles", "set_hi", "set_lo", "bands"])
+                drawn = sketch(s, bands * BAND_ROWS) if len(s) else None
+                rows.append((len(s), int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True), *((None, None) if drawn is None else (band_keys(drawn, bands).view(np.int64), planes_of(drawn)))))
+            n, hi, lo, keys, planes = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in (n, hi, lo)], *[pa.array(c, pa.list_(pa.int64())) for c in (keys, planes)]], [key, "n_shingles", "set_hi", "set_lo", "bands", "planes"])
 
-    return docs.select(key, text).mapInArrow(of, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles long, set_hi long, set_lo long, bands array<long>")
+    return docs.select(key, text).mapInArrow(of, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles long, set_hi long, set_lo long, bands array<long>, planes array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
@@ -171,16 +193,43 @@ def _cross_pairs(buckets: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
     return _ordered(to_main.unionByName(to_other).unionByName(small))
 
 
-def _remaining_pairs(buckets: DataFrame, roots: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """All pairs of a bucket that lie in different components and whose set sizes allow the similarity. One side of each is outside the bucket's main component, which is never joined with itself."""
+def _prefixes(texts: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
+    """rep, hash and r, the rank from 1: of each set so many of its rarest shingles that two sets without a common one among these can't have the similarity. Shingles that no other set has take their ranks but aren't returned; a document with several texts gives all its shingles, with rank 1."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            for i, value in enumerate(b.column(1).cast(pa.binary())):
+                s = shingles((value.as_py() or b"").lower().split(), k, cache).view(np.int64)
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(s))), pa.array(s), pa.array([len(s)] * len(s))], ["rep", "hash", "size"])
+
+    several = texts.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("rep"), F.lit(True).alias("several"))
+    found = materialize(texts.select("doc_id", "text").mapInArrow(of, f"rep {dict(texts.dtypes)['doc_id']}, hash long, size long"), "open-shingles")
+    shared = found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = found.join(shared, "hash", "left").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("c", F.lit(1)), "hash")))
+    needed = F.col("size") - F.ceil(F.col("size") * least[0] / least[1] - 1e-9) + 1
+    kept = ranked.where("c > 1").join(several, "rep", "left").where((F.col("r") <= needed) | F.col("several"))
+    return kept.groupBy("rep", "hash").agg(F.min(F.when(F.col("several"), 1).otherwise(F.col("r"))).alias("r"))
+
+
+def _remaining_pairs(buckets: DataFrame, roots: DataFrame, planes: DataFrame, texts: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
+    """The pairs of the buckets that lie in different components and could have the similarity, by exact bounds and by the sketches. One side of each is outside a bucket's main component, so that these are never joined with themselves.
+
+    The bounds: the rarest common shingle is among the prefixes of both sets, and what lies before it in either is not common.
+    """
     held = buckets.join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
     parts = held.groupBy("key", "root").agg(F.count("*").alias("c"))
     mains = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    split = held.join(mains, "key")
-    outside = split.where("root <> main").select("key", F.col("rep").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size"))
-    every = split.select("key", F.col("rep").alias("b"), F.col("root").alias("b_root"), F.col("size").alias("b_size"), (F.col("root") == F.col("main")).alias("in_main"))
-    fits = F.least("a_size", "b_size") * least[1] >= F.greatest("a_size", "b_size") * least[0]
-    return _ordered(outside.join(every, "key").where((F.col("a_root") != F.col("b_root")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fits).select("a", "b"))
+    members = held.join(mains, "key").groupBy("rep").agg(F.first("root").alias("root"), F.max("size").alias("size"), F.max(F.col("root") != F.col("main")).alias("outside"))
+    members = materialize(members.join(planes, "rep"), "open-classes")
+    found = _prefixes(texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k, least)
+    told = materialize(found.join(members, "rep"), "open-prefixes")
+    side = lambda n: told.select("hash", F.col("r").alias(f"{n}_r"), *[F.col(c).alias(f"{n}_{c}") for c in ("rep", "root", "size", "outside", "planes")])
+    most_common = F.least(F.col("a_size") - F.col("a_r"), F.col("b_size") - F.col("b_r")) + 1
+    fits = (most_common * (least[0] + least[1]) >= (F.col("a_size") + F.col("b_size")) * least[0]) & (differing(F.col("a_planes"), F.col("b_planes")) <= MOST_DIFFERENT)
+    pairs = side("a").where("a_outside").join(side("b"), "hash").where((F.col("a_root") != F.col("b_root")) & (~F.col("b_outside") | (F.col("a_rep") < F.col("b_rep"))) & fits)
+    return _ordered(pairs.select("a_rep", "b_rep"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 100), bands: int = BANDS, rounds: int = ROUNDS) -> DataFrame:
@@ -193,7 +242,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 1
     """
     drawn = materialize(sketches(docs, k, bands), "sketches")
     known = drawn.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    classes = known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     keys = classes.select("rep", "size", F.explode("bands").alias("key"))
     buckets = materialize(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "rep", "size", "n"), "buckets")
     texts = materialize(docs.select("doc_id", "text").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidate-texts")
@@ -201,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 1
     links = materialize(confirm(tried, texts, k, least), "links")
     roots = connected_components(links)
     for r in range(1, rounds + 1):
-        wanted = _cross_pairs(buckets, roots, r) if r < rounds else _remaining_pairs(buckets, roots, least)
+        wanted = _cross_pairs(buckets, roots, r) if r < rounds else _remaining_pairs(buckets, roots, classes.select("rep", "planes"), texts, k, least)
         pairs = materialize(wanted.join(tried, ["a", "b"], "left_anti"), "pairs")
         fresh = materialize(confirm(pairs, texts, k, least), "links")
         tried = tried.unionByName(pairs)
