@@ -41,8 +41,8 @@ NULL_ID = -(1 << 63)
 PLACE = ("doc_id", "own")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").split()
 
 
 def _joined(a: np.ndarray, b: np.ndarray, skip: int) -> np.ndarray:
@@ -52,23 +52,37 @@ def _joined(a: np.ndarray, b: np.ndarray, skip: int) -> np.ndarray:
 
 
 def grams(words: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all K-word and all WINDOW-word windows."""
+    """64-bit hashes of all K-word and all 4-word windows."""
     if len(cache) > WORD_CACHE:
         cache.clear()
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     two = _joined(h, h, 1)
     four = _joined(two, two, 2)
-    eight = _joined(four, four, 4)
-    return eight, _joined(_joined(eight, eight, 8), four, 16)
+    return _joined(four, four, 4), four
+
+
+def long_grams(eight: np.ndarray, four: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all WINDOW-word windows."""
+    return _joined(_joined(eight, eight, 8), four, 16)
+
+
+#: Low bits that tell a place when the least hash is looked for; the bits above tell the hash.
+PLACE_BITS = 28
 
 
 def anchors(short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the anchors, in order, and for each window the number of its anchor: the least, and then the first, of its K-word hashes."""
+    """The places of the anchors, in order, and for each window the number of its anchor: the least of its K-word hashes by their upper bits, and then the first."""
     width = WINDOW - K + 1
     if len(short) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.lib.stride_tricks.sliding_window_view(short, width).argmin(1) + np.arange(len(short) - width + 1)
-    return np.unique(at, return_inverse=True)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least, span = (short & ~low) | np.arange(len(short), dtype=np.uint64), 1
+    while 2 * span <= width:  # the least of twice as many places each time
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    least = np.minimum(least[: len(short) - width + 1], least[width - span :])
+    at = (least & low).astype(np.int64)  # never falls
+    fresh = np.concatenate([[True], at[1:] != at[:-1]])
+    return at[fresh], np.cumsum(fresh) - 1
 
 
 def draw(docs: DataFrame) -> DataFrame:
@@ -78,7 +92,7 @@ def draw(docs: DataFrame) -> DataFrame:
         cache = WordHashes()
         for b in batches:
             rows = []
-            for value in b.column(1):
+            for value in b.column(1).cast(pa.binary()):
                 words = words_of(value.as_py())
                 joined = b" ".join(words)
                 both = xxhash.xxh3_128_digest(joined)
@@ -102,21 +116,32 @@ def _per_document(rows: DataFrame, fields: str, fn: Callable) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            for row in b.to_pylist() if b.num_rows < 64 else (r for at in range(0, b.num_rows, 64) for r in b.slice(at, 64).to_pylist()):
-                cols = fn(words_of(row["text"]), cache, row)
+            texts = b.column("text").cast(pa.binary())
+            lists = [(c, b.column(c)) for c in ("chosen", "firsts") if c in b.schema.names]
+            for i in range(b.num_rows):
+                row = {"doc_id": b.column("doc_id")[i].as_py(), "own": b.column("own")[i].as_py()}
+                row |= {c: np.zeros(0, np.int64) if (v := held[i].values) is None else v.to_numpy(zero_copy_only=False).astype(np.int64) for c, held in lists}
+                cols = fn(words_of(texts[i].as_py()), cache, row)
                 if len(cols[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return rows.mapInArrow(of, fields)
 
 
+def marked(places: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[places] = True
+    return out
+
+
 def fingerprints(rows: DataFrame) -> DataFrame:
     """rows: doc_id, own, text, and chosen, the numbers of anchors. The windows below these: hash, check, doc_id, own, pos."""
 
     def fn(words: list[bytes], cache: WordHashes, row: dict) -> list:
-        short, long = grams(words, cache)
-        _, anchor = anchors(short)
-        pos = np.flatnonzero(np.isin(anchor, np.array(row["chosen"], np.int64)))
+        short, four = grams(words, cache)
+        places, anchor = anchors(short)
+        long = long_grams(short, four)
+        pos = np.flatnonzero(marked(row["chosen"], len(places))[anchor])
         check = (mix(long[pos] ^ short[pos]) >> np.uint64(33)).astype(np.int32)
         return [long[pos].view(np.int64), check, np.full(len(pos), row["doc_id"]), np.full(len(pos), row["own"], np.int32), pos.astype(np.int32)]
 
@@ -144,9 +169,9 @@ def kept_text(rows: DataFrame) -> DataFrame:
 
 def _kept(words: list[bytes], cache: WordHashes, row: dict) -> list[bytes]:
     short, _ = grams(words, cache)
-    _, anchor = anchors(short)
-    repeated = np.isin(anchor, np.array(row["chosen"], np.int64))
-    repeated[np.array(row["firsts"] or [], np.int64)] = False
+    places, anchor = anchors(short)
+    repeated = marked(row["chosen"], len(places))[anchor]
+    repeated[row["firsts"]] = False
     change = np.zeros(len(words) + 1, np.int64)
     pos = np.flatnonzero(repeated)
     np.add.at(change, pos, 1)
@@ -250,7 +275,7 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words_of(v.as_py())))[6:8], "big") for v in b.column(1)]
+            own = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words_of(v.as_py())))[6:8], "big") for v in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.int32()), b.column(1)], ["doc_id", "own", "text"])
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text").mapInArrow(of, "doc_id long, own int, text string")
