@@ -254,7 +254,7 @@ def deduplicate(docs: DataFrame, batches: int = 2, max_runs: int = 4) -> DataFra
     leads = drawn.groupBy(*seq).agg(F.min("doc_id").alias("lead"))
     first = materialize(drawn.where(f"n_words >= {WINDOW}").join(leads, seq).where("doc_id = lead").select(*PLACE, "anchors").dropDuplicates(PLACE), "batch")
     index = Index(keyed_texts(docs), max_runs)
-    cuts = sorted(set(first.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
+    cuts = sorted(set(first.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     results = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         batch = first.where((F.col("doc_id") > low if low is not None else F.lit(True)) & (F.col("doc_id") <= high if high is not None else F.lit(True)))
