@@ -12,8 +12,9 @@ def tokens(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """The distinct n-grams of an array of words."""
-    return F.array_distinct(F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(words, i, n), " ")))
+    """The distinct n-grams of an array of words, which is made once and not for each of them."""
+    of = lambda w: F.array_distinct(F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    return F.transform(F.array(words), of)[0]
 
 
 def tag_phrases(docs: DataFrame, key: str, text: str, taxonomy: list[tuple[str, list[str], list[str]]]) -> DataFrame:
