@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The distribution function of a Poisson number of mean 1 below 1, 2, ... 9, in parts of 2**32.
+POISSON_CUTS = tuple(int(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k))) for k in range(1, 10))
+
+
 def histogram(df: DataFrame, value: str, width: float, bins: int) -> DataFrame:
     """Rows by fixed-width bins from 0, the last one open, empty bins included."""
     spark = df.sparkSession
@@ -93,3 +99,18 @@ def imputed_weight(df: DataFrame, value: str, name: str) -> DataFrame:
     """The value or, where it is null, the mean of all known ones: a sum that joins as one row."""
     mean = df.agg(F.avg(value).alias("own_mean"))
     return df.join(F.broadcast(mean)).withColumn(name, F.coalesce(value, "own_mean")).drop("own_mean")
+
+
+def bootstrap_interval(df: DataFrame, by: list[str], cluster: str, value: str, reps: int, seed: str) -> DataFrame:
+    """The mean with its 95% percentile interval over resampled clusters, strata being ``by``.
+
+    A replicate weighs each cluster by a Poisson number of mean 1 that a hash of seed, replicate and cluster gives, so
+    that no task has to number or draw from all clusters; two values with the same seed see the same resamples.
+    """
+    sums = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_rep").cast("string"), F.col(cluster).cast("string"))), 1, 8), 16, 10).cast("long")
+    weight = sum(((draw >= cut).cast("int") for cut in POISSON_CUTS), F.lit(0))
+    drawn = sums.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", weight)
+    means = drawn.groupBy(*by, "_rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("_m"))
+    ends = means.groupBy(*by).agg(F.expr("percentile_cont(0.025) within group (order by _m)").alias("low"), F.expr("percentile_cont(0.975) within group (order by _m)").alias("high"))
+    return sums.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("mean")).join(ends, by)

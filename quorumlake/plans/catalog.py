@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
-from quorumlake.operators import intervals, ledger, merge, normalize, packing, rank, stats
-from quorumlake.sources.readers import page_texts, table
+from quorumlake.operators import align, intervals, ledger, merge, normalize, packing, rank, stats
+from quorumlake.sources.readers import page_texts, rendered_feed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -529,3 +529,47 @@ def hamming(spark, sf):
 @query()
 def page_text(spark, sf):
     return page_texts(table(spark, sf, "pages"), "page_id", "html").select("page_id", "text", F.size("links").alias("n_links"))
+
+
+# ---- feeds, alignments and resampling ------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders), i AS (SELECT o_custkey, n, '<item><title>' || o_orderpriority || ' &amp; more</title><guid isPermaLink="false">' || o_orderkey || '</guid><pubDate>' || strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate><enclosure url="https://example.org/a?k=' || o_orderkey || '&amp;s=' || o_orderstatus || '" length="0" type="audio/mp4"/></item>' AS x FROM r WHERE n <= 5 AND o_orderstatus <> 'P')
+SELECT o_custkey, count(*) AS items, string_agg(x, chr(10) ORDER BY n) AS xml FROM i GROUP BY 1""")
+def rss_items(spark, sf):
+    url = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("https://example.org/a?k="), F.col("o_orderkey"), F.lit("&s="), F.col("o_orderstatus")))
+    return rendered_feed(table(spark, sf, "orders"), "o_custkey", F.concat("o_orderpriority", F.lit(" & more")), "o_orderkey", "o_orderdate", url, "audio/mp4", 5)
+
+
+@query(r"""WITH w AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, list_filter(list_transform(string_split(lower(p_type || ' ' || p_name), ' '), lambda x: regexp_replace(x, '[^a-z0-9'']+', '', 'g')), lambda x: x <> '') AS b FROM part), k AS (SELECT *, list_concat(a, b) AS k FROM w)
+SELECT p_partkey, round(levenshtein(array_to_string(list_transform(a, lambda x: chr(64 + list_position(k, x)::INT)), ''), array_to_string(list_transform(b, lambda x: chr(64 + list_position(k, x)::INT)), '')) / len(a), 6) AS wer, round(levenshtein(array_to_string(a, ' '), array_to_string(b, ' ')) / length(array_to_string(a, ' ')), 6) AS cer FROM k""")
+def error_rates(spark, sf):
+    pairs = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("said"), F.concat_ws(" ", "p_type", "p_name").alias("heard"))
+    return align.error_rates(pairs, "said", "heard").select("p_partkey", F.round("wer", 6).alias("wer"), F.round("cer", 6).alias("cer"))
+
+
+@query()
+def turn_agreement(spark, sf):
+    units = F.transform(align.plain_words(F.col("text")), lambda w, i: F.struct(w.alias("word"), i.cast("double").alias("start")))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", units.alias("units"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("units").alias("before"))
+    return align.timed_agreement(turns.join(before, ["conv_id", "turn"]), "units", "before").drop("units", "before")
+
+
+@query()
+def canonical_names(spark, sf):
+    parts = table(spark, sf, "part")
+    heard = parts.select("p_partkey", "p_brand", F.translate("p_name", "i", "y").alias("name"))
+    return align.canonical_names(heard, parts.where("p_size <= 25").select("p_brand", F.col("p_name").alias("name")), "p_brand", "name")
+
+
+@query(f"""WITH c AS (SELECT event_type, user_id, sum(value) AS s, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2), d AS (SELECT *, ('0x' || substr(md5('a:' || rep || ':' || user_id), 1, 8))::BIGINT AS u FROM c, generate_series(1, 200) g(rep)), w AS (SELECT *, {" + ".join(f"(u >= {c})::INT" for c in stats.POISSON_CUTS)} AS w FROM d), m AS (SELECT event_type, rep, sum(w * s) / nullif(sum(w * n), 0) AS m FROM w GROUP BY 1, 2)
+SELECT event_type, round(any_value(t.mean), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m JOIN (SELECT event_type, sum(s) / sum(n) AS mean FROM c GROUP BY 1) t USING (event_type) GROUP BY 1""")
+def bootstrap_interval(spark, sf):
+    ends = stats.bootstrap_interval(table(spark, sf, "events"), ["event_type"], "user_id", "value", 200, "a")
+    return ends.select("event_type", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
+
+
+@query()
+def microbatches(spark, sf):
+    return packing.microbatches(table(spark, sf, "documents"), "source", "n_chars", 65536)

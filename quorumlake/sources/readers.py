@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -82,6 +82,49 @@ def page_texts(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(key, html).mapInPandas(of, f"{key} {dict(df.dtypes)[key]}, text string, links array<string>")
 
 
+def grid_rows(df: DataFrame, key: str, html: str, columns: list[str], row_class: str = "rg(?:Alt)?Row") -> DataFrame:
+    """key, seq and, for each named column of an HTML grid, its text and link; of rows that several pages repeat, the first.
+
+    The rows of a grid are those of a class; a column is the element whose id ends with its name. Null pages have none.
+    """
+    rows = F.regexp_extract_all(F.col(html), F.lit(rf'(?is)<tr\b[^>]*\bclass="[^"]*\b{row_class}\b[^"]*"[^>]*>(.*?)</tr>'), F.lit(1))
+    seen = df.select(key, F.posexplode(rows).alias("seq", "_row"))
+    first = seen.groupBy(F.sha2("_row", 256).alias("_id")).agg(F.min_by(F.struct(key, "seq", "_row"), F.struct(key, "seq")).alias("_r")).select("_r.*")
+    for c in columns:
+        tag = F.regexp_extract("_row", rf'(?is)(<[^>]*\bid="[^"]*_{c}"[^>]*>)', 1)
+        inner = F.regexp_extract("_row", rf'(?is)<(\w+)\b[^>]*\bid="[^"]*_{c}"[^>]*>(.*?)</\1>', 2)
+        text = F.trim(F.regexp_replace(_unescaped(F.regexp_replace(inner, "<[^>]+>", " ")), r"\s+", " "))
+        link = _unescaped(F.regexp_extract(tag, r'(?is)\bhref="([^"]+)"', 1))
+        first = first.withColumns({c: F.nullif(text, F.lit("")), f"{c}_link": F.nullif(link, F.lit(""))})
+    return first.drop("_row")
+
+
+def _unescaped(text: Column) -> Column:
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def _escaped(text: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def rendered_feed(df: DataFrame, by: str, title: Column, guid: str, published: str, url: Column, mime: str, most: int) -> DataFrame:
+    """by, items and xml: the RSS items of each channel's newest rows, newest first; rows without a url are left out
+    after the newest were taken. A channel without an item has no row."""
+    newest = Window.partitionBy(by).orderBy(F.col(published).desc_nulls_last(), F.col(guid))
+    date = F.concat(F.date_format(published, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    item = F.concat(
+        F.lit("<item><title>"), _escaped(F.coalesce(title, F.lit(""))), F.lit('</title><guid isPermaLink="false">'), _escaped(F.col(guid).cast("string")), F.lit("</guid><pubDate>"),
+        F.coalesce(date, F.lit("")), F.lit('</pubDate><enclosure url="'), _escaped(url), F.lit(f'" length="0" type="{mime}"/></item>'),
+    )
+    kept = df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most).select(by, "_n", item.alias("_item")).where("_item is not null")
+    whole = kept.groupBy(by).agg(F.count("*").alias("items"), F.array_sort(F.collect_list(F.struct("_n", "_item"))).alias("_all"))
+    return whole.select(by, "items", F.array_join("_all._item", "\n").alias("xml"))
+
+
 def save_records(df: DataFrame, path: str, by: str) -> None:
     """Overwrites the partitions that the frame has rows for, and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
