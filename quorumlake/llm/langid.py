@@ -84,9 +84,20 @@ def fit(texts: list[str], languages: list[str], clusters: int = CLUSTERS) -> Cen
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The training sample: of each language the texts with the smallest hashes of doc_id. Spark keeps only these before it shuffles."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "text")
-    return docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "text")
+    """The training sample: of each language the texts with the smallest hashes of doc_id.
+
+    The hash up to which a language's texts are wanted is found first, from languages and hashes alone, so that hardly
+    any text beyond the sample is shuffled. There is one such bound a language, as there are centroids in the model.
+    """
+    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").withColumn("draw", F.xxhash64("doc_id"))
+    drawn = known.select("lang", "draw").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= per_language)
+    upto = [(r["lang"], r["upto"]) for r in drawn.groupBy("lang").agg(F.max("draw").alias("upto")).collect()]
+    if not upto:
+        return known.select("lang", "text").limit(0)
+    bound = F.create_map(*[F.lit(x) for pair in upto for x in pair])
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    near = known.where(F.col("draw") <= bound[F.col("lang")])
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "text")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Centroids:
