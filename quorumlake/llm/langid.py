@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 13
 PER_LANGUAGE, CLUSTERS, MIN_COSINE = 300, 3, 0.35
+SALTS = 16
 #: Texts above this many code points are counted in pieces, so that memory stays bounded.
 PIECE = 1 << 20
 
@@ -87,10 +88,14 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The training sample: of each language the texts with the smallest hashes of doc_id.
 
     The hash up to which a language's texts are wanted is found first, from languages and hashes alone, so that hardly
-    any text beyond the sample is shuffled. There is one such bound a language, as there are centroids in the model.
+    any text beyond the sample is shuffled; a language's hashes are ranked in SALTS parts,
+    each of the rows of some input partitions, before those that remain meet in one task. The parts don't change what
+    is found. There is one such bound a language, as there are centroids in the model.
     """
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").withColumn("draw", F.xxhash64("doc_id"))
-    drawn = known.select("lang", "draw").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= per_language)
+    drawn = known.select("lang", "draw", (F.spark_partition_id() % SALTS).alias("salt"))
+    for by in (["lang", "salt"], ["lang"]):
+        drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("draw"))).where(F.col("rank") <= per_language)
     upto = [(r["lang"], r["upto"]) for r in drawn.groupBy("lang").agg(F.max("draw").alias("upto")).collect()]
     if not upto:
         return known.select("lang", "text").limit(0)

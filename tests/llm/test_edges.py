@@ -109,3 +109,19 @@ def test_images(spark):
     ppm = b"P6\n2 2\n255\n" + bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
     got = media.image_columns(spark.createDataFrame([(1, ppm), (2, None), (3, b"junk")], "k long, img binary"), "k", "img").orderBy("k").collect()
     assert (got[0]["height"], got[0]["width"]) == (2, 2) and got[1]["tile"] is None and got[2]["dhash"] is None
+
+
+def test_training_sample_is_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from quorumlake.llm import langid
+
+    rows = [(i % 90 if i % 7 else None, f"text {i % 50}" if i % 11 else None, ["aa", "bb", None][i % 3]) for i in range(600)] + [(1, "one", "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    hashed = docs.where("lang is not null and text is not null").select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    want = []
+    for lang in ("aa", "bb", "cc"):
+        own = sorted((r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in hashed if r["lang"] == lang)
+        want += [(lang, t) for *_, t in own[:20]]
+    assert sorted(tuple(r) for r in langid.sample(docs, 20).collect()) == sorted(want)
+    assert langid.sample(docs.where("false"), 20).count() == 0
