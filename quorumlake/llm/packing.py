@@ -14,11 +14,13 @@ read, so further columns don't matter. Texts are tokenised whole.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -38,12 +40,20 @@ PLAIN = re.compile(r"[\n\r\t\x20-\x7e¡-¬®-ɏ–—‘’“”…]*+")
 SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?(?:[{LETTER}]+|[{NUMBER}]+|[^\s{LETTER}{NUMBER}]+)|\s+(?!\S)|\s+")
 
 
+def added_tokens(path: Path) -> dict[str, bytes]:
+    """The added tokens of a vocabulary file for the tokenizers library, with their ids; none with options that change how they are found."""
+    added = json.loads(path.read_bytes())["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError(f"added tokens with options in {path}")
+    return {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+
+
 class Encoder(dict):
     """Token ids as little-endian 32-bit bytes, from the ranks of a byte-level BPE.
 
     Ids never reach across the parts of the pre-tokenizer's pattern, so those of a part are looked up once. The ranks
     give the same ids as the vocabulary file of the same name for the tokenizers library, at several times its speed;
-    the tests hold them against each other.
+    the tests hold them against each other. As there, a text is split at that file's added tokens first.
     """
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
@@ -52,12 +62,21 @@ class Encoder(dict):
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = added_tokens(Path(ranks_path).with_suffix(".json"))
+        self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
 
     def __missing__(self, part: str) -> bytes:
         ids = self[part] = array("I", self.encode(part)).tobytes()
         return ids
 
     def ids(self, text: str) -> bytes:
+        out, at = [], 0
+        for m in self.at_added.finditer(text):
+            out += self.ordinary(text[at : m.start()]), self.added[m.group()]
+            at = m.end()
+        return b"".join([*out, self.ordinary(text[at:])]) if at else self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text):
             return array("I", self.encode(text)).tobytes()
         if len(self) > CACHE:

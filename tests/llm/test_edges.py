@@ -125,3 +125,14 @@ def test_training_sample_is_the_least_hashes(spark):
         want += [(lang, t) for *_, t in own[:20]]
     assert sorted(tuple(r) for r in langid.sample(docs, 20).collect()) == sorted(want)
     assert langid.sample(docs.where("false"), 20).count() == 0
+
+
+def test_added_tokens(spark):
+    """Added tokens in a text are found as by the tokenizers library."""
+    import public_tokenizers
+    from tests.llm.test_queries import check_packing
+
+    t = "<|endoftext|>"
+    texts = [f"{t} at the start", f"a {t} b", f"at the end {t}", t, t + t, f"  {t}  \n {t}", f"東京{t}🙂 x", "<|endoftext|", "<|<|endoftext|>|>", "none", f"{LONG} {t} {LONG}"]
+    rows = packing.pack_documents(frame(spark, [(k, x, "en", "s") for k, x in enumerate(texts)]), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    check_packing(rows, dict(enumerate(texts)), public_tokenizers.path("byte_bpe_50k.json"))
