@@ -2,7 +2,9 @@
 
 A document's histograms of character classes and of common words are compared with the histograms of its language
 by Jensen-Shannon distance (base 2, 0 to 1). The references are sums over all documents of a language that pass the
-base rules, so they are exact and follow the corpus.
+base rules, so they are exact and follow the corpus. About seven of eight words are not common ones; so that their one
+bin doesn't swamp the others, it is scaled, in the document and the reference alike, to leave the common words
+``COMMON_SHARE`` of the reference. A text without any common word then lies at 0.78 from each language.
 
 Defined results: a null text counts as empty and fails the base rules; a null language is held against the sum of all
 languages; a document of fewer than ``min_words`` words is judged by the base rules alone; repeated rows are judged
@@ -31,6 +33,8 @@ CLASSES = {
 }
 
 MIN_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 50, 0.28, 0.62
+# Fixed value: the share of the common words in a reference as it is compared.
+COMMON_SHARE = 0.8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -142,6 +146,13 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), total(a).alias("n"), total(b).alias("m"))), of)[0]
 
 
+def balanced(counts: Column, ref: Column) -> Column:
+    """The word histogram with its last bin scaled so that the common words have COMMON_SHARE of the reference; as it is where the reference has no common words or no others."""
+    common, other = F.aggregate(F.slice(ref, 1, len(VOCABULARY)), F.lit(0.0), lambda a, b: a + b), ref[len(VOCABULARY)]
+    scale = F.when((common > 0) & (other > 0), common * (1 - COMMON_SHARE) / (COMMON_SHARE * other)).otherwise(1.0)
+    return F.transform(counts, lambda x, i: F.when(i == len(VOCABULARY), x * scale).otherwise(x.cast("double")))
+
+
 def judge(docs: DataFrame, carried: tuple[str, ...] | None = None, refs: DataFrame | None = None) -> DataFrame:
     """The documents with the base counts, class_distance, word_distance and kept.
 
@@ -156,6 +167,7 @@ def judge(docs: DataFrame, carried: tuple[str, ...] | None = None, refs: DataFra
     refs = references(held) if refs is None else refs
     return (
         held.join(refs, F.col("own_lang").eqNullSafe(F.col("ref_lang")), "left")
+        .withColumns({"word_counts": balanced(F.col("word_counts"), F.col("ref_words")), "ref_words": balanced(F.col("ref_words"), F.col("ref_words"))})
         .withColumns({"class_distance": js_distance(F.col("class_counts"), F.col("ref_classes")), "word_distance": js_distance(F.col("word_counts"), F.col("ref_words"))})
         .withColumn("diverges", F.coalesce((F.col("n_words") >= MIN_WORDS) & ((F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)), F.lit(False)))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("diverges"))

@@ -136,3 +136,13 @@ def test_added_tokens(spark):
     texts = [f"{t} at the start", f"a {t} b", f"at the end {t}", t, t + t, f"  {t}  \n {t}", f"東京{t}🙂 x", "<|endoftext|", "<|<|endoftext|>|>", "none", f"{LONG} {t} {LONG}"]
     rows = packing.pack_documents(frame(spark, [(k, x, "en", "s") for k, x in enumerate(texts)]), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     check_packing(rows, dict(enumerate(texts)), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_text_without_function_words(spark):
+    """A text of 50 words or more without any function word is rejected by its words alone."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9)))
+    text = lambda share: " ".join(rng.choice(["the", "of", "and", "to", "in"]) if rng.random() < share else word() for _ in range(200))
+    rows = [(k, text(0.13), "en", "s") for k in range(60)] + [(60, text(0), "en", "s"), (61, text(0), None, "s"), (62, " ".join(text(0).split()[:49]), "en", "s")]
+    got = {r["doc_id"]: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert [k for k in got if not got[k]["kept"]] == [60, 61] and all(got[k]["class_distance"] <= quality.MAX_CLASS_DISTANCE for k in (60, 61))
