@@ -311,7 +311,7 @@ def detect(docs: DataFrame, models: dict[str, Model] | None = None) -> DataFrame
     own = F.coalesce(F.col("text"), F.lit(""))
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    some = F.contains(own, F.lit("@")) | own.rlike(r"[0-9](?:[ ().\-/\[\]+]{0,3}[0-9]){3}") | own.rlike(r"(?i)[(\[](?:at|dot)[)\]]")
+    some = F.contains(own, F.lit("@")) | own.rlike(r"[0-9](?:[ ().\-/\[\]+]{0,3}[0-9]){3}") | own.rlike(r"(?i)[(\[](?:at|dot)[)\]]") | own.rlike(HINTS["phone"])
     based = docs.drop(*OWN, "own_candidates").withColumn("base", F.when(some, F.concat(*[bare(base_spans(own, k)) for k in KINDS])).otherwise(none))
     scored = based.withColumn("own_candidates", F.when(some, F.concat(*[_scored(own, g, models) for g in GENERATORS])).otherwise(F.array().cast("array<struct<score:double,start:int,end:int,kind:int>>")))
     free = F.filter("own_candidates", lambda c: ~F.exists("base", lambda b: overlaps(b, c)))

@@ -146,3 +146,16 @@ def test_text_without_function_words(spark):
     rows = [(k, text(0.13), "en", "s") for k in range(60)] + [(60, text(0), "en", "s"), (61, text(0), None, "s"), (62, " ".join(text(0).split()[:49]), "en", "s")]
     got = {r["doc_id"]: r for r in quality.judge(frame(spark, rows)).collect()}
     assert [k for k in got if not got[k]["kept"]] == [60, 61] and all(got[k]["class_distance"] <= quality.MAX_CLASS_DISTANCE for k in (60, 61))
+
+
+def test_phones_with_wide_gaps(spark):
+    """Base phones are found in texts without other digits, however many separators lie between theirs."""
+    from tests.llm.test_queries import base_pii
+
+    texts = ["+123    456    789", "call +123 -- 456 -- 789 now", "+1 .... 2 ---- 3 (((( 4 )))) 5 .... 6 .... 7 .... 8 .... 9", "tel +49" + " " * 40 + "30.... 12....34....5", "+12    34", "no number"]
+    docs = frame(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    got = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    for k, t in enumerate(texts):
+        spans = [(s, e) for s, _, e, _ in base_pii(t)]
+        assert len(spans) == (k < 4) and got[k]["n_phone"] == len(spans) and got[k]["base_spans"] == ",".join(f"phone:{s}:{e}" for s, e in spans)
+    assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()] == ["[phone]", "call [phone] now", "[phone]", "tel [phone]", *texts[4:]]
