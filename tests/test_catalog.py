@@ -40,3 +40,11 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_profiles_of_all_rows(spark, tmp_path):
+    """A reference of any id can be matched, and no row matches itself."""
+    rows = [(0, [1.0, 0.0], 1), (10, [-1.0, 0.0], 4), (60, [0.0, 1.0], 2), (77, [1.0, 0.1], 3), (1077, [0.1, 1.0], 5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["profile_matches_all"](spark, str(tmp_path)).collect()
+    assert {r["vec_id"]: r["person"] for r in got} == {0: 3, 60: 5}
