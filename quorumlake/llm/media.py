@@ -21,8 +21,15 @@ from pyspark.sql import DataFrame
 ROW = 192
 
 
+def scaled(values: np.ndarray, top: int) -> np.ndarray:
+    """Values from 0 to top as bytes from 0 to 255."""
+    if not 0 < top < 65536:
+        raise ValueError("maxval out of range")
+    return values.astype(np.uint8) if top == 255 else np.rint(np.minimum(values, top) * (255 / top)).astype(np.uint8)
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """Binary or plain PGM and PPM of 8 bits, and binary PBM, as (height, width, channels)."""
+    """Binary or plain PBM, PGM and PPM as (height, width, channels), scaled from any maxval to bytes."""
     kind, at, numbers = data[:2], 2, []
     while len(numbers) < (2 if kind in (b"P1", b"P4") else 3):
         while at < len(data) and (data[at : at + 1].isspace() or data[at : at + 1] == b"#"):
@@ -35,23 +42,32 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     width, height = numbers[:2]
     if kind in (b"P5", b"P6"):
         channels = 3 if kind == b"P6" else 1
-        return np.frombuffer(data, np.uint8, width * height * channels, at + 1).reshape(height, width, channels)
+        return scaled(np.frombuffer(data, np.uint8 if numbers[2] < 256 else ">u2", width * height * channels, at + 1), numbers[2]).reshape(height, width, channels)
+    if kind == b"P1":
+        bits = np.array([c - 48 for c in data[at:] if c in b"01"][: width * height], np.uint8).reshape(height, width, 1)
+        return (1 - bits) * np.uint8(255)
     if kind == b"P4":
         bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-width // 8) * height, at + 1).reshape(height, -1), axis=1)[:, :width]
         return ((1 - bits) * 255).astype(np.uint8)[:, :, None]
     if kind in (b"P2", b"P3"):
         channels = 3 if kind == b"P3" else 1
-        return np.array(data[at:].split()[: width * height * channels], np.uint8).reshape(height, width, channels)
+        return scaled(np.array([int(x) for x in data[at:].split()[: width * height * channels]], np.int64), numbers[2]).reshape(height, width, channels)
     raise ValueError("not a Netpbm image of a known kind")
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 24 or 32 bits as (height, width, 3)."""
-    start, _, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if bits not in (24, 32) or packed not in (0, 3):
+    """Uncompressed BMP of 24 or 32 bits, or of 1, 4 or 8 bits with a palette, as (height, width, 3)."""
+    start, header, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
+    if header < 40 or bits not in (1, 4, 8, 24, 32) or packed not in ((0, 3) if bits > 8 else (0,)):
         raise ValueError("not a BMP image of a known kind")
     step = -(-width * bits // 32) * 4
     rows = np.frombuffer(data, np.uint8, step * abs(height), start).reshape(abs(height), step)
+    if bits <= 8:
+        colors = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+        palette = np.frombuffer(data, np.uint8, 4 * colors, 14 + header).reshape(colors, 4)[:, 2::-1]
+        held = np.unpackbits(rows, axis=1)[:, : width * bits].reshape(abs(height), width, bits)
+        pixels = palette[held @ (1 << np.arange(bits)[::-1])]
+        return pixels[::-1] if height > 0 else pixels
     pixels = rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
     return pixels[::-1] if height > 0 else pixels
 
@@ -126,9 +142,9 @@ FLUSH = 4 << 20
 
 def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", side: int = 32, keep_bytes: bool = True) -> DataFrame:
     """Each text stored as an image, read back and described: the key, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256 and feature (the difference hash); with keep_bytes also media (the image) and
-    tile (NPY bytes)."""
-    fields = [(key, None), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("media", pa.binary()), ("tile", pa.binary())]
+    tail_crc32, media_bytes, media_sha256, feature (the difference hash) and tile_sha256; with keep_bytes also media
+    (the image) and tile (NPY bytes)."""
+    fields = [(key, None), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile_sha256", pa.string()), ("media", pa.binary()), ("tile", pa.binary())]
     fields = fields if keep_bytes else fields[:-2]
 
     def row(value: str | None) -> tuple:
@@ -136,8 +152,9 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", side: int
         media = encode_ppm(raw + b" " * (-len(raw) % ROW or (0 if raw else ROW)))
         pixels = decode(media)
         back, gray = pixels.tobytes(), gray_of(pixels)
-        out = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(gray))
-        return (*out, media, tile_of(gray, side)) if keep_bytes else out
+        tile = tile_of(gray, side)
+        out = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(gray), hashlib.sha256(tile).hexdigest())
+        return (*out, media, tile) if keep_bytes else out
 
     def batch(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         cols = zip(*rows, strict=True)

@@ -159,3 +159,24 @@ def test_phones_with_wide_gaps(spark):
         spans = [(s, e) for s, _, e, _ in base_pii(t)]
         assert len(spans) == (k < 4) and got[k]["n_phone"] == len(spans) and got[k]["base_spans"] == ",".join(f"phone:{s}:{e}" for s, e in spans)
     assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()] == ["[phone]", "call [phone] now", "[phone]", "tel [phone]", *texts[4:]]
+
+
+def test_image_kinds():
+    """Any maxval, plain bitmaps and palettes decode to bytes."""
+    import struct
+
+    flat = lambda b: media.decode(b).reshape(-1).tolist()
+    assert flat(b"P5\n2 1\n65535\n" + struct.pack(">2H", 65535, 257)) == [255, 1]
+    assert flat(b"P6\n1 1\n15\n" + bytes([15, 0, 3])) == [255, 0, 51]
+    assert flat(b"P2\n2 1\n1000\n1000 0") == [255, 0] and flat(b"P1\n3 1\n1 0 1") == flat(b"P1\n3 1\n101") == [0, 255, 0]
+    for bits, row in ((8, bytes([1, 0, 0, 0])), (4, bytes([0x10, 0, 0, 0])), (1, bytes([0x80, 0, 0, 0]))):
+        bmp = b"BM" + struct.pack("<IHHI", 66, 0, 0, 62) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, bits, 0, 4, 0, 0, 2, 0) + bytes([1, 2, 3, 0, 4, 5, 6, 0]) + row
+        assert flat(bmp) == [6, 5, 4, 3, 2, 1]
+
+
+def test_media_query_makes_the_tiles(spark):
+    import hashlib
+
+    kept = {r["doc_id"]: r for r in media.text_media(frame(spark, ROWS[:4])).collect()}
+    told = {r["doc_id"]: r for r in media.text_media(frame(spark, ROWS[:4]), keep_bytes=False).collect()}
+    assert len(told) == 4 and all(told[k]["tile_sha256"] == hashlib.sha256(r["tile"]).hexdigest() for k, r in kept.items())
