@@ -73,8 +73,8 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
-def fit(texts: list[str], languages: list[str], clusters: int = CLUSTERS) -> Centroids:
-    raw = np.stack([counts(t) for t in texts]) if texts else np.zeros((0, DIMENSIONS), np.float32)
+def fit(raw: np.ndarray, languages: list[str], clusters: int = CLUSTERS) -> Centroids:
+    """raw: the counts of the training texts, one row each."""
     idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(0))).astype(np.float32) + 1
     v = np.log1p(raw) * idf
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -106,8 +106,17 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Centroids:
-    rows = sorted((r["lang"], r["text"]) for r in sample(docs, per_language).toLocalIterator() if any(c.isalpha() for c in r["text"]))
-    return fit([t for _, t in rows], [lang for lang, _ in rows], clusters)
+    """The model of a sample. The texts are counted where they lie, and the driver gets their counts: 4 * DIMENSIONS bytes a text, however long it is."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, text in zip(b.column(0), b.column(1), strict=True):
+                if any(c.isalpha() for c in text.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([counts(text.as_py()).tobytes()], pa.binary())], ["lang", "counts"])
+
+    rows = sorted((r["lang"], bytes(r["counts"])) for r in sample(docs, per_language).mapInArrow(of, "lang string, counts binary").toLocalIterator())
+    raw = np.stack([np.frombuffer(c, np.float32) for _, c in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
+    return fit(raw, [lang for lang, _ in rows], clusters)
 
 
 def predict(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:

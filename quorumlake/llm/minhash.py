@@ -150,10 +150,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, least: tuple[int, int])
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
         for b in batches:
-            a_ids, keep = b.column(0).to_pylist(), []
-            for i, a in enumerate(a_ids):
-                if last is None or a != last:
-                    last, held = a, shingle_set(words_of(b.column(2)[i].as_py()))
+            keep = []
+            for i in range(b.num_rows):
+                first = b.column(2)[i].as_py()
+                if first != last:
+                    last, held = first, shingle_set(words_of(first))
                 other = shingle_set(words_of(b.column(3)[i].as_py()))
                 common = len(held & other)
                 keep.append(bool(common) and least[1] * common >= least[0] * (len(held) + len(other) - common))
@@ -162,10 +163,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, least: tuple[int, int])
     kind = dict(pairs.dtypes)["a"]
     second = pairs.join(texts.toDF("b", "b_text"), "b")
     both = second.join(texts.toDF("a", "a_text"), "a").select("a", "b", "a_text", "b_text")
-    return both.mapInArrow(of, f"a {kind}, b {kind}")
+    return both.mapInArrow(of, f"a {kind}, b {kind}").distinct()
 
 
 SMALL_BUCKET, ROUNDS = 8, 3
+#: A class with more than one in so many rows is hot; so there are fewer hot classes than this.
+HOT = 1000
 
 
 def _first_pairs(buckets: DataFrame) -> DataFrame:
@@ -178,17 +181,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _cross_pairs(buckets: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
+def _unsettled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, rep, size, n and root of the buckets that hold several components. Written once, for all that reads it."""
+    held = materialize(buckets.join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", "size", "n", F.coalesce("root", "rep").alias("root")), "held")
+    several = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return materialize(held.join(several, "key", "left_semi"), "open-buckets")
+
+
+def _cross_pairs(held: DataFrame, seed: int) -> DataFrame:
     """Pairs across the components of a bucket. A small bucket gives all; a large one compares what is outside its main component with a member of that one and with one of the others, by chance."""
-    held = buckets.join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    parts = held.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min_by("rep", F.xxhash64(F.lit(seed), "key", "rep")).alias("hub"))
-    mains = parts.groupBy("key").agg(F.max_by(F.struct("root", "hub"), F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    parts = held.groupBy("key", "root").agg(F.count("*").alias("c"), F.min_by("rep", F.xxhash64(F.lit(seed), "key", "rep")).alias("hub"))
+    mains = parts.groupBy("key").agg(F.max_by(F.struct("root", "hub"), F.struct("c", "root")).alias("main"))
     others = parts.join(mains, "key").where(F.col("root") != F.col("main.root")).groupBy("key").agg(F.min_by(F.struct("root", "hub"), F.xxhash64(F.lit(seed), "root")).alias("other"))
-    outside = held.join(mains, "key").where(F.col("root") != F.col("main.root"))
-    large = outside.where(F.col("n") > SMALL_BUCKET)
+    large = held.where(F.col("n") > SMALL_BUCKET).join(mains, "key").where(F.col("root") != F.col("main.root"))
     to_main = large.select("rep", "main.hub")
     to_other = large.join(others, "key").where(F.col("root") != F.col("other.root")).select("rep", "other.hub")
-    few = held.where(F.col("n") <= SMALL_BUCKET).join(mains.select("key"), "key", "left_semi")
+    few = held.where(F.col("n") <= SMALL_BUCKET)
     small = few.select("key", F.col("rep").alias("a"), F.col("root").alias("a_root")).join(few.select("key", F.col("rep").alias("b"), F.col("root").alias("b_root")), "key").where("a < b and a_root <> b_root").select(F.col("a").alias("rep"), F.col("b").alias("hub"))
     return _ordered(to_main.unionByName(to_other).unionByName(small))
 
@@ -213,14 +221,13 @@ def _prefixes(texts: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
     return kept.groupBy("rep", "hash").agg(F.min(F.when(F.col("several"), 1).otherwise(F.col("r"))).alias("r"))
 
 
-def _remaining_pairs(buckets: DataFrame, roots: DataFrame, planes: DataFrame, texts: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
+def _remaining_pairs(held: DataFrame, planes: DataFrame, texts: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
     """The pairs of the buckets that lie in different components and could have the similarity, by exact bounds and by the sketches. One side of each is outside a bucket's main component, so that these are never joined with themselves.
 
     The bounds: the rarest common shingle is among the prefixes of both sets, and what lies before it in either is not common.
     """
-    held = buckets.join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
     parts = held.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mains = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    mains = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     members = held.join(mains, "key").groupBy("rep").agg(F.first("root").alias("root"), F.max("size").alias("size"), F.max(F.col("root") != F.col("main")).alias("outside"))
     members = materialize(members.join(planes, "rep"), "open-classes")
     found = _prefixes(texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k, least)
@@ -237,27 +244,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 1
 
     Rounds of comparisons end when one finds no link between different components, or after ``rounds``; a last step
     compares all candidates that are left. In buckets of up to SMALL_BUCKET classes a round compares all pairs across
-    components; in larger ones each class outside the main component with two of the others, so its work stays in
-    proportion to the bucket.
+    components, and the bucket is done; in larger ones it compares each class outside the main component with two of
+    the others, so its work stays in proportion to the bucket. Buckets that hold one component only are done as well.
     """
     drawn = materialize(sketches(docs, k, bands), "sketches")
     known = drawn.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
+    classes = known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     keys = classes.select("rep", "size", F.explode("bands").alias("key"))
     buckets = materialize(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "rep", "size", "n"), "buckets")
     texts = materialize(docs.select("doc_id", "text").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidate-texts")
     tried = materialize(_first_pairs(buckets), "pairs")
-    links = materialize(confirm(tried, texts, k, least), "links")
-    roots = connected_components(links)
+    roots = connected_components(materialize(confirm(tried, texts, k, least), "links"))
+    left = buckets.where("n > 2")  # a bucket of two is compared by now
+    fruitless = False
     for r in range(1, rounds + 1):
-        wanted = _cross_pairs(buckets, roots, r) if r < rounds else _remaining_pairs(buckets, roots, classes.select("rep", "planes"), texts, k, least)
+        if fruitless and r < rounds:
+            continue
+        held = _unsettled(left, roots)
+        if held.isEmpty():
+            break
+        wanted = _cross_pairs(held, r) if r < rounds else _remaining_pairs(held, classes.select("rep", "planes"), texts, k, least)
         pairs = materialize(wanted.join(tried, ["a", "b"], "left_anti"), "pairs")
         fresh = materialize(confirm(pairs, texts, k, least), "links")
         tried = tried.unionByName(pairs)
-        if not fresh.isEmpty():
+        left = held.where(F.col("n") > SMALL_BUCKET).drop("root")
+        fruitless = fresh.isEmpty()
+        if not fruitless:
             roots = connected_components(roots.toDF("a", "b").unionByName(fresh))
-    # a class follows its least document; rows that share that document's id follow it too
-    named = classes.select("set_hi", "set_lo", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("set_hi", "set_lo", F.coalesce("root", "rep").alias("root"))
-    out = drawn.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")
+    return _named(drawn, classes.select("set_hi", "set_lo", "rep", "rows"), roots)
+
+
+def _named(drawn: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with the component of their class. A class follows its least document; rows that share that document's id follow it too. The classes with more than one in HOT of all rows, fewer than HOT in number, are broadcast, so that no key of the join has more rows than that."""
+    named = materialize(classes.join(roots.toDF("rep", "root"), "rep", "left").select("set_hi", "set_lo", "rows", F.coalesce("root", "rep").alias("root")), "classes")
+    hot = F.broadcast(named.where(F.col("rows") * HOT > drawn.count()).drop("rows"))
+    own, by = drawn.select("doc_id", "n_shingles", "set_hi", "set_lo"), ["set_hi", "set_lo"]
+    out = own.join(hot, by).unionByName(own.join(hot, by, "left_anti").join(named.drop("rows"), by, "left"))
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -4,7 +4,7 @@ Tokens are summed by source, the targets follow from the weights, and each docum
 once more where a hash of its doc_id falls below the rate's fraction. The rate of a source is its target over its size.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; documents with one
-doc_id share one draw; an empty table gives no rows; further columns are carried through, and those of the operator's
+doc_id share one draw, and those without one draw by their texts; an empty table gives no rows; further columns are carried through, and those of the operator's
 own names are replaced. No document is taken more than ``max_repeat`` times.
 """
 
@@ -13,15 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import n_words
+from quorumlake.llm.common import broadcast_if_small, n_words
 
 OWN = ("size", "source_size", "target", "rate", "copies", "taken")
 SEED = "mix-1"
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number from 0 to below 1 by the first 48 bits of an MD5 hash: any engine can repeat it."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number from 0 to below 1 by the first 48 bits of an MD5 hash of the doc_id or, where it is null, of the text: any engine can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), text), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def targets(sizes: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -48,17 +48,17 @@ def targets(sizes: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] = (1
 
 
 def mix(docs: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED) -> DataFrame:
-    """The documents with size, source_size, target, rate, copies and taken. The sums by source are the only shuffle; the frame that is joined has one row a source, and Spark broadcasts it while it is small."""
-    sized = docs.drop(*OWN).withColumn("size", n_words(F.col("text")))
+    """The documents with size, source_size, target, rate, copies and taken. The sums by source are the only shuffle; the frame that is joined has one row a source and is broadcast up to SMALL_SIDE of them."""
+    sized = docs.select("doc_id", n_words(F.col("text")).alias("size"), "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own_row"))
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rated = targets(by_source, max_repeat, weights).select(F.col("source").alias("rated_source"), "source_size", "target").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     whole = F.floor("rate")
-    return (
-        sized.join(rated, F.col("source").eqNullSafe(F.col("rated_source")), "left")
-        .drop("rated_source")
-        .withColumn("copies", F.least(F.lit(max_repeat).cast("long"), whole + (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")))
+    mixed = (
+        sized.join(broadcast_if_small(rated), F.col("source").eqNullSafe(F.col("rated_source")), "left")
+        .withColumn("copies", F.least(F.lit(max_repeat).cast("long"), whole + (draw(F.col("doc_id"), F.col("own_row")["text"], seed) < F.col("rate") - whole).cast("long")))
         .withColumn("taken", F.col("size") * F.col("copies"))
     )
+    return mixed.select(*[F.col("own_row")[c].alias(c) for c in docs.columns if c not in OWN], *OWN)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,20 +35,52 @@ PATTERNS = {
 }
 # What a text must hold for a pattern to be tried at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
-SPAN = "array<struct<start:int,end:int,kind:int,found:string>>"
+SPAN = "array<struct<start:int,end:int,kind:int,score:double>>"
+CONTEXT = 24
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def chunked(a: Column) -> Column:
+    """An array that isn't empty as about the square root of its length of pieces, in order."""
+    width = F.ceil(F.sqrt(F.size(a))).cast("int")
+    return bound(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / w).cast("int")), lambda c: F.slice(a, c * w + 1, w)))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For an array of integers all partial results in order, merge being a sum or a maximum over 0. Arrays are copied as they grow, so this goes by pieces and then over the pieces' results: about n ** 1.5 steps."""
+    none = F.array().cast("array<int>")
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
+    scan = lambda piece: F.aggregate(piece, none, lambda acc, x: F.concat(acc, F.array(merge(last(acc), x))))
+
+    def of(v: Column) -> Column:
+        def over(pieces: Column) -> Column:
+            before = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(merge(last(acc), last(p)))))
+            return F.flatten(F.zip_with(pieces, F.slice(before, 1, F.size(pieces)), lambda p, z: F.transform(p, lambda x: merge(z, x))))
+
+        return F.when(F.size(v) > 0, bound(F.transform(chunked(v), scan), over)).otherwise(none)
+
+    return bound(values, of)
 
 
 def found(text: Column, pattern: str) -> Column:
-    """(start, end, found) of all matches: the parts between them give the places."""
-    both = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    """(start, end, found, before) of all matches: the parts between them give the places. before holds up to CONTEXT characters that precede a match; those of four matches with what lies between are enough for it, as matches have six characters or more where it is used."""
+
+    def of(b: Column) -> Column:
+        gap = lambda i: F.get(b["gaps"], i)
+        ends = running(F.transform(b["hits"], lambda h, i: F.length(gap(i)) + F.length(h)), lambda x, y: x + y)
+        tails = F.transform(b["hits"], lambda h, i: F.substring(F.concat(F.coalesce(F.get(b["hits"], i - 1), F.lit("")), gap(i)), -CONTEXT, CONTEXT))
+
+        def spans(t: Column) -> Column:
+            before = lambda i: F.substring(F.concat(*[F.coalesce(F.get(t["tails"], i - j), F.lit("")) for j in (3, 2, 1, 0)]), -CONTEXT, CONTEXT)
+            return F.transform(b["hits"], lambda h, i: F.struct((F.get(t["ends"], i) - F.length(h)).alias("start"), F.get(t["ends"], i).alias("end"), h.alias("found"), before(i).alias("before")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("found")))).alias("out")))
+        return bound(F.struct(ends.alias("ends"), tails.alias("tails")), spans)
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    return bound(F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), of)
 
 
 def digits(x: Column) -> Column:
@@ -75,7 +108,7 @@ CHECKS = {
 def base_spans(text: Column, kind: str) -> Column:
     n = KINDS.index(kind)
     hit = F.filter(found(text, PATTERNS[kind]), lambda s: CHECKS[kind](s["found"]))
-    spans = F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(n).alias("kind"), s["found"].alias("found")))
+    spans = F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(n).alias("kind"), F.lit(math.inf).alias("score")))
     hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
     return F.when(hint, spans).otherwise(F.array().cast(SPAN))
 
@@ -87,7 +120,6 @@ GENERATORS = {
     "address": (rf"(?<![{LOCAL}])[A-Za-z0-9._%+-]{{1,64}}+ ?(?:@|[(\[](?i:at)[)\]]) ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:\.|[(\[](?i:dot)[)\]]) ?[A-Za-z0-9-]{{2,63}}+){{1,5}}+", ("email",), r"(?i)[(\[](?:at|dot)[)\]]"),
     "network": (r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|[(]\.[)])[0-9]{1,3}){3}+(?![0-9.])", ("ip",), r"[0-9][\[(]\.[\])][0-9]"),
 }
-CONTEXT = 24
 # Words that speak for a kind shortly before a span.
 CUES = {"card": "card|visa|credit|debit|payment|pan|tarjeta|karte|carte", "phone": "phone|tel|call|mobile|cell|fax|contact|whatsapp|telefon|teléfono|téléphone", "ip": "ip|addr|host|server|client|login", "email": "mail|contact|write|reach|e-mail|correo"}
 AGAINST = "isbn|order|invoice|version|date|serial|item|part|no\\.|ref|page|total|price|id"
@@ -276,18 +308,16 @@ def fit(spark: SparkSession, examples: int = 2400, precision: float = 0.98, seed
 
 
 def _scored(text: Column, name: str, models: dict[str, Model]) -> Column:
-    """The generator's candidates over a threshold, as (score, start, end, kind)."""
+    """The generator's candidates over a threshold."""
     pattern, kinds, hint = GENERATORS[name]
 
     def of(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - (CONTEXT - 1), F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-        made = features(s["found"], before)
+        made = features(s["found"], s["before"])
         x = F.struct(*[made[f].alias(f) for f in FEATURES])
-        scores = lambda v: F.array(*[F.struct((models[k].column([v[f] for f in FEATURES]) - models[k].threshold).alias("score"), s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(k)).alias("kind")) for k in kinds])
-        return F.transform(F.array(x), scores)[0]
+        return bound(x, lambda v: F.array(*[F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(k)).alias("kind"), (models[k].column([v[f] for f in FEATURES]) - models[k].threshold).alias("score")) for k in kinds]))
 
     hits = F.filter(F.flatten(F.transform(found(text, pattern), of)), lambda c: c["score"] >= 0)
-    return F.when(text.rlike(hint), hits).otherwise(F.array().cast("array<struct<score:double,start:int,end:int,kind:int>>"))
+    return F.when(text.rlike(hint), hits).otherwise(F.array().cast(SPAN))
 
 
 def spans_of(spans: Column) -> Column:
@@ -305,38 +335,69 @@ def overlaps(s: Column, t: Column) -> Column:
     return (s["start"] < t["end"]) & (t["start"] < s["end"])
 
 
-def detect(docs: DataFrame, models: dict[str, Model] | None = None) -> DataFrame:
-    """The documents with base (array of spans), added (likewise, from the trees), n_email, n_ip, n_card, n_phone of the base, base_spans and spans."""
+def clusters(spans: Column) -> Column:
+    """Sorted spans as arrays of such as overlap, directly or through others, in one sweep."""
+
+    def of(s: Column) -> Column:
+        reach = running(F.transform(s, lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+        begins = bound(reach, lambda r: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(r, i - 1))))
+        cut = bound(begins, lambda b: F.transform(b, lambda at, j: F.slice(s, at + 1, F.coalesce(F.get(b, j + 1), F.size(s)) - at)))
+        return F.when(F.size(s) > 0, cut).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return bound(F.array_sort(spans), of)
+
+
+def chosen(spans: Column) -> Column:
+    """Of base spans and candidates the candidates that stay: those that overlap no base span and, of the others, no better one. Only spans of one cluster are compared."""
+    better = lambda d, c: (d["score"] > c["score"]) | ((d["score"] == c["score"]) & ((d["start"] < c["start"]) | ((d["start"] == c["start"]) & (d["kind"] < c["kind"]))))
+
+    def of(c: Column) -> Column:
+        is_base = lambda x: x["score"] == math.inf
+        free = F.filter(c, lambda x: ~is_base(x) & ~F.exists(c, lambda d: is_base(d) & overlaps(x, d)))
+        return F.when(F.size(c) == 1, F.filter(c, lambda x: ~is_base(x))).otherwise(bound(free, lambda f: F.filter(f, lambda x: ~F.exists(f, lambda d: overlaps(x, d) & better(d, x)))))
+
+    return F.flatten(F.transform(clusters(spans), of))
+
+
+def _located(docs: DataFrame, models: dict[str, Model] | None) -> DataFrame:
+    """own_row (the document), own_text, base and added."""
     models = fit(docs.sparkSession) if models is None else models
-    own = F.coalesce(F.col("text"), F.lit(""))
+    own = F.col("own_text")
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("own_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own_row"))
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
     some = F.contains(own, F.lit("@")) | own.rlike(r"[0-9](?:[ ().\-/\[\]+]{0,3}[0-9]){3}") | own.rlike(r"(?i)[(\[](?:at|dot)[)\]]") | own.rlike(HINTS["phone"])
-    based = docs.drop(*OWN, "own_candidates").withColumn("base", F.when(some, F.concat(*[bare(base_spans(own, k)) for k in KINDS])).otherwise(none))
-    scored = based.withColumn("own_candidates", F.when(some, F.concat(*[_scored(own, g, models) for g in GENERATORS])).otherwise(F.array().cast("array<struct<score:double,start:int,end:int,kind:int>>")))
-    free = F.filter("own_candidates", lambda c: ~F.exists("base", lambda b: overlaps(b, c)))
-    best = scored.withColumn("own_candidates", free).withColumn(
-        "added", bare(F.filter("own_candidates", lambda c: ~F.exists("own_candidates", lambda d: overlaps(d, c) & ((d["score"] > c["score"]) | ((d["score"] == c["score"]) & ((d["start"] < c["start"]) | ((d["start"] == c["start"]) & (d["kind"] < c["kind"]))))))))
-    )
-    return (
-        best.drop("own_candidates")
+    either = lambda parts: F.when(some, F.concat(*parts)).otherwise(F.array().cast(SPAN))
+    held = rows.withColumns({"own_base": either([base_spans(own, k) for k in KINDS]), "own_candidates": either([_scored(own, g, models) for g in GENERATORS])})
+    added = F.when(F.size("own_candidates") > 0, chosen(F.concat("own_base", "own_candidates"))).otherwise(F.array().cast(SPAN))
+    return held.withColumns({"base": bare("own_base"), "added": bare(added)}).drop("own_base", "own_candidates")
+
+
+def detect(docs: DataFrame, models: dict[str, Model] | None = None) -> DataFrame:
+    """The documents with base (array of spans), added (likewise, from the trees), n_email, n_ip, n_card, n_phone of the base, base_spans and spans."""
+    made = (
+        _located(docs, models)
         .withColumns({f"n_{k}": F.size(_of_kind(F.col("base"), n)).cast("long") for n, k in enumerate(KINDS)})
         .withColumns({"base_spans": spans_of(F.col("base")), "spans": spans_of(F.concat("base", "added"))})
     )
+    return made.select(*[F.col("own_row")[c].alias(c) for c in docs.columns if c not in OWN], *OWN)
 
 
 def redact(docs: DataFrame, models: dict[str, Model] | None = None) -> DataFrame:
     """The documents with each span of the text, overlapping ones taken together, replaced by its first kind in square brackets. Null texts stay null."""
-    found_in = detect(docs.withColumn("own_text", F.col("text")), models)
     names = F.array(*[F.lit(k) for k in KINDS])
-    ordered = F.array_sort(F.concat("base", "added"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    text = F.col("own_text")
+    whole = F.transform(clusters(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(0.0).alias("score")))), lambda c: F.struct(c[0]["start"].alias("start"), F.array_max(F.transform(c, lambda x: x["end"])).alias("end"), c[0]["kind"].alias("kind")))
+
+    def assembled(w: Column) -> Column:
+        """The parts are cut from pieces of the text, as a cut walks from the beginning of what it is made in."""
+        items = F.transform(w, lambda x, i: F.struct(F.coalesce(F.get(w, i - 1)["end"], F.lit(0)).alias("from"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+
+        def piece(c: Column) -> Column:
+            begin = c[0]["from"]
+            part = F.substring(text, begin + 1, F.element_at(c, -1)["end"] - begin)
+            return bound(part, lambda t: F.array_join(F.transform(c, lambda x: F.concat(F.substring(t, x["from"] - begin + 1, x["start"] - x["from"]), F.lit("["), F.element_at(names, x["kind"] + 1), F.lit("]"))), ""))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("own_text"), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]")))).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+        return F.concat(F.array_join(bound(items, lambda i: F.transform(chunked(i), piece)), ""), F.substring(text, F.element_at(w, -1)["end"] + 1, F.length(text)))
 
-    text = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("own_text"), acc["at"] + 1, F.length("own_text"))))
-    cut = F.when(F.size("base") + F.size("added") > 0, text).otherwise(F.col("own_text"))
-    return found_in.withColumn("text", cut).drop("own_text", *OWN)
+    cut = F.when(F.size("base") + F.size("added") > 0, bound(whole, assembled)).otherwise(F.col("own_row")["text"])
+    return _located(docs, models).withColumn("own_cut", cut).select(*[(F.col("own_cut") if c == "text" else F.col("own_row")[c]).alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import SPACE, materialize, words
+from quorumlake.llm.common import broadcast_if_small, materialize, words
 
 # Frequent function words of four languages.
 COMMON_WORDS = ("the of and to in " "de la le et les " "der die und in den " "de la que el y").split()
@@ -102,8 +102,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
     """The documents with the counts of the base rules and the two histograms."""
     text = F.coalesce("text", F.lit(""))
     return (
-        docs.drop(*BASE, "class_counts", "word_counts", "own_words", "own_rest")
-        .withColumns({"own_words": words(F.col("text")), "own_rest": unusual(text)})
+        docs.withColumns({"own_words": words(F.col("text")), "own_rest": unusual(text)})
         .withColumns(
             {
                 "n_words": F.size("own_words").cast("long"),
@@ -157,19 +156,20 @@ def judge(docs: DataFrame, carried: tuple[str, ...] | None = None, refs: DataFra
     """The documents with the base counts, class_distance, word_distance and kept.
 
     carried: the columns of docs to return, all by default. The counts are written to the shared folder once, and both
-    the references and the verdicts are taken from there. The references are one row a language; Spark broadcasts them
-    while they are small.
+    the references and the verdicts are taken from there. The references are one row a language; up to SMALL_SIDE of
+    them are broadcast, so that no text is shuffled.
     """
     carried = tuple(docs.columns) if carried is None else carried
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    held = base_columns(docs.withColumn("own_lang", lang))
-    held = materialize(held.select(*[c for c in carried if c not in BASE], *BASE, "class_counts", "word_counts", "own_lang"), "quality-counts")
-    refs = references(held) if refs is None else refs
-    return (
+    rows = docs.select("text", lang.alias("own_lang"), F.struct(*[F.col(f"`{c}`") for c in carried], F.lit(0).alias("own_end")).alias("own_row"))
+    held = materialize(base_columns(rows).drop("text"), "quality-counts")
+    refs = broadcast_if_small(references(held) if refs is None else refs)
+    judged = (
         held.join(refs, F.col("own_lang").eqNullSafe(F.col("ref_lang")), "left")
         .withColumns({"word_counts": balanced(F.col("word_counts"), F.col("ref_words")), "ref_words": balanced(F.col("ref_words"), F.col("ref_words"))})
         .withColumns({"class_distance": js_distance(F.col("class_counts"), F.col("ref_classes")), "word_distance": js_distance(F.col("word_counts"), F.col("ref_words"))})
         .withColumn("diverges", F.coalesce((F.col("n_words") >= MIN_WORDS) & ((F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)), F.lit(False)))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("diverges"))
-        .drop("class_counts", "word_counts", "own_lang", "ref_lang", "ref_classes", "ref_words", "diverges")
     )
+    made = (*BASE, "class_distance", "word_distance", "kept")
+    return judged.select(*[F.col("own_row")[c].alias(c) for c in carried if c not in made], *made)

@@ -6,7 +6,7 @@ sorted, immutable runs in the shared folder, of two kinds:
 
 * anchors: the winnowed K-word hashes of a batch, each with its number and its first place. Every window contains the
   anchor that is the least hash in it, wherever the window occurs, so a window can only be repeated if its anchor is;
-* windows: 96-bit fingerprints of the windows below repeated anchors, with their first places.
+* windows: 128-bit fingerprints, of two hashes that are made apart, of the windows below repeated anchors, with their first places.
 
 A batch's anchors are merge-joined with the runs. Anchors that occur once in all name, document by document, what need
 not be looked at; the windows below the others are fingerprinted, as are those of earlier documents whose anchor has
@@ -39,6 +39,7 @@ from quorumlake.llm.urlfilter import BITS_PER_KEY, MAX_LEVEL_BYTES, build_level
 WINDOW, K = 20, 8
 NULL_ID = -(1 << 63)
 PLACE = ("doc_id", "own")
+SECOND, BASE = np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -66,6 +67,15 @@ def long_grams(eight: np.ndarray, four: np.ndarray) -> np.ndarray:
     return _joined(_joined(eight, eight, 8), four, 16)
 
 
+def checks(words: list[bytes], cache: WordHashes) -> np.ndarray:
+    """A second 64-bit hash of all WINDOW-word windows that shares no step with the first: a polynomial in an odd base over the words' hashes, mixed anew."""
+    h = mix(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)) ^ SECOND)
+    out = np.zeros(max(0, len(h) - WINDOW + 1), np.uint64)
+    for i in range(WINDOW):
+        out = out * BASE + h[i : i + len(out)]
+    return mix(out)
+
+
 #: Low bits that tell a place when the least hash is looked for; the bits above tell the hash.
 PLACE_BITS = 28
 
@@ -86,7 +96,7 @@ def anchors(short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def draw(docs: DataFrame) -> DataFrame:
-    """doc_id (NULL_ID for null), own (16 bits of the text's hash), n_words, a 128-bit hash of the words in two longs, all_sha256 (of all words) and the anchors' hashes."""
+    """doc_id (NULL_ID for null), own (64 bits of the hash of the words: of a million different texts with one doc_id two meet with a probability of 3e-8), n_words, a 128-bit hash of the words in two longs, all_sha256 (of all words) and the anchors' hashes."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -98,13 +108,13 @@ def draw(docs: DataFrame) -> DataFrame:
                 both = xxhash.xxh3_128_digest(joined)
                 short, _ = grams(words, cache)
                 hi = int.from_bytes(both[:8], "big", signed=True)
-                rows.append((hi & 0xFFFF, len(words), hi, int.from_bytes(both[8:], "big", signed=True), hashlib.sha256(joined).hexdigest(), short[anchors(short)[0]].view(np.int64)))
+                rows.append((hi, len(words), hi, int.from_bytes(both[8:], "big", signed=True), hashlib.sha256(joined).hexdigest(), short[anchors(short)[0]].view(np.int64)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "own", "n_words", "seq_hi", "seq_lo", "all_sha256", "anchors"])
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    return keyed.mapInArrow(of, "doc_id long, own int, n_words long, seq_hi long, seq_lo long, all_sha256 string, anchors array<long>")
+    return keyed.mapInArrow(of, "doc_id long, own long, n_words long, seq_hi long, seq_lo long, all_sha256 string, anchors array<long>")
 
 
 def _per_document(rows: DataFrame, fields: str, fn: Callable) -> DataFrame:
@@ -142,10 +152,9 @@ def fingerprints(rows: DataFrame) -> DataFrame:
         places, anchor = anchors(short)
         long = long_grams(short, four)
         pos = np.flatnonzero(marked(row["chosen"], len(places))[anchor])
-        check = (mix(long[pos] ^ short[pos]) >> np.uint64(33)).astype(np.int32)
-        return [long[pos].view(np.int64), check, np.full(len(pos), row["doc_id"]), np.full(len(pos), row["own"], np.int32), pos.astype(np.int32)]
+        return [long[pos].view(np.int64), checks(words, cache)[pos].view(np.int64), np.full(len(pos), row["doc_id"]), np.full(len(pos), row["own"]), pos.astype(np.int32)]
 
-    return _per_document(rows, "hash long, check int, doc_id long, own int, pos int", fn)
+    return _per_document(rows, "hash long, check long, doc_id long, own long, pos int", fn)
 
 
 def removals(rows: DataFrame) -> DataFrame:
@@ -155,7 +164,7 @@ def removals(rows: DataFrame) -> DataFrame:
         kept = _kept(words, cache, row)
         return [[row["doc_id"]], [row["own"]], [len(words) - len(kept)], [hashlib.sha256(b" ".join(kept)).hexdigest()]]
 
-    return _per_document(rows, "doc_id long, own int, n_removed long, kept_sha256 string", fn)
+    return _per_document(rows, "doc_id long, own long, n_removed long, kept_sha256 string", fn)
 
 
 def kept_text(rows: DataFrame) -> DataFrame:
@@ -164,7 +173,7 @@ def kept_text(rows: DataFrame) -> DataFrame:
     def fn(words: list[bytes], cache: WordHashes, row: dict) -> list:
         return [[row["doc_id"]], [row["own"]], [b" ".join(_kept(words, cache, row)).decode("utf-8", "surrogatepass")]]
 
-    return _per_document(rows, "doc_id long, own int, kept_text string", fn)
+    return _per_document(rows, "doc_id long, own long, kept_text string", fn)
 
 
 def _kept(words: list[bytes], cache: WordHashes, row: dict) -> list[bytes]:
@@ -275,7 +284,7 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words_of(v.as_py())))[6:8], "big") for v in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.int32()), b.column(1)], ["doc_id", "own", "text"])
+            own = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words_of(v.as_py())))[:8], "big", signed=True) for v in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.int64()), b.column(1)], ["doc_id", "own", "text"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text").mapInArrow(of, "doc_id long, own int, text string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text").mapInArrow(of, "doc_id long, own long, text string")

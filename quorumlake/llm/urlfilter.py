@@ -3,7 +3,7 @@
 A cascade answers exactly, for every key of a known universe, whether the key is listed: its first level encodes the
 listed keys, the second the keys of the universe that pass the first though they aren't listed, the third the listed
 keys that pass the second, and so on until nothing passes wrongly. The universe is every key that occurs in the corpus,
-so no url is judged wrongly and no join is needed: a level is a binary literal in the expression.
+so no url is judged wrongly and the urls need no join: a level is a binary literal in the expression.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule, and the method's verdict for an
 unlisted host (allow); repeated rows are judged alike, each on its own; an empty table gives no rows; further columns
@@ -13,6 +13,7 @@ are carried through, and those of the operator's own names are replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,21 +81,26 @@ def _place(key: Column, size: int, seed: int, i: int) -> Column:
 
 
 def _bit(bits: bytes, place: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(F.lit(bits), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (place % 8).cast("int")) == 1
+    """Words of 64 bits are written with their highest byte first."""
+    byte = (place / 64).cast("int") * 8 + 8 - ((place % 64) / 8).cast("int")
+    return F.getbit(F.conv(F.hex(F.substring(F.lit(bits), byte, F.lit(1))), 16, 10).cast("int"), (place % 8).cast("int")) == 1
+
+
+#: 64-bit words in a row that the driver gets.
+BLOCK_WORDS = 512
 
 
 def build_level(keys: DataFrame, count: int, seed: int) -> Level:
-    """keys: a frame with the column key. The bits are gathered by byte where the keys lie; the driver gets at most MAX_LEVEL_BYTES rows."""
-    size = max(64, -(-count * BITS_PER_KEY // 8) * 8)
-    if size // 8 > MAX_LEVEL_BYTES:
+    """keys: a frame with the column key. The bits are gathered by words of 64, and these in blocks of BLOCK_WORDS, where they lie; the driver gets the blocks as bytes, MAX_LEVEL_BYTES at most, and joins them."""
+    words = max(1, -(-count * BITS_PER_KEY // 64))
+    if words * 8 > MAX_LEVEL_BYTES:
         raise ValueError("the level is too large for an expression; use listed_by_join")
-    places = keys.select(F.explode(F.array(*[_place(F.col("key"), size, seed, i) for i in range(HASHES)])).alias("place"))
-    rows = places.groupBy((F.col("place") / 8).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("place") % 8).cast("int"))).alias("bits")).collect()
-    out = bytearray(size // 8)
-    for r in rows:
-        out[r["at"]] = r["bits"]
-    return Level(bytes(out), size, seed)
+    places = keys.select(F.explode(F.array(*[_place(F.col("key"), 64 * words, seed, i) for i in range(HASHES)])).alias("place"))
+    own = places.select((F.col("place") / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int")).alias("bits"))
+    full = own.unionByName(keys.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: F.lpad(F.hex(x["bits"]), 16, "0")), "")
+    blocks = full.groupBy((F.col("word") / BLOCK_WORDS).cast("long").alias("block")).agg(F.unhex(spelled).alias("bits")).orderBy("block")
+    return Level(b"".join(bytes(r["bits"]) for r in blocks.toLocalIterator()), 64 * words, seed)
 
 
 def build_cascade(universe: DataFrame, listed: str, seed: int = 1) -> list[Level]:
@@ -122,29 +128,50 @@ def listed_by_join(keys: DataFrame, listed: DataFrame) -> DataFrame:
     return keys.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS) -> DataFrame:
-    """The pages with host, path, rule and verdict."""
-    hosts = [(h, "") for h in blocked_hosts]
+def small(universe: DataFrame, names: list[str]) -> bool:
+    """Whether the levels of all lists have a size for an expression: none is larger than the first two, which encode the listed keys and at most all others."""
+    counts = universe.agg(*[F.count_if(F.col(n)).alias(n) for n in names], F.count("*").alias("n_all")).first()
+    return max((counts[n] for n in names), default=0) * BITS_PER_KEY <= 8 * MAX_LEVEL_BYTES and counts["n_all"] * BITS_PER_KEY <= 8 * MAX_LEVEL_BYTES * 10
+
+
+def listings(pages: DataFrame, rules: tuple, blocked_hosts: tuple[str, ...]) -> DataFrame:
+    """key, allowed, blocked and bad_host of the listed keys: a frame, so that lists may be of any length where they come as frames."""
+    rows = [(h + p, v == "allow", v == "block", False) for v, h, p in rules] + [(h, False, False, True) for h in blocked_hosts]
+    listed = pages.sparkSession.createDataFrame(rows, "key string, allowed boolean, blocked boolean, bad_host boolean")
+    return listed.groupBy("key").agg(*[F.bool_or(c).alias(c) for c in LISTS])
+
+
+LISTS = ("allowed", "blocked", "bad_host")
+
+
+def judge(pages: DataFrame, rules: tuple = RULES, blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS, cascade: bool | None = None) -> DataFrame:
+    """The pages with host, path, rule and verdict.
+
+    The universe, the distinct keys of the pages, learns once which of its keys are listed; the pages are then judged by
+    the cascades alone. Where the levels would be too large for an expression, or with cascade=False, the distinct
+    hosts and paths are judged by a join on their keys.
+    """
     by_rule = [(h, p) for _, h, p in rules]
-    split = (
-        pages.drop("host", "path", "rule", "verdict", "rule_keys", "host_keys")
-        .withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-        .withColumns({"rule_keys": keys_of(F.col("host"), F.col("path"), by_rule), "host_keys": keys_of(F.col("host"), F.col("path"), hosts)})
-    )
-    flags = {
-        "allowed": F.col("key").isin([h + p for v, h, p in rules if v == "allow"]),
-        "blocked": F.col("key").isin([h + p for v, h, p in rules if v == "block"]),
-        "bad_host": F.col("key").isin(list(blocked_hosts)),
-    }
-    universe = materialize(split.select(F.explode(F.array_union("rule_keys", "host_keys")).alias("key")).distinct().withColumns(flags), "url-keys")
-    cascades = {name: build_cascade(universe, name, 1 + 64 * i) for i, name in enumerate(flags)}
-    longest = lambda keys: F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
-    allow = longest(F.filter("rule_keys", lambda k: is_listed(cascades["allowed"], k)))
-    block = longest(F.filter("rule_keys", lambda k: is_listed(cascades["blocked"], k)))
-    return (
-        split.withColumns({"allow_rule": allow, "block_rule": block, "bad": F.exists("host_keys", lambda k: is_listed(cascades["bad_host"], k))})
-        .withColumn("by_allow", F.coalesce(F.length("allow_rule"), F.lit(-1)) >= F.coalesce(F.length("block_rule"), F.lit(-1)))
-        .withColumn("rule", F.when(F.col("by_allow"), F.col("allow_rule")).otherwise(F.col("block_rule")))
-        .withColumn("verdict", F.when(F.col("rule").isNotNull(), F.when(F.col("by_allow"), "allow").otherwise("block")).otherwise(F.when(F.col("bad"), "block").otherwise("allow")))
-        .drop("rule_keys", "host_keys", "allow_rule", "block_rule", "bad", "by_allow")
+    split = pages.select(host_of(F.col("url")).alias("own_host"), path_of(F.col("url")).alias("own_path"), F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("own_row")).withColumns(
+        {"rule_keys": keys_of(F.col("own_host"), F.col("own_path"), by_rule), "host_keys": keys_of(F.col("own_host"), F.col("own_path"), [(h, "") for h in blocked_hosts])}
     )
+    keys = split.select(F.explode(F.array_union("rule_keys", "host_keys")).alias("key")).distinct()
+    told = keys.join(listings(pages, rules, blocked_hosts), "key", "left").select("key", *[F.coalesce(c, F.lit(False)).alias(c) for c in LISTS])
+    universe = materialize(told, "url-keys")
+    longest = lambda found: F.array_max(F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
+    if small(universe, list(LISTS)) if cascade is None else cascade:
+        cascades = {name: build_cascade(universe, name, 1 + 64 * i) for i, name in enumerate(LISTS)}
+        allow, block = (longest(F.filter("rule_keys", partial(is_listed, cascades[n]))) for n in LISTS[:2])
+        judged = split.withColumns({"allow_rule": allow, "block_rule": block, "bad": F.exists("host_keys", lambda k: is_listed(cascades["bad_host"], k))})
+    else:
+        by = ["own_host", "own_path"]
+        places = split.select(*by, "rule_keys", "host_keys").distinct()
+        each = places.select(*by, F.explode(F.array_union("rule_keys", "host_keys")).alias("key"), F.array_contains("rule_keys", F.col("key")).alias("of_rule"), F.array_contains("host_keys", F.col("key")).alias("of_host")).join(universe.where("allowed or blocked or bad_host"), "key")
+        best = lambda c: F.max(F.when(F.col("of_rule") & F.col(c), F.struct(F.length("key").alias("n"), F.col("key").alias("key"))))["key"]
+        met = each.groupBy(*by).agg(best("allowed").alias("allow_rule"), best("blocked").alias("block_rule"), F.bool_or(F.col("of_host") & F.col("bad_host")).alias("bad"))
+        judged = split.join(met, by, "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    by_allow = F.coalesce(F.length("allow_rule"), F.lit(-1)) >= F.coalesce(F.length("block_rule"), F.lit(-1))
+    rule = F.when(by_allow, F.col("allow_rule")).otherwise(F.col("block_rule"))
+    verdict = F.when(F.col("allow_rule").isNotNull() | F.col("block_rule").isNotNull(), F.when(by_allow, "allow").otherwise("block")).otherwise(F.when(F.col("bad"), "block").otherwise("allow"))
+    made = {"host": F.col("own_host"), "path": F.col("own_path"), "rule": rule, "verdict": verdict}
+    return judged.select(*[F.col("own_row")[c].alias(c) for c in pages.columns if c not in made], *[v.alias(k) for k, v in made.items()])

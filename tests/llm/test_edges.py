@@ -180,3 +180,96 @@ def test_media_query_makes_the_tiles(spark):
     kept = {r["doc_id"]: r for r in media.text_media(frame(spark, ROWS[:4])).collect()}
     told = {r["doc_id"]: r for r in media.text_media(frame(spark, ROWS[:4]), keep_bytes=False).collect()}
     assert len(told) == 4 and all(told[k]["tile_sha256"] == hashlib.sha256(r["tile"]).hexdigest() for k, r in kept.items())
+
+
+def test_many_texts_under_one_id(spark):
+    """Different texts without an id are different documents, however many there are."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"doc {i} {passage} end{i * 7}" for i in range(1500)]
+    assert sum(r["n_removed"] for r in substring.deduplicate(frame(spark, [(None, t, "en", "s") for t in texts])).collect()) == 1499 * 40
+
+
+CLASHES = "spans base base_spans n_email own_text class_counts own_lang ref_lang diverges own_words rated_source kept size target rate copies copy own_row root key bands allow_rule bad"
+
+
+def test_clashing_columns_stay(spark):
+    """Every stage carries columns of any name along, with the caller's values."""
+    names = CLASHES.split()
+    rows = [(k, " ".join(f"the word{i}{k} of x{i * k}y" for i in range(40)), "en", "s", 0) for k in range(8)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in names])
+    columns, seen = held.columns, 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, "")
+        assert held.columns == columns
+        got = held.collect()
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in got for c in names)
+        seen += len(got)
+    assert seen and corpus_pipeline.STAGES[-1][1](spark, held, "").count() >= len(got)
+
+
+def test_operators_keep_the_callers_columns(spark):
+    docs = frame(spark, ROWS).withColumns({c: F.lit(c) for c in ("allow_rule", "own_candidates", "class_counts", "rated_source", "url")})
+    for made in (urlfilter.judge(docs), pii.detect(docs), quality.judge(docs), mixing.mix(docs)):
+        got = made.collect()
+        assert len(got) == len(ROWS) and all((r["allow_rule"], r["own_candidates"], r["class_counts"], r["rated_source"]) == ("allow_rule", "own_candidates", "class_counts", "rated_source") for r in got)
+
+
+def test_a_megabyte_of_numbers(spark):
+    """A text with 60,000 numbers is searched and redacted in one sweep."""
+    text = " ".join(f"call {i % 1000:03d}-555-{i % 10000:04d} or" if i % 2 else f"+1 {2000000000 + i}," for i in range(60_000))
+    docs = frame(spark, [(1, text, "en", "s")])
+    r = pii.detect(docs).first()
+    assert len(text) > 1_000_000 and r["n_phone"] == 30_000 and len(r["added"]) == 30_000
+    assert pii.redact(docs).first()["text"] == " ".join("call [phone] or" if i % 2 else "[phone]," for i in range(60_000))
+
+
+def test_lists_too_long_for_a_cascade(spark):
+    """The join that takes the cascade's place gives the same."""
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(["http://example.com/en/a", "https://www.example.com/en/b?x", "http://a.net/es/", "ftp://NET/fr/q#z", "http://adult-x.example.org", "http://x.cheap-pills.example.net/en/", "none", None, "http://b.org/", "http://b.org/"])], "page_id long, url string")
+    one, other = ([tuple(r) for r in urlfilter.judge(pages, cascade=c).orderBy("page_id").collect()] for c in (True, False))
+    assert one == other and [r[-1] for r in one] == ["block", "allow", "block", "block", "block", "block", "allow", "allow", "allow", "allow"]
+
+
+def test_language_by_brute_force(spark):
+    """Predictions equal those of plain dictionaries of n-grams, with the model's centroids."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs)
+
+    def cells(text):
+        out = [0.0] * langid.DIMENSIONS
+        low = text.lower()
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                h = 0
+                for c in low[i : i + n]:
+                    h = (h * 0x9E3779B1 + ord(c)) % 2**32
+                out[(h + n) * 0x85EBCA6B % 2**32 >> 19] += 1
+        return out
+
+    import math
+
+    rows = docs.orderBy("doc_id").limit(25).collect()
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for r in rows:
+        v = [math.log1p(c) * float(w) for c, w in zip(cells(r["text"]), model.idf, strict=True)]
+        size = math.sqrt(sum(x * x for x in v))
+        near = [sum(a * float(b) for a, b in zip(v, c, strict=True) if a) / size for c in model.vectors]
+        best = max(range(len(near)), key=near.__getitem__)
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[model.owner[best]] and abs(got[r["doc_id"]]["score"] - near[best]) < 1e-4
+
+
+def test_values_on_edges(spark):
+    """Nulls, empty texts, ties and repeated rows have defined values."""
+    docs = frame(spark, ROWS)
+    mixed = {(r["doc_id"], r["source"]): r for r in mixing.mix(docs).collect()}
+    assert mixed[(1, None)]["size"] == 0 and mixed[(1, None)]["taken"] == 0 and mixed[(7, None)]["source_size"] == 41
+    judged = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert judged[1]["n_words"] == 0 and judged[1]["base_failed"] and not judged[2]["kept"] and judged[4]["n_repeat_words"] == judged[5]["n_repeat_words"]
+    spans = {r["doc_id"]: r["spans"] for r in pii.detect(docs).collect()}
+    assert spans[9] == "email:5:11" and spans[1] == "" and spans[2] == ""
+    said = {r["doc_id"]: r for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert [(said[k]["lang_pred"], said[k]["score"], said[k]["rejected"]) for k in (1, 2, 8)] == [("und", 0.0, True)] * 3
+    scored = {r["doc_id"]: r for r in lm.score(docs, F.lit(True)).collect()}
+    assert scored[1]["n_tokens"] == scored[2]["n_tokens"] == scored[8]["n_tokens"] == 1 and scored[4]["score"] == scored[5]["score"]
+    made = {r["doc_id"]: r for r in media.text_media(docs).collect()}
+    assert made[1]["payload_bytes"] == 192 and made[1]["n_bytes"] == 0 and made[1]["media_sha256"] == made[2]["media_sha256"] and made[4]["feature"] == made[5]["feature"]
