@@ -4,7 +4,7 @@ Each stage works on all that its predecessor kept and returns the columns of the
 the packed sequences. Null and empty texts fail the quality rules. Documents without a doc_id can't be told apart by it
 and pass the near-duplicate stage; rows that share a doc_id are one document there, of which one row stays. A document
 that the mix takes more than once appears as often, and is packed as often. Empty tables stay empty, and further
-columns are carried along.
+columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.llm import minhash, mixing, packing, pii, quality
-from quorumlake.llm.common import documents, materialize
+from quorumlake.llm.common import documents, materialize, packed, unpacked
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.judge(packed(docs, "text", "lang"), carried=("own_row",)).where("kept").select("own_row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +31,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their personal data replaced by its kind in square brackets; n_chars follows the text."""
-    redacted = pii.redact(docs)
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        redacted = redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return redacted.select(*docs.columns)
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return pii.redact(packed(docs, "text")).select(*unpacked(docs.columns, changed))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+    return mixing.repeated(mixing.mix(packed(docs, "doc_id", "text", "source"))).select("own_row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
