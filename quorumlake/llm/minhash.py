@@ -202,7 +202,7 @@ def _cross_pairs(held: DataFrame, seed: int) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
-    """rep, hash and r, the rank from 1: of each set so many of its rarest shingles that two sets without a common one among these can't have the similarity. Shingles that no other set has take their ranks but aren't returned; a document with several texts gives all its shingles, with rank 1."""
+    """For texts (doc_id, text, several): rep, hash and r, the rank from 1: of each set so many of its rarest shingles that two sets without a common one among these can't have the similarity. Shingles that no other set has take their ranks but aren't returned; a document with several texts gives all its shingles, with rank 1."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -210,15 +210,15 @@ def _prefixes(texts: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
             for i, value in enumerate(b.column(1).cast(pa.binary())):
                 s = shingles((value.as_py() or b"").lower().split(), k, cache).view(np.int64)
                 if len(s):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(s))), pa.array(s), pa.array([len(s)] * len(s))], ["rep", "hash", "size"])
+                    size = 0 if b.column(2)[i].as_py() else len(s)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(s))), pa.array(s), pa.array([size] * len(s))], ["rep", "hash", "size"])
 
-    several = texts.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("rep"), F.lit(True).alias("several"))
-    found = materialize(texts.select("doc_id", "text").mapInArrow(of, f"rep {dict(texts.dtypes)['doc_id']}, hash long, size long"), "open-shingles")
-    shared = found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = found.join(shared, "hash", "left").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("c", F.lit(1)), "hash")))
+    found = materialize(texts.mapInArrow(of, f"rep {dict(texts.dtypes)['doc_id']}, hash long, size long"), "open-shingles")
+    shared = found.groupBy("hash").agg(F.count("*").alias("c"))
+    ranked = found.join(shared, "hash").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("c", "hash")))
     needed = F.col("size") - F.ceil(F.col("size") * least[0] / least[1] - 1e-9) + 1
-    kept = ranked.where("c > 1").join(several, "rep", "left").where((F.col("r") <= needed) | F.col("several"))
-    return kept.groupBy("rep", "hash").agg(F.min(F.when(F.col("several"), 1).otherwise(F.col("r"))).alias("r"))
+    kept = ranked.where((F.col("c") > 1) & ((F.col("size") == 0) | (F.col("r") <= needed)))
+    return kept.groupBy("rep", "hash").agg(F.min(F.when(F.col("size") == 0, 1).otherwise(F.col("r"))).alias("r"))
 
 
 def _remaining_pairs(held: DataFrame, planes: DataFrame, texts: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
@@ -230,7 +230,8 @@ def _remaining_pairs(held: DataFrame, planes: DataFrame, texts: DataFrame, k: in
     mains = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     members = held.join(mains, "key").groupBy("rep").agg(F.first("root").alias("root"), F.max("size").alias("size"), F.max(F.col("root") != F.col("main")).alias("outside"))
     members = materialize(members.join(planes, "rep"), "open-classes")
-    found = _prefixes(texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k, least)
+    several = members.join(texts.groupBy(F.col("doc_id").alias("rep")).agg((F.count("*") > 1).alias("several")), "rep").select(F.col("rep").alias("doc_id"), "several")
+    found = _prefixes(texts.join(several, "doc_id").select("doc_id", "text", "several"), k, least)
     told = materialize(found.join(members, "rep"), "open-prefixes")
     side = lambda n: told.select("hash", F.col("r").alias(f"{n}_r"), *[F.col(c).alias(f"{n}_{c}") for c in ("rep", "root", "size", "outside", "planes")])
     most_common = F.least(F.col("a_size") - F.col("a_r"), F.col("b_size") - F.col("b_r")) + 1
