@@ -44,29 +44,47 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2
     return both.select(key, score.alias("score")).where("score > 0")
 
 
-def expand_terms(posted: DataFrame, query: list[str], fuzzy: int = 1) -> DataFrame:
-    """asked, term, weight: the vocabulary's terms that equal, begin with or are near to a term of the query."""
+def expand_terms(posted: DataFrame, query: list[str], fuzzy: int = 1, prefix_weight: float = 0.375, fuzzy_weight: float = 0.45) -> DataFrame:
+    """asked, term, weight: the vocabulary's terms that equal, begin with or are near to a term of the query. A weight falls with the letters that a term has beyond the one asked for, or with the edits between both, as shares of the term's length."""
     vocabulary = posted.select("term").distinct()
-    hits = [F.struct(F.lit(q).alias("asked"), F.when(F.col("term") == q, 1.0).when(F.startswith("term", F.lit(q)), 0.375 * len(q) / F.length("term")).when(F.levenshtein(F.col("term"), F.lit(q), fuzzy) >= 0, 0.45 * len(q) / (len(q) + F.levenshtein(F.col("term"), F.lit(q)))).alias("weight")) for q in query]
+    size = F.length("term")
+
+    def weight(q: str) -> Column:
+        far = F.levenshtein(F.col("term"), F.lit(q), fuzzy)
+        return F.when(F.col("term") == q, 1.0).when(F.startswith("term", F.lit(q)), prefix_weight * size / (size + 0.3 * (size - len(q)))).when(far >= 0, fuzzy_weight * size / (size + far))
+
+    hits = [F.struct(F.lit(q).alias("asked"), weight(q).alias("weight")) for q in query]
     return vocabulary.select("term", F.explode(F.array(*hits)).alias("h")).select("h.asked", "term", "h.weight").where("weight is not null")
 
 
-def tfidf_overlap(docs: DataFrame, key: str, text: str, units: DataFrame, unit: str, unit_text: str) -> DataFrame:
-    """For each document and unit that share a term: the idf weights of the shared terms over those of the unit's. idf is taken over the documents."""
+def tfidf_overlap(docs: DataFrame, key: str, text: str, units: DataFrame, unit: str, unit_text: str, most_terms: int = 20_000) -> DataFrame:
+    """For each document and unit that share a term: the idf weights of the shared terms over those of the unit's. idf is taken over the documents.
+
+    Up to most_terms terms of the units, with their counts, are told to every task: the texts are then made into terms
+    twice, once for the counts and once for the result, and a document's shared terms meet its units where it lies, so a
+    term that all documents have is no hot key. Beyond that bound both sides are joined by term.
+    """
+    asked = units.select(unit, F.array_distinct(tokens(F.col(unit_text))).alias("own_terms")).select(unit, F.explode("own_terms").alias("term"))
+    n, vocabulary = docs.count(), asked.select("term").distinct()
+    few = vocabulary.limit(most_terms + 1).count() <= most_terms
     terms = docs.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    n = docs.agg(F.count("*").alias("own_n"))
-    idf = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.log((1 + F.col("own_n")) / (1 + F.col("df"))).alias("idf"))
-    asked = units.select(unit, F.explode(F.array_distinct(tokens(F.col(unit_text)))).alias("term")).join(idf, "term")
-    whole = asked.groupBy(unit).agg(F.sum("idf").alias("whole"))
-    shared = terms.join(asked, "term").groupBy(key, unit).agg(F.sum("idf").alias("shared"))
-    return shared.join(whole, unit).select(key, unit, F.try_divide("shared", "whole").alias("overlap"))
-
-
-def quoted(docs: DataFrame, key: str, text: str, quotes: DataFrame, quote: str, quote_text: str, n: int) -> DataFrame:
-    """key, quote and grams: documents that hold an n-gram of a quote, and how many distinct ones."""
-    have = docs.select(key, F.explode(ngrams(tokens(F.col(text)), n)).alias("gram"))
-    want = quotes.select(quote, F.explode(ngrams(tokens(F.col(quote_text)), n)).alias("gram"))
-    return have.join(want, "gram").groupBy(key, quote).agg(F.count("*").alias("grams"))
+    have = terms.join(F.broadcast(vocabulary) if few else vocabulary, "term")
+    idf = have.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log((1 + F.lit(n)) / (1 + F.col("df"))).alias("idf"))
+    weighed = asked.join(idf, "term")
+    whole = weighed.groupBy(unit).agg(F.sum("idf").alias("whole"))
+    by_term = weighed.groupBy("term", "idf").agg(F.collect_list(unit).alias("own_units")) if few else weighed
+    met = terms.join(F.broadcast(by_term), "term").select(key, F.explode("own_units").alias(unit), "idf") if few else terms.join(weighed, "term")
+    return met.groupBy(key, unit).agg(F.sum("idf").alias("shared")).join(whole, unit).select(key, unit, F.try_divide("shared", "whole").alias("overlap"))
+
+
+def quoted(docs: DataFrame, key: str, text: str, quotes: DataFrame, quote: str, quote_text: str, n: int, most_grams: int = 200_000) -> DataFrame:
+    """key, quote and grams: documents that hold an n-gram of a quote, and how many distinct ones. The n-grams are compared as 64-bit hashes first; up to most_grams of the quotes are told to every task, so that no other n-gram is shuffled, and the n-grams themselves settle what is left."""
+    have = docs.select(key, F.explode(ngrams(tokens(F.col(text)), n)).alias("gram")).withColumn("own_hash", F.xxhash64("gram"))
+    want = quotes.select(quote, F.explode(ngrams(tokens(F.col(quote_text)), n)).alias("gram")).withColumn("own_hash", F.xxhash64("gram"))
+    known = want.select("own_hash").distinct()
+    few = known.limit(most_grams + 1).count() <= most_grams
+    near = have.join(F.broadcast(known) if few else known, "own_hash", "left_semi")
+    return near.join(want, ["own_hash", "gram"]).groupBy(key, quote).agg(F.count("*").alias("grams"))
 
 
 def cues(text: Column) -> Column:

@@ -86,7 +86,7 @@ def timed_agreement(df: DataFrame, left: str, right: str, drift: float = 0.8) ->
     return df.withColumn("_m", compare(left, right)).select(*df.columns, "_m.*").withColumn("drifts", F.col("delta") > drift)
 
 
-def canonical_names(df: DataFrame, roster: DataFrame, by: str, name: str, least: float = 0.84) -> DataFrame:
+def canonical_names(df: DataFrame, roster: DataFrame, by: str, name: str, least: float = 0.90) -> DataFrame:
     """Adds canonical: the roster's spelling where it is the same but for case and space, else where exactly one entry of
     the same ``by`` and number of words is at least ``least`` alike, else the name as it is. Each distinct name is judged
     once, against the entries whose length allows the ratio; a null name stays null."""

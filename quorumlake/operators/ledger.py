@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 
 def availability(df: DataFrame, by: list[str], order: str, ok: str, dead_after: int) -> DataFrame:
-    """The last state of each key: failures in a row, state (ok, failing or dead) and the number of recoveries. A fold over one array a key; histories are bounded by retention."""
-    rows = F.array_sort(F.collect_list(F.struct(order, ok)))
-    start = F.struct(F.lit(0).alias("fails"), F.lit(0).alias("recovered"))
-    fold = lambda acc, x: F.struct(F.when(x[ok], 0).otherwise(acc["fails"] + 1).alias("fails"), (acc["recovered"] + F.when(x[ok] & (acc["fails"] > 0), 1).otherwise(0)).alias("recovered"))
-    held = df.groupBy(*by).agg(F.aggregate(rows, start, fold).alias("s"))
-    return held.select(*by, "s.fails", "s.recovered", F.when(F.col("s.fails") == 0, "ok").when(F.col("s.fails") >= dead_after, "dead").otherwise("failing").alias("state"))
+    """The last state of each key: failures in a row, state (ok, failing or dead) and the number of recoveries, by sums over a window; no history is gathered."""
+    back = Window.partitionBy(*by).orderBy(F.col(order).desc())
+    told = df.select(*by, F.col(ok).alias("own_ok"), F.sum(F.col(ok).cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("own_after"), F.lead(ok).over(back).alias("own_before"))
+    held = told.groupBy(*by).agg(F.count_if(F.col("own_after") == 0).cast("int").alias("fails"), F.count_if(F.col("own_ok") & ~F.col("own_before")).cast("int").alias("recovered"))
+    return held.withColumn("state", F.when(F.col("fails") == 0, "ok").when(F.col("fails") >= dead_after, "dead").otherwise("failing"))
 
 
 def token_bucket(df: DataFrame, by: list[str], at: Column, order: str, cost: Column, capacity: float, per_second: float) -> DataFrame:

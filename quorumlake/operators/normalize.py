@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,15 +14,22 @@ def body_key(label: Column) -> Column:
     return F.array_join(F.transform(F.split(bare, " "), lambda w: F.when((F.length(w) > 3) & w.endswith("s"), F.left(w, F.length(w) - 1)).otherwise(w)), " ")
 
 
-def strip_qualifiers(label: Column, qualifiers: tuple[str, ...]) -> Column:
-    """Removes leading and trailing qualifier words, as often as they occur."""
-    words = "|".join(qualifiers)
-    return F.trim(F.regexp_replace(label, rf"(?i)^(?:(?:{words})\s+)+|(?:\s+(?:{words}))+$", ""))
+def plain_key(label: str) -> str:
+    """``body_key`` of a configured label."""
+    bare = " ".join(re.sub(r"[^a-z0-9 ]+", " ", label.lower().replace("&", " and ")).split())
+    return " ".join(w[:-1] if len(w) > 3 and w.endswith("s") else w for w in bare.split(" "))
+
+
+def strip_qualifiers(label: Column, leading: tuple[str, ...], trailing: tuple[str, ...] | None = None) -> Column:
+    """Removes qualifier words from both ends, as often as they occur; trailing ones are the leading ones if not given."""
+    first, last = "|".join(leading), "|".join(leading if trailing is None else trailing)
+    return F.trim(F.regexp_replace(F.regexp_replace(label, rf"(?i)^(?:(?:{first})\s+)+", ""), rf"(?i)(?:\s+(?:{last}))+$", ""))
 
 
-def is_repetition(label: Column, expected: str, most: int = 3) -> Column:
-    """Whether a label is the expected words once or several times over."""
-    return label.isin([" ".join([expected] * n) for n in range(1, most + 1)])
+def is_repetition(label: Column, expected: str) -> Column:
+    """Whether a label is the expected words once or several times over, by the normal forms of both."""
+    words = re.escape(plain_key(expected))
+    return F.coalesce(body_key(label), F.lit("")).rlike(f"^{words}(?: {words})*$") if words else F.lit(False)
 
 
 def word_count(text: Column) -> Column:
@@ -40,9 +49,10 @@ def readable_ratio(text: Column) -> Column:
 
 
 def repeated_line_ratio(text: Column) -> Column:
-    """1 - distinct / all of the lines that aren't blank, trimmed and in lower case; 0 without one."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    return F.coalesce(1 - F.try_divide(F.size(F.array_distinct(lines)), F.size(lines)), F.lit(0.0))
+    """1 - distinct / all of the lines that aren't blank, in lower case and with single spaces; 0 with fewer than three."""
+    bare = lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n?|\n"), bare), lambda x: x != "")
+    return F.when(F.size(lines) < 3, 0.0).otherwise(1 - F.size(F.array_distinct(lines)) / F.size(lines))
 
 
 def identifiers(text: Column, pattern: str) -> Column:
@@ -69,8 +79,9 @@ def step_class(value: Column, steps: list[tuple[float, str]], last: str) -> Colu
 
 
 def capped_backoff(base: Column, cap: float, attempts: Column) -> Column:
-    """Exponential backoff with a cap."""
-    return F.least(F.lit(float(cap)), base * F.pow(F.lit(2.0), F.least(attempts, F.lit(60))))
+    """Exponential backoff: none before the first attempt, the base after it, doubled after each further one up to the cap; the cap where the base isn't below it or isn't positive."""
+    top = F.lit(float(cap))
+    return F.when(attempts <= 0, 0.0).when((base <= 0) | (top <= base), top).otherwise(F.least(top, base * F.pow(F.lit(2.0), F.least(attempts - 1, F.lit(60)))))
 
 
 def billing_cycle(day: Column, rollover: int) -> Column:

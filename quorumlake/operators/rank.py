@@ -63,17 +63,20 @@ def daily_trend(df: DataFrame, by: list[str], ts: str, value: str, days: int) ->
     return last.groupBy(*by).agg(F.count("*").alias("days"), F.regr_slope(F.col("total"), -F.col("back")).alias("slope"), F.avg("total").alias("mean"))
 
 
-def cadence(df: DataFrame, by: list[str], ts: str, factor: float) -> DataFrame:
-    """The median gap in seconds between rows of a group, the last row's time, and whether some gap is over factor times the median."""
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(Window.partitionBy(*by).orderBy(ts)).cast("timestamp"))
-    gaps = df.withColumn("gap", gap / 1e6)
-    return gaps.groupBy(*by).agg(F.expr("percentile_cont(0.5) within group (order by gap)").alias("median_gap"), F.max("gap").alias("longest"), F.max(ts).alias("last")).withColumn("stale", F.col("longest") > factor * F.col("median_gap"))
-
-
-def trailing_streak(df: DataFrame, by: list[str], order: list[Column], hit: Column) -> DataFrame:
-    """How many of a group's last rows in a row are hits."""
+def cadence(df: DataFrame, by: list[str], ts: str, now: str, factor: float = 5.0, fewest: int = 4, floor_days: float = 45.0) -> DataFrame:
+    """n, the median gap in seconds between rows of a group, the last row's time, and stale: whether that is older at now than factor times the median and than floor_days. Groups with fewer rows or a median of 0 aren't stale."""
+    at = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    gaps = df.withColumn("own_gap", at(F.col(ts)) - at(F.lag(ts).over(Window.partitionBy(*by).orderBy(ts))))
+    told = gaps.groupBy(*by).agg(F.count("*").alias("n"), F.expr("percentile_cont(0.5) within group (order by own_gap)").alias("median_gap"), F.max(ts).alias("last"))
+    age = at(F.lit(now)) - at(F.col("last"))
+    old = (F.col("n") >= fewest) & (F.col("median_gap") > 0) & (age > F.greatest(factor * F.col("median_gap"), F.lit(floor_days * 86400)))
+    return told.withColumn("stale", F.coalesce(old, F.lit(False)))
+
+
+def trailing_streak(df: DataFrame, by: list[str], order: list[Column], hit: Column, ts: str) -> DataFrame:
+    """How many of a group's last rows in a row are hits, and since when; null since where the last row is none."""
     back = df.withColumn("hit", hit).withColumn("misses", F.sum(F.when(F.col("hit"), 0).otherwise(1)).over(Window.partitionBy(*by).orderBy(*[o.desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)))
-    return back.groupBy(*by).agg(F.count_if(F.col("misses") == 0).alias("streak"))
+    return back.groupBy(*by).agg(F.count_if(F.col("misses") == 0).alias("streak"), F.min(F.when(F.col("misses") == 0, F.col(ts))).alias("since"))
 
 
 def trailing_sum(df: DataFrame, by: list[str], seconds: Column, value: str, width: int, name: str) -> DataFrame:
@@ -81,11 +84,14 @@ def trailing_sum(df: DataFrame, by: list[str], seconds: Column, value: str, widt
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(seconds).rangeBetween(-width, 0)))
 
 
-def smoothed(df: DataFrame, by: list[str], order: str, value: str, alpha: float) -> DataFrame:
-    """Exponential smoothing of a group's values in order, beginning with the first. Groups are bounded histories: one array each."""
-    rows = F.array_sort(F.collect_list(F.struct(order, value)))
-    held = df.groupBy(*by).agg(rows.alias("rows"))
-    return held.select(*by, F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), F.col("rows")[0][value].cast("double"), lambda acc, x: acc * (1 - alpha) + x[value] * alpha).alias("estimate"))
+def smoothed(df: DataFrame, by: list[str], order: str, value: str, start: float, quick: float = 0.3, slow: float = 0.2, quick_for: int = 10) -> DataFrame:
+    """Exponential smoothing of a group's positive values in order, from a given start: the newest weighs ``quick`` among the first ``quick_for`` and then ``slow``. Each value's share in the result follows from its place and the number of values, so the estimate is one sum and nothing is gathered."""
+    w = Window.partitionBy(*by)
+    placed = df.where(F.col(value) > 0).select(*by, F.col(value).alias("own_v"), F.row_number().over(w.orderBy(order)).alias("own_i"), F.count("*").over(w).alias("own_n"))
+    i, n, early = F.col("own_i"), F.col("own_n"), F.least(F.col("own_n"), F.lit(quick_for))
+    later = lambda k: F.pow(F.lit(1 - quick), F.greatest(early - k, F.lit(0))) * F.pow(F.lit(1 - slow), F.greatest(n - F.greatest(k, F.lit(quick_for)), F.lit(0)))
+    share = F.when(i <= quick_for, quick).otherwise(slow) * later(i)
+    return placed.groupBy(*by).agg((F.sum(F.col("own_v") * share) + start * F.first(later(F.lit(0)))).alias("estimate"))
 
 
 def smoothed_rate(df: DataFrame, by: list[str], order: list[str], value: str, radius: int, name: str) -> DataFrame:

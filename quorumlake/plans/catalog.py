@@ -35,12 +35,13 @@ def body_key(spark, sf):
 
 @query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name, '^(?:(?:small|large|red)\s+)+', '', 'i'), '(?:\s+(?:ring|bolt))+$', '', 'i')) AS label FROM part")
 def strip_qualifiers(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.trim(F.regexp_replace(normalize.strip_qualifiers(F.col("p_name"), ("small", "large", "red")), r"(?i)(?:\s+(?:ring|bolt))+$", "")).alias("label"))
+    return table(spark, sf, "part").select("p_partkey", normalize.strip_qualifiers(F.col("p_name"), ("small", "large", "red"), ("ring", "bolt")).alias("label"))
 
 
-@query("SELECT p_partkey, p_name IN ('small ring', 'small ring small ring', 'small ring small ring small ring') AS same FROM part")
+@query("""SELECT p_partkey, regexp_full_match(repeat(upper(p_name) || 'S, ', p_partkey % 6), '(?:SMALL RINGS, )+') AS same FROM part""")
 def exact_label(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", normalize.is_repetition(F.col("p_name"), "small ring").alias("same"))
+    label = F.repeat(F.concat(F.upper("p_name"), F.lit("S, ")), (F.col("p_partkey") % 6).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", normalize.is_repetition(label, "small ring").alias("same"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN regexp_matches(text, '(?i)lorem ipsum|to be announced') THEN 'placeholder' WHEN n < 40 THEN 'short_notice' ELSE 'complete' END AS class
@@ -55,8 +56,8 @@ def readable_ratio(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(normalize.readable_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query(r"""SELECT doc_id, round(coalesce(1 - len(list_distinct(l)) / nullif(len(l), 0), 0), 6) AS ratio
-FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: lower(trim(x))), lambda x: x <> '') AS l FROM documents)""")
+@query(r"""SELECT doc_id, round(CASE WHEN len(l) < 3 THEN 0.0 ELSE 1 - len(list_distinct(l)) / len(l) END, 6) AS ratio
+FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n?|\n'), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))), lambda x: x <> '') AS l FROM documents)""")
 def repeated_line_ratio(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(normalize.repeated_line_ratio(F.col("text")), 6).alias("ratio"))
 
@@ -81,9 +82,9 @@ def duration_bucket(spark, sf):
     return table(spark, sf, "events").where("value is not null").groupBy(normalize.step_class(F.col("value"), [(10, "short"), (50, "medium")], "long").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(3600.0, 60.0 * pow(2.0, l_linenumber)) AS wait FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber - 2 <= 0 THEN 0.0 ELSE least(3600.0, 60.0 * pow(2.0, l_linenumber - 3)) END AS wait FROM lineitem")
 def capped_backoff(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", normalize.capped_backoff(F.lit(60.0), 3600, F.col("l_linenumber")).alias("wait"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", normalize.capped_backoff(F.lit(60.0), 3600, F.col("l_linenumber") - 2).alias("wait"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders), c AS (
@@ -156,16 +157,6 @@ def archive_diff(spark, sf):
     return merge.set_difference(o.where("o_orderdate >= '1998-01-01'"), o.where("o_orderdate < '1999-01-01'"), "o_orderkey")
 
 
-@query("""WITH b AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT vec_id AS ref, label AS person, embedding AS e FROM embeddings WHERE vec_id < 50)
-SELECT vec_id, arg_max(person, round(s, 5) - ref / 1e9) AS person, round(max(s), 4) AS score FROM (SELECT vec_id, person, ref, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM b, r) GROUP BY vec_id""")
-def profile_matches(spark, sf):
-    """A query set against the references with ids under 50 only; profile_matches_all takes all rows as references."""
-    e = table(spark, sf, "embeddings")
-    registry = e.where("vec_id < 50").select(F.struct(F.col("vec_id").alias("ref"), F.col("label").alias("person"), "embedding").alias("r")).agg(F.collect_list("r").alias("registry"))
-    scored = e.where("vec_id % 20 = 0").join(F.broadcast(registry)).select("vec_id", F.explode("registry").alias("r"), "embedding").select("vec_id", "r.ref", "r.person", tx.cosine(F.col("embedding"), F.col("r.embedding")).alias("s"))
-    return scored.groupBy("vec_id").agg(F.max_by("person", F.round("s", 5) - F.col("ref") / 1e9).alias("person"), F.round(F.max("s"), 4).alias("score"))
-
-
 @query("""WITH b AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT vec_id AS ref, label AS person, embedding AS e FROM embeddings),
 p AS (SELECT vec_id, person, ref, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM b JOIN r ON vec_id <> ref)
 SELECT vec_id, first(person ORDER BY round(s, 5) DESC, ref) AS person, round(max(s), 4) AS score FROM p GROUP BY vec_id""")
@@ -326,14 +317,14 @@ def backlog_trend(spark, sf):
 
 
 @query("""WITH g AS (SELECT user_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1e6 AS gap FROM events)
-SELECT user_id, round(quantile_cont(gap, 0.5), 3) AS median_gap, round(max(gap), 3) AS longest, max(gap) > 8 * quantile_cont(gap, 0.5) AS stale FROM g GROUP BY 1""")
+SELECT user_id, count(*) AS n, round(quantile_cont(gap, 0.5), 3) AS median_gap, coalesce(count(*) >= 4 AND quantile_cont(gap, 0.5) > 0 AND epoch_us(TIMESTAMP '2024-03-20') / 1e6 - max(epoch_us(ts)) / 1e6 > greatest(5 * quantile_cont(gap, 0.5), 45 * 86400), false) AS stale FROM g GROUP BY 1""")
 def cadence(spark, sf):
-    return rank.cadence(table(spark, sf, "events").select("user_id", "ts"), ["user_id"], "ts", 8).select("user_id", F.round("median_gap", 3).alias("median_gap"), F.round("longest", 3).alias("longest"), "stale")
+    return rank.cadence(table(spark, sf, "events").select("user_id", "ts"), ["user_id"], "ts", "2024-03-20").select("user_id", "n", F.round("median_gap", 3).alias("median_gap"), "stale")
 
 
-@query("""WITH m AS (SELECT user_id, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS m FROM events) SELECT user_id, count(*) FILTER (WHERE m = 0) AS streak FROM m GROUP BY 1""")
+@query("""WITH m AS (SELECT user_id, ts, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS m FROM events) SELECT user_id, count(*) FILTER (WHERE m = 0) AS streak, strftime(min(ts) FILTER (WHERE m = 0), '%Y-%m-%d %H:%M:%S') AS since FROM m GROUP BY 1""")
 def trailing_streak(spark, sf):
-    return rank.trailing_streak(table(spark, sf, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") != "purchase")
+    return rank.trailing_streak(table(spark, sf, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") != "purchase", "ts").withColumn("since", F.date_format("since", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), 4) AS spent FROM events")
@@ -342,10 +333,10 @@ def trailing_quota(spark, sf):
     return rank.trailing_sum(table(spark, sf, "events"), ["user_id"], second, "value", 86400, "spent").select("event_id", F.round("spent", 4).alias("spent"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), f AS (SELECT user_id, r, value::DOUBLE AS e FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, f.e * 0.7 + o.value * 0.3 FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1)
+@query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE value > 0), f AS (SELECT user_id, r, 100 * 0.7 + value * 0.3::DOUBLE AS e FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, CASE WHEN o.r <= 10 THEN f.e * 0.7 + o.value * 0.3 ELSE f.e * 0.8 + o.value * 0.2 END FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1)
 SELECT user_id, round(arg_max(e, r), 4) AS estimate FROM f GROUP BY 1""")
 def runtime_estimate(spark, sf):
-    return rank.smoothed(table(spark, sf, "events"), ["user_id"], "event_id", "value", 0.3).select("user_id", F.round("estimate", 4).alias("estimate"))
+    return rank.smoothed(table(spark, sf, "events"), ["user_id"], "event_id", "value", 100.0).select("user_id", F.round("estimate", 4).alias("estimate"))
 
 
 @query("""WITH o AS (SELECT event_id, value, sum(value) OVER w AS s, first(value) OVER a AS f, last(value) OVER a AS l, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events
@@ -515,7 +506,7 @@ def bm25_search(spark, sf):
     return tx.bm25(table(spark, sf, "documents"), "doc_id", "text", ["thing", "the"]).select("doc_id", F.round("score", 5).alias("score"))
 
 
-@query("""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+')) AS t FROM documents) SELECT 'than' AS asked, t AS term, round(CASE WHEN t = 'than' THEN 1.0 WHEN starts_with(t, 'than') THEN 0.375 * 4 / length(t) ELSE 0.45 * 4 / (4 + levenshtein(t, 'than')) END, 6) AS weight FROM v WHERE starts_with(t, 'than') OR levenshtein(t, 'than') <= 1""")
+@query("""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+')) AS t FROM documents) SELECT 'than' AS asked, t AS term, round(CASE WHEN t = 'than' THEN 1.0 WHEN starts_with(t, 'than') THEN 0.375 * length(t) / (length(t) + 0.3 * (length(t) - 4)) ELSE 0.45 * length(t) / (length(t) + levenshtein(t, 'than')) END, 6) AS weight FROM v WHERE starts_with(t, 'than') OR levenshtein(t, 'than') <= 1""")
 def expand_terms(spark, sf):
     return tx.expand_terms(tx.postings(table(spark, sf, "documents"), "doc_id", "text"), ["than"]).withColumn("weight", F.round("weight", 6))
 

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quorumlake.plans import catalog
+from quorumlake.plans import archive, catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,7 +26,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(archive.SQL))
 def test_against_sql(spark, duck, name):
     frame = catalog.QUERIES[name](spark, SF)
     asked = duck.sql(catalog.SQL[name])
