@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.functions import quotes
-from quorumlake.operators import bodies, limits, people, status, timeline, workqueue
+from quorumlake.operators import bodies, judging, limits, people, status, timeline, workqueue
 from quorumlake.plans.catalog import QUERIES, SQL, query
 from quorumlake.sources.readers import table
 
@@ -671,3 +671,89 @@ def chapter_by_page(spark, sf):
 @query("SELECT p_partkey, contains(' ' || p_name || ' ', ' ring ') AS hit FROM part")
 def title_matches(spark, sf):
     return table(spark, sf, "part").select("p_partkey", quotes.title_matches(F.concat(F.lit("1. "), F.upper("p_name"), F.lit("!")), F.lit("Ring")).alias("hit"))
+
+
+# ---- judgments -----------------------------------------------------------------------------------------------------
+
+JUDGED_SQL = """j AS (SELECT o_orderkey // 8 AS subject, 'm' || o_custkey % 5 AS model, 'q' || o_orderkey % 2 || CASE WHEN o_orderkey % 3 = 0 THEN '_s' ELSE '' END AS question, 't' AS tier, CASE (o_orderkey // 2) % 4 WHEN 0 THEN 'sibling' WHEN 1 THEN 'adjudicator' WHEN 2 THEN 'audit' ELSE 'anchor' END AS role,
+CASE WHEN o_orderkey % 3 = 0 THEN 'stability' ELSE 'routine' END AS sample, CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice > 150000 END AS said, o_orderstatus <> 'P' AS quote_valid, o_orderdate::DATE::VARCHAR AS judged_at, 'k' || (o_orderkey // 8) % 3 AS task FROM orders)"""
+
+
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pick = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.floor(k / 2) % len(names) + 1).cast("int"))
+    return table(spark, sf, "orders").select(F.floor(k / 8).alias("subject"), F.concat(F.lit("m"), F.col("o_custkey") % 5).alias("model"), F.concat(F.lit("q"), k % 2, F.when(k % 3 == 0, "_s").otherwise("")).alias("question"), F.lit("t").alias("tier"), pick("sibling", "adjudicator", "audit", "anchor").alias("role"),
+        F.when(k % 3 == 0, "stability").otherwise("routine").alias("sample"), F.when(k % 11 > 0, F.col("o_totalprice") > 150000).alias("said"), (F.col("o_orderstatus") != "P").alias("quote_valid"), F.to_date("o_orderdate").cast("string").alias("judged_at"), F.concat(F.lit("k"), F.floor(k / 8) % 3).alias("task"), "o_orderkey")
+
+
+@query(f"""WITH {JUDGED_SQL}, a AS (SELECT model, NOT quote_valid AS bad FROM j WHERE role IN ('sibling', 'adjudicator')), f AS (SELECT subject, model, question, tier, any_value(said) AS first, count(*) AS c FROM j WHERE sample = 'routine' GROUP BY ALL),
+b AS (SELECT s.model, s.said <> f.first AS bad FROM j s JOIN f ON s.subject = f.subject AND s.model = f.model AND regexp_replace(s.question, '_s$', '') = f.question AND f.c = 1 WHERE s.sample = 'stability' AND s.said IS NOT NULL AND f.first IS NOT NULL)
+SELECT model, round(avg(bad::INT), 6) AS noise, count(*) AS n FROM (FROM a UNION ALL FROM b) GROUP BY 1""")
+def judge_noise(spark, sf):
+    """First answers that are given twice are left out, as either could be the first."""
+    j = judged(spark, sf)
+    twice = j.where("sample = 'routine'").groupBy("subject", "model", "question", "tier").agg(F.count("*").alias("c")).where("c > 1").drop("c").withColumn("twice", F.lit(True))
+    once = j.join(twice, ["subject", "model", "question", "tier"], "left").withColumn("sample", F.when(F.col("twice"), "repeated").otherwise(F.col("sample")))
+    return judging.judge_noise(once).withColumn("noise", F.round("noise", 6))
+
+
+@query(f"""WITH {JUDGED_SQL}, a AS (SELECT task, subject, question, arg_min(said, judged_at) AS a, count(*) AS n FROM j WHERE role = 'audit' AND said IS NOT NULL AND judged_at >= '1995-01-01' GROUP BY ALL), b AS (SELECT task, subject, question, arg_max(said, judged_at) AS b FROM j WHERE role = 'adjudicator' AND said IS NOT NULL GROUP BY ALL)
+SELECT task, count(*) AS n FROM a JOIN b USING (task, subject, question) WHERE a <> b GROUP BY 1""")
+def judge_disagreements(spark, sf):
+    return judging.disagreements(judged(spark, sf).withColumn("subject", F.col("subject")), "1995-01-01")
+
+
+@query(f"""WITH {JUDGED_SQL} SELECT model FROM (SELECT model, min(judged_at || '-' || subject) AS t FROM j WHERE role <> 'audit' AND model <> 'm0' GROUP BY 1 ORDER BY t DESC LIMIT 1)""")
+def newest_judge(spark, sf):
+    """With the subject in the time's place, which has no ties."""
+    j = judged(spark, sf).where("model <> 'm0'").withColumn("own_t", F.concat_ws("-", "judged_at", "subject"))
+    first = j.where("role <> 'audit'").groupBy("model").agg(F.min("own_t").alias("t"))
+    placed = first.withColumn("judged_at", F.date_add(F.lit("2026-01-01").cast("date"), F.row_number().over(_by("t"))).cast("string"))
+    return judging.newest_judge(placed.withColumn("role", F.lit("sibling")), "2026-01-08")
+
+
+def _by(column: str):
+    from pyspark.sql import Window
+
+    return Window.orderBy(column)
+
+
+@query("""SELECT o_orderpriority AS task, 'decision' AS kind, o_orderstatus AS name, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT o_orderpriority, 'flag', f, count(*) FROM (SELECT o_orderpriority, unnest(CASE o_orderkey % 3 WHEN 0 THEN ['late'] WHEN 1 THEN ['late', 'early'] ELSE [] END) AS f FROM orders) GROUP BY ALL""")
+def evidence_summary(spark, sf):
+    k = F.col("o_orderkey") % 3
+    flags = F.when(k == 0, F.array(F.lit("late"))).when(k == 1, F.array(F.lit("late"), F.lit("early"))).otherwise(F.array().cast("array<string>"))
+    return judging.evidence_summary(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("task"), "o_orderstatus", flags.alias("flags")), ["task"], "o_orderstatus", "flags")
+
+
+@query("""WITH t AS (SELECT l_suppkey AS route, round(l_discount - l_tax, 4) AS m, CASE l_partkey % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'other' ELSE 'tie' END AS w FROM lineitem), a AS (SELECT route, count(*) FILTER (WHERE w = 'one') AS wins, count(*) FILTER (WHERE w = 'other') AS losses, avg(m) AS mm FROM t GROUP BY 1)
+SELECT route, wins, losses, round(mm, 6) AS mean_margin, CASE WHEN wins - losses >= 8 THEN 'keep' WHEN wins - losses <= -8 THEN 'switch' WHEN mm >= 0.0123 THEN 'keep' WHEN mm <= -0.0123 THEN 'switch' ELSE 'undecided' END AS decision FROM a""")
+def quality_routes(spark, sf):
+    margin = judging.signed_margin(F.create_map(F.lit("aligned"), F.col("l_discount"), F.lit("challenger"), F.col("l_tax")), "aligned", "challenger")
+    k = F.col("l_partkey") % 3
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("route"), margin.alias("m"), F.when(k == 0, "one").when(k == 1, "other").otherwise("tie").alias("w"))
+    return judging.routing(rows, ["route"], "m", "w", 8, 0.0123).withColumn("mean_margin", F.round("mean_margin", 6))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey % 400 = 3) SELECT a, b FROM p WHERE a IN (SELECT a FROM p GROUP BY 1 HAVING count(*) = 1) AND b IN (SELECT b FROM p GROUP BY 1 HAVING count(*) = 1)""")
+def unique_matches(spark, sf):
+    p = table(spark, sf, "lineitem").where("l_orderkey % 400 = 3").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
+    return judging.unique_matches(p, "a", "b")
+
+
+@query("SELECT event_type, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY 1")
+def upper_medians(spark, sf):
+    return judging.upper_median(table(spark, sf, "events"), ["event_type"], "value")
+
+
+@query("""SELECT c_custkey, instr('13579bdf', right(sha1(c_name), 1)) > 0 AS swapped FROM customer""")
+def blind_order(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", judging.is_swapped(F.col("c_name")).alias("swapped"))
+
+
+@query(f"""WITH {TALK_SQL}, h AS (SELECT DISTINCT k, x AS chapter, x * 25.0 AS a, CASE WHEN x < 2 THEN x * 25.0 + 25 END AS b FROM c, generate_series(0, 2) g(x)) SELECT c.k, chapter, md5(string_agg(coalesce(t.text, ''), ' ' ORDER BY seq)) AS mark
+FROM c JOIN conversations t ON t.conv_id = c.k AND t.turn = c.seq JOIN h ON h.k = c.k AND s >= a AND (b IS NULL OR s < b) GROUP BY ALL""".replace("x AS chapter, x * 25.0 AS a, CASE WHEN x < 2 THEN x * 25.0 + 25 END AS b FROM c, generate_series(0, 2) g(x)", "g AS chapter, g * 25.0 AS a, CASE WHEN g < 2 THEN g * 25.0 + 25 END AS b FROM c, generate_series(0, 2) v(g)"))
+def chapter_texts(spark, sf):
+    t = talk(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
+    starts = t.select("k").distinct().select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("chapter"))
+    marks = starts.select("k", "chapter", (F.col("chapter") * 25.0).alias("start"), F.when(F.col("chapter") < 2, F.col("chapter") * 25.0 + 25).alias("end"))
+    return judging.chapter_texts(t, marks, ["k"]).select("k", "chapter", F.md5("text").alias("mark"))
