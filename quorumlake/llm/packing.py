@@ -157,7 +157,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 def _pack_group(names: list[str], capacity: int, r: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], kind="stable")
+        pdf = pdf.sort_values(["length", "own_draw"], kind="stable")
         lengths = pdf["length"].to_numpy(np.int64)
         bins, offsets = best_fit(lengths, capacity)
         fill = np.bincount(bins, lengths)
@@ -168,12 +168,17 @@ def _pack_group(names: list[str], capacity: int, r: int) -> Callable[[pd.DataFra
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """items: any columns beside length, piece and doc_id; returns them with sequence_id, offset and certified. The rows of a group are dealt by hash, group_rows on average."""
-    items = items.drop("sequence_id", "offset", "certified", "own_group", "own_full")
+    """items: any columns beside length, piece and doc_id; returns them with sequence_id, offset and certified.
+
+    The items are written once, with a number each, and dealt to groups by hashes of these numbers, group_rows on
+    average: however many rows are equal, they don't meet in one group.
+    """
+    items = items.drop("sequence_id", "offset", "certified", "own_group", "own_full", "own_draw")
     names = items.columns
+    items = materialize(items.withColumn("own_draw", F.monotonically_increasing_id()), "pieces")
     schema = ", ".join([*[f"`{c}` {t}" for c, t in items.dtypes], "sequence_id long, offset long, certified boolean, own_full boolean"])
     whole = items.where(F.col("length") >= capacity)
-    done = [whole.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "certified": F.lit(True)})]
+    done = [whole.withColumns({"sequence_id": F.col("own_draw"), "offset": F.lit(0).cast("long"), "certified": F.lit(True)})]
     pool = items.where(F.col("length") < capacity)
     for r in range(rounds):
         count = pool.count()
@@ -181,19 +186,19 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
             break
         groups = max(1, -(-count // group_rows))
 
-        dealt = pool.withColumn("own_group", F.pmod(F.xxhash64(F.lit(r), "doc_id", "piece", "length"), F.lit(groups)))
-        packed = materialize(dealt.groupBy("own_group").applyInPandas(_pack_group(names, capacity, r), schema), f"packed-{r}")
+        dealt = pool.withColumn("own_group", F.pmod(F.xxhash64(F.lit(r), "own_draw"), F.lit(groups)))
+        packed = materialize(dealt.groupBy("own_group").applyInPandas(_pack_group(items.columns, capacity, r), schema), f"packed-{r}")
         keep = F.col("certified") | F.col("own_full") | F.lit(r == rounds - 1)
         done.append(packed.where(keep).drop("own_full"))
-        pool = packed.where(~keep).select(*names)
+        pool = packed.where(~keep).select(*items.columns)
         if r == rounds - 1:
             break
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.select(*names, "sequence_id", "offset", "certified")
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The pieces of all documents with their places. The pieces are written once, so that no text is tokenised again."""
-    return pack(materialize(pieces(docs, path, pattern, capacity=capacity, keep_ids=keep_ids), "pieces"), capacity)
+    return pack(pieces(docs, path, pattern, capacity=capacity, keep_ids=keep_ids), capacity)
