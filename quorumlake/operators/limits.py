@@ -96,6 +96,34 @@ def route_ladder(df: DataFrame, by: list[str], order: list[str], failed: Column,
     return island.withColumn("streak", streak).withColumn("pause", pause).drop("own_bad", "own_island")
 
 
+def health_ladder(df: DataFrame, by: list[str], ts: str, started: str, outcome: str, thresholds: dict[str, int], rungs: list[int]) -> DataFrame:
+    """Each route's state after its last event: rung, until, class and one count a class of failures; zeros if it is healthy.
+
+    A success forgets everything, so only the failures after a route's last success are gathered, as three numbers each, and folded in order of ts and started. A healthy
+    route climbs to the first rung when a class's count reaches its threshold; on the ladder, a failure climbs only if its call started at or after the pause's end (the
+    half-open probe), any other is counted alone. Times and rungs are whole seconds. A failure of a class without a threshold changes nothing.
+    """
+    classes = [c for c, n in thresholds.items() if n > 0]
+    last = F.max(F.when(F.col(outcome) == "success", F.struct(ts, started))).over(Window.partitionBy(*by))
+    rows = df.withColumn("own_last", last).groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.when(F.col(outcome).isin(classes) & (F.col("own_last").isNull() | (F.struct(ts, started) > F.col("own_last"))), F.struct(F.col(ts).cast("long").alias("at"), F.least(F.coalesce(started, ts), ts).cast("long").alias("began"), F.col(outcome).alias("cls"))))).alias("own_events")
+    )
+    steps, zero = F.array(*[F.lit(r).cast("long") for r in rungs]), F.lit(0).cast("long")
+
+    def step(state: Column, e: Column) -> Column:
+        counts = {c: state[c] + (e["cls"] == c).cast("long") for c in classes}
+        reached = F.lit(False)
+        for c in classes:
+            reached = reached | ((e["cls"] == c) & (counts[c] >= thresholds[c]))
+        up = F.when(state["rung"] > 0, e["began"] >= state["until"]).otherwise(reached)
+        rung = F.when(up, F.least(state["rung"] + 1, F.lit(len(rungs)).cast("long"))).otherwise(state["rung"])
+        until = F.when(up, e["at"] + F.element_at(steps, F.greatest(rung, F.lit(1)).cast("int"))).otherwise(state["until"])
+        return F.struct(rung.alias("rung"), until.alias("until"), F.when(up, e["cls"]).otherwise(state["cls"]).alias("cls"), *[n.alias(c) for c, n in counts.items()])
+
+    start = F.struct(zero.alias("rung"), zero.alias("until"), F.lit("").alias("cls"), *[zero.alias(c) for c in classes])
+    return rows.select(*by, F.aggregate("own_events", start, step).alias("own_state")).select(*by, "own_state.rung", "own_state.until", F.col("own_state.cls").alias("class"), *[F.col(f"own_state.{c}") for c in classes])
+
+
 def by_capacity(routes: DataFrame, model: str, limit: str, used: str) -> DataFrame:
     """Models by what their routes have left, most first: model, left, place."""
     left = routes.groupBy(model).agg(F.sum(F.greatest(F.col(limit) - F.col(used), F.lit(0))).alias("left"))

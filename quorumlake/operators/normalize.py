@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -89,3 +89,17 @@ def billing_cycle(day: Column, rollover: int) -> Column:
     own = F.date_add(F.trunc(day, "month"), F.least(F.lit(rollover), F.dayofmonth(F.last_day(day))) - 1)
     before = F.add_months(F.trunc(day, "month"), -1)
     return F.when(day >= own, own).otherwise(F.date_add(before, F.least(F.lit(rollover), F.dayofmonth(F.last_day(before))) - 1))
+
+
+def agenda_score(text: Column, titled: Column) -> Column:
+    """How much a text looks like an agenda, 0 to 6: the word itself 1, a numbered line 2, titles found 2, 500 letters 1. Null and empty texts have 0."""
+    spaced = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    score = spaced.rlike(r"\bagenda(?: items?)?\b").cast("int") + 2 * text.rlike(r"(?i)(?:^|\n)\s*(?:\d+|[IVXLC]+)(?:\.[A-Z])?\.").cast("int") + 2 * F.coalesce(titled, F.lit(False)).cast("int")
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(score + (F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= 500).cast("int"))
+
+
+def feed_hash(df: DataFrame, by: list[str], uid: str, shown: list[str], fingerprint: str) -> DataFrame:
+    """by and mark: a hash of each feed's shown columns in order of uid, which changes if and only if something shown does. Each row is hashed first, so that a feed gathers 64 characters a row."""
+    own = F.sha2(F.to_json(F.struct(uid, *shown), {"ignoreNullFields": "false"}), 256)
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(uid).cast("string"), F.lit("")).alias("u"), own.alias("h")))).alias("own_rows"))
+    return rows.select(*by, F.sha2(F.concat_ws(",", F.lit(fingerprint), F.transform("own_rows", lambda r: r["h"])), 256).alias("mark"))

@@ -108,3 +108,30 @@ def runs_of_same(df: DataFrame, by: list[str], order: list[str], hash: str, most
     w = Window.partitionBy(*by).orderBy(*order)
     fresh = F.coalesce(F.bit_count(F.col(hash).bitwiseXOR(F.lag(hash).over(w))) > most_bits, F.lit(True))
     return df.withColumn("own_fresh", fresh.cast("int")).withColumn("run", F.sum("own_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("own_fresh")
+
+
+def selected_slides(df: DataFrame, by: list[str], source: str, start: str, end: str, hash: str, most_bits: int = 6, gap: float = 30.0, recurring: int = 5, most: int = 60) -> DataFrame:
+    """The slides of each group: source, start, end and hash, the first `most` of them in order.
+
+    Pictures that are near at least so many of their group, themselves included, go. Of the rest, one within most_bits of the slide before it, of the same source and at
+    most gap seconds after its end, lengthens that slide, which keeps its own hash; any other begins a slide. Where a start lies over gap seconds after every end before
+    it a slide surely begins, so only the pictures between two such places are gathered and folded, as three numbers each. Pictures of one group, source and start must
+    differ in end or hash; equal rows count once.
+    """
+    rows = df.select(*by, F.col(source).alias("source"), F.col(start).alias("start"), F.col(end).alias("end"), F.col(hash).alias("hash")).distinct().withColumn("own_key", F.struct("source", "start", "end", "hash"))
+    often = recurring_hashes(rows, by, "own_key", "hash", most_bits, recurring - 1).select(*by, "own_key") if recurring > 1 else rows.select(*by, "own_key")
+    left = rows.join(often, [*by, "own_key"], "left_anti").drop("own_key")
+    w = Window.partitionBy(*by, "source").orderBy("start", "end", "hash")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = left.withColumn("own_cut", F.coalesce(F.col("start") - before > gap, F.lit(True)).cast("int")).withColumn("own_part", F.sum("own_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = cut.groupBy(*by, "source", "own_part").agg(F.array_sort(F.collect_list(F.struct("start", "end", "hash"))).alias("own_rows"))
+
+    def step(kept: Column, x: Column) -> Column:
+        top = F.element_at(kept, -1)
+        same = (F.size(kept) > 0) & (x["start"] - top["end"] <= gap) & (F.bit_count(top["hash"].bitwiseXOR(x["hash"])) <= most_bits)
+        longer = F.struct(top["start"].alias("start"), x["end"].alias("end"), top["hash"].alias("hash"))
+        return F.when(same, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(longer))).otherwise(F.concat(kept, F.array(x)))
+
+    slides = parts.select(*by, "source", F.explode(F.aggregate("own_rows", F.slice("own_rows", 1, 0), step)).alias("own_slide")).select(*by, "source", "own_slide.*")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("source", "start", "end", "hash"))
+    return slides.withColumn("own_place", place).where(F.col("own_place") <= most).drop("own_place")

@@ -82,6 +82,69 @@ def page_texts(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(key, html).mapInPandas(of, f"{key} {dict(df.dtypes)[key]}, text string, links array<string>")
 
 
+class _Outline(HTMLParser):
+    """Headings, and links of the class agenda as headings of the second level, without hidden parts."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.open, self.rows = 0, [], []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.hidden += tag in ("script", "style", "nav", "footer", "noscript")
+        classes = (dict(attrs).get("class") or "").lower().split()
+        heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
+        if not self.hidden and (heading or (tag == "a" and "agenda" in classes)):
+            self.rows.append((int(tag[1]) if heading else 2, []))
+            self.open.append((tag, self.rows[-1][1]))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.hidden -= tag in ("script", "style", "nav", "footer", "noscript") and self.hidden > 0
+        at = next((i for i in reversed(range(len(self.open))) if self.open[i][0] == tag), None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden and data.strip():
+            for _, parts in self.open:
+                parts.append(data)
+
+
+def page_outlines(df: DataFrame, key: str, html: str) -> DataFrame:
+    """key, seq, level and title of the headings of HTML pages; a title under three characters, or one that the page has had in any case of letters, is left out. Null pages have none."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, page in zip(b[key], b[html], strict=True):
+                parser, seen = _Outline(), set()
+                parser.feed(page or "")
+                parser.close()
+                for level, parts in parser.rows:
+                    title = " ".join(" ".join(parts).split())
+                    if len(title) >= 3 and title.casefold() not in seen:
+                        rows.append((k, len(seen), level, title))
+                        seen.add(title.casefold())
+            yield pd.DataFrame(rows, columns=[key, "seq", "level", "title"])
+
+    return df.select(key, html).mapInPandas(of, f"{key} {dict(df.dtypes)[key]}, seq int, level int, title string")
+
+
+def dated_archive_links(df: DataFrame, key: str, html: str, base: str) -> DataFrame:
+    """key, seq, title, day and url of the links to archived documents (?ADID=number) whose titles hold a date: "May 5, 2026", else "5-5-2026". Links that begin with a slash or a file name are put behind the base."""
+    link = r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*[?&](?:amp;)?ADID=\d+[^\"']*)[\"'][^>]*>(.*?)</a>"
+    rows = df.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(link), F.lit(0))).alias("seq", "own_link"))
+    title = F.trim(F.regexp_replace(_unescaped(F.regexp_replace(F.regexp_extract("own_link", link, 2), "<[^>]+>", " ")), r"\s+", " "))
+    href = _unescaped(F.regexp_extract("own_link", link, 1))
+    months = "January|February|March|April|May|June|July|August|September|October|November|December"
+    rows = rows.withColumn("title", title).withColumn("own_href", href)
+    long_date = F.regexp_replace(F.initcap(F.regexp_extract("title", rf"(?i)\b(?:{months})\s+\d{{1,2}},\s+\d{{4}}\b", 0)), r"\s+", " ")
+    day = F.coalesce(F.try_to_timestamp(F.nullif(long_date, F.lit("")), F.lit("MMMM d, yyyy")), F.try_to_timestamp(F.nullif(F.regexp_extract("title", r"\b\d{1,2}-\d{1,2}-\d{4}\b", 0), F.lit("")), F.lit("M-d-yyyy"))).cast("date")
+    site = F.regexp_extract(F.lit(base), r"^[a-zA-Z]+://[^/?#]*", 0)
+    folder = F.regexp_replace(F.regexp_extract(F.lit(base), r"^[^?#]*", 0), r"[^/]*$", "")
+    url = F.when(F.col("own_href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.col("own_href")).when(F.col("own_href").startswith("/"), F.concat(site, F.col("own_href"))).otherwise(F.concat(folder, F.col("own_href")))
+    return rows.select(key, "seq", "title", day.alias("day"), url.alias("url")).where("day IS NOT NULL")
+
+
 def grid_rows(df: DataFrame, key: str, html: str, columns: list[str], row_class: str = "rg(?:Alt)?Row") -> DataFrame:
     """key, seq and, for each named column of an HTML grid, its text and link; of rows that several pages repeat, the first.
 
