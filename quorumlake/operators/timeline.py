@@ -94,13 +94,18 @@ def freeze_intervals(logs: DataFrame, key: str, text: str, duration: str) -> Dat
 
 
 def recurring_hashes(df: DataFrame, by: list[str], key: str, hash: str, most_bits: int, least_times: int) -> DataFrame:
-    """Pictures with at least so many others of their group within most_bits of their 64-bit hash: key and n. Hashes are cut into most_bits + 1 parts, one of which two near ones share, so that only such pairs are compared and each is counted once."""
+    """Pictures with at least so many others of their group within most_bits of their 64-bit hash: key and n. Equal hashes are counted first, so that pairs are made of different hashes alone; these are cut into most_bits + 1 parts, one of which two near ones share, so that only such pairs are compared and each is counted once."""
     width = -(-64 // (most_bits + 1))
     part = lambda i: F.call_function("shiftrightunsigned", F.col(hash), F.lit(i * width)).bitwiseAND(F.lit((1 << min(width, 63)) - 1))
-    parts = df.select(*by, key, hash, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(i).alias("v")) for i in range(-(-64 // width))])).alias("p"))
-    other = parts.select(*by, "p", F.col(key).alias("own_other"), F.col(hash).alias("own_hash"))
-    near = parts.join(other, [*by, "p"]).where((F.col(key) != F.col("own_other")) & (F.bit_count(F.col(hash).bitwiseXOR(F.col("own_hash"))) <= most_bits))
-    return near.select(*by, key, "own_other").distinct().groupBy(*by, key).agg(F.count("*").alias("n")).where(F.col("n") >= least_times)
+    counted = df.groupBy(*by, hash).agg(F.count("*").alias("own_n"))
+    parts = counted.select(*by, hash, "own_n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(i).alias("v")) for i in range(-(-64 // width))])).alias("p"))
+    other = parts.select(*by, "p", F.col(hash).alias("own_hash"), F.col("own_n").alias("own_times"))
+    first = [part(i) == F.call_function("shiftrightunsigned", F.col("own_hash"), F.lit(i * width)).bitwiseAND(F.lit((1 << min(width, 63)) - 1)) for i in range(-(-64 // width))]
+    earliest = F.coalesce(*[F.when(same, F.lit(i)) for i, same in enumerate(first)])
+    near = parts.join(other, [*by, "p"]).where((F.col(hash) != F.col("own_hash")) & (F.col("p.i") == earliest) & (F.bit_count(F.col(hash).bitwiseXOR(F.col("own_hash"))) <= most_bits))
+    others = near.groupBy(*by, hash).agg(F.sum("own_times").alias("own_others"))
+    often = counted.join(others, [*by, hash], "left").select(*by, hash, (F.col("own_n") - 1 + F.coalesce("own_others", F.lit(0))).alias("n")).where(F.col("n") >= least_times)
+    return df.select(*by, key, hash).join(often, [*by, hash]).select(*by, key, "n")
 
 
 def runs_of_same(df: DataFrame, by: list[str], order: list[str], hash: str, most_bits: int) -> DataFrame:
