@@ -67,3 +67,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(written: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once nothing that is still to be run reads it."""
+    spark = written.sparkSession
+    base, files = shared_dir(spark), written.inputFiles()
+    for folder in {f.rsplit("/", 1)[0] for f in files}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName() and path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and the pipeline, with the SQL that DuckDB can run against them."""
+"""The queries op1 to op13 and the pipeline, with the SQL that DuckDB can run against them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import langid, lm, media, minhash, mixing, packing, pii, quality, substring, urlfilter
+from quorumlake.llm import codes, jaccard, langid, lm, media, minhash, mixing, packing, pii, quality, ranked, substring, urlfilter
 from quorumlake.llm.common import documents
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +60,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir), keep_bytes=False)
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(documents(spark, sf_dir), k=4, least=(85, 100))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_quality, op4_mixing, op5_pii, op6_packing, op7_urlfilter, op8_langid, op9_lm, op10_media)}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_quality, op4_mixing, op5_pii, op6_packing, op7_urlfilter, op8_langid, op9_lm, op10_media, op11_jaccard, op12_codes, op13_ranked)}
 
 
 # ---- SQL for DuckDB ------------------------------------------------------------------------------------------------
@@ -148,6 +161,88 @@ SELECT p.page_id, p.host, p.path, best.rule AS rule,
 FROM parts p LEFT JOIN fitting f ON p.page_id = f.page_id
 """
 
+OP11_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, {WORDS_SQL.format(f"translate({TEXT_SQL}, '{UPPER}', '{UPPER.lower()}')")} AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM words
+), classes AS (
+  SELECT min(doc_id) AS c, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets) WHERE len(s) > 0 GROUP BY s
+), shingles AS (
+  SELECT c, len(s) AS n, unnest(s) AS x FROM classes
+), shared AS (
+  SELECT * FROM shingles WHERE x IN (SELECT x FROM shingles GROUP BY x HAVING count(*) > 1)
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM shared a JOIN shared b ON a.x = b.x AND a.c < b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT a AS c, b AS node FROM edges UNION SELECT r.c, e.b FROM reached r JOIN edges e ON r.node = e.a
+), least AS (
+  SELECT c, min(node) AS node FROM reached GROUP BY c
+)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(least(l.node, k.c), k.c, d.doc_id) AS component_id
+FROM sets d LEFT JOIN classes k ON list_sort(d.s) = k.s LEFT JOIN least l ON k.c = l.c
+"""
+
+OP12_ROUND = """
+), near{r} AS MATERIALIZED (
+  SELECT v.vec_id, v.part, min_by(b.entry, (d, b.entry)) AS entry, min(d) AS d FROM (
+    SELECT x.vec_id, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM places x JOIN book{r} b ON x.part = b.part AND x.place = b.place GROUP BY ALL
+  ) v JOIN (SELECT DISTINCT part, entry FROM book{r}) b ON v.part = b.part AND v.entry = b.entry GROUP BY ALL
+), book{next} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN (
+    SELECT n.part, n.entry, x.place, CASE WHEN sum(x.v) % count(*) < 0 THEN sum(x.v) // count(*) - 1 ELSE sum(x.v) // count(*) END AS v
+    FROM near{r} n JOIN places x ON n.vec_id = x.vec_id AND n.part = x.part GROUP BY ALL
+  ) m ON b.part = m.part AND b.entry = m.entry AND b.place = m.place"""
+
+OP12_SQL = (
+    """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: floor(4096 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), places AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (n // 8) AS part, (i - 1) % (n // 8) AS place, v FROM (SELECT vec_id, len(x) AS n, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM kept)
+), firsts AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY row_number() OVER (ORDER BY vec_id) <= 16
+), book0 AS MATERIALIZED (
+  SELECT part, entry, place, v FROM places JOIN firsts USING (vec_id)"""
+    + "".join(OP12_ROUND.format(r=r, next=r + 1) for r in range(6))
+    + OP12_ROUND.format(r=6, next=7).split("), book7")[0]
+    + """), coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near6 GROUP BY vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY part, entry, place)) FROM book6) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+)
+
+TERMS_SQL = r"regexp_extract_all(translate({}, '{}', '{}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, {TERMS_SQL.format(TEXT_SQL, UPPER, UPPER.lower())} AS t FROM documents
+), sized AS (
+  SELECT doc_id, len(t)::BIGINT AS n, t FROM docs WHERE len(t) > 0
+), totals AS (
+  SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM sized
+), occurring AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM sized) GROUP BY ALL
+), asked AS (
+  SELECT DISTINCT item_id, unnest({TERMS_SQL.format(TEXT_SQL, UPPER, UPPER.lower())}) AS term FROM benchmark
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM occurring, totals GROUP BY term, nn
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score
+  FROM asked JOIN occurring USING (term) JOIN weights USING (term), totals GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op2_substring": OP2_SQL, "op4_mixing": OP4_SQL, "op7_urlfilter": OP7_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_substring": OP2_SQL, "op4_mixing": OP4_SQL, "op7_urlfilter": OP7_SQL, "op11_jaccard": OP11_SQL, "op12_codes": OP12_SQL, "op13_ranked": OP13_SQL}

@@ -31,7 +31,7 @@ def result(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     frame, asked = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
     cols = sorted(frame.columns)
