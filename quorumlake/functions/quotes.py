@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.operators.intervals import as_of
+
 
 def plain(text: Column) -> Column:
     """Lower case, with single spaces."""
@@ -19,7 +21,7 @@ def transcript_region(quotes: DataFrame, segments: DataFrame, by: list[str]) ->
     """quotes (by, quote_id, quote) with start and end of the segments that hold the quote's first place in the joined text; null if it isn't found or has no length. segments: by, seq, start, end, text.
 
     A transcript's segments are joined to one text, as long as the transcript is; the places of segments in it are running
-    sums of lengths, and the quote's place meets them in an interval join on the transcript's key.
+    sums of lengths. Quotes and segments are then sorted together, and each quote looks at its first and last segment.
     """
     told = segments.withColumn("own_text", plain(F.col("text"))).where("own_text <> ''")
     w = Window.partitionBy(*by).orderBy("seq")
@@ -30,8 +32,10 @@ def transcript_region(quotes: DataFrame, segments: DataFrame, by: list[str]) ->
     found = found.withColumn("own_last", F.col("own_first") + F.length("own_quote") - 1).select(*quotes.columns, "own_first", "own_last")
     touched = placed.select(*by, F.col("start").alias("own_start"), F.coalesce("end", "start").alias("own_end"), "own_at", (F.col("own_at") + F.length("own_text") - 1).alias("own_to"))
     # a quote that begins or ends in the space between two segments belongs to the later one
-    met = found.where("own_first is not null").join(touched, by).where("own_first <= own_to and own_last >= own_at - 1")
-    spans = met.groupBy(*by, "quote_id").agg(F.min_by("own_start", "own_at").alias("start"), F.max_by("own_end", "own_at").alias("end")).where("end > start")
+    asked = found.where("own_first is not null")
+    first = as_of(asked.withColumn("own_p", -F.col("own_first")), touched.select(*by, (-F.col("own_to")).alias("own_p"), "own_at", "own_start"), by, "own_p", "own_at", "own_start", "start")
+    both = as_of(first.withColumn("own_p", F.col("own_last") + 1), touched.select(*by, F.col("own_at").alias("own_p"), "own_at", "own_end"), by, "own_p", "own_at", "own_end", "end")
+    spans = both.where("end > start").select(*by, "quote_id", "start", "end")
     return quotes.join(spans, [*by, "quote_id"], "left")
 
 
@@ -70,10 +74,21 @@ def clip_window(start: Column, end: Column, low: Column, high: Column, padding:
 
 
 def quote_attribution(quotes: DataFrame, turns: DataFrame, by: list[str]) -> DataFrame:
-    """quotes (by, quote_id, start, end) with the speaker of the one turn that covers them, isn't overlapped and has an identity; null with none or several. turns: by, start, end, overlap, speaker, status."""
-    t = turns.where("not coalesce(overlap, false) and status in ('provisional', 'confirmed')").select(*by, F.col("start").alias("own_s"), F.col("end").alias("own_e"), "speaker", "status")
-    one = quotes.join(t, by).where("own_s <= start and own_e >= end").groupBy(*by, "quote_id").agg(F.count("*").alias("own_n"), F.first("speaker").alias("speaker"), F.first("status").alias("status")).where("own_n = 1").drop("own_n")
-    return quotes.join(one, [*by, "quote_id"], "left")
+    """quotes (by, quote_id, start, end) with the speaker of the one turn that covers them, isn't overlapped and has an identity; null with none or several. turns: by, start, end, overlap, speaker, status.
+
+    Quotes and turns are sorted together once. Of the turns that have begun the two latest ends are kept along: a quote is
+    covered once if the latest end reaches its own, and the one after it doesn't.
+    """
+    t = turns.where("not coalesce(overlap, false) and status in ('provisional', 'confirmed')")
+    own = t.select(*by, F.col("start").alias("own_at"), F.lit(0).alias("own_side"), F.struct(F.col("end").alias("e"), "speaker", "status").alias("own_turn"))
+    both = quotes.withColumns({"own_at": F.col("start"), "own_side": F.lit(1)}).unionByName(own, allowMissingColumns=True)
+    order = Window.partitionBy(*by).orderBy("own_at", "own_side", "own_turn")
+    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.max("own_turn.e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    lesser = F.when((F.col("own_side") == 0) & before.isNotNull(), F.least("own_turn.e", before))
+    met = both.withColumns({"own_top": F.max("own_turn").over(up_to), "own_lesser": lesser}).withColumn("own_second", F.max("own_lesser").over(up_to)).where("own_side = 1")
+    once = (F.col("own_top.e") >= F.col("end")) & F.coalesce(F.col("own_second") < F.col("end"), F.lit(True))
+    return met.select(*quotes.columns, F.when(once, F.col("own_top.speaker")).alias("speaker"), F.when(once, F.col("own_top.status")).alias("status"))
 
 
 def grams(words: Column, most: int = 2) -> Column:

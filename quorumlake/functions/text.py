@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.functions.dictionary import near_terms
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of a-z, 0-9 and the apostrophe."""
@@ -46,15 +48,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2
 
 def expand_terms(posted: DataFrame, query: list[str], fuzzy: int = 1, prefix_weight: float = 0.375, fuzzy_weight: float = 0.45) -> DataFrame:
     """asked, term, weight: the vocabulary's terms that equal, begin with or are near to a term of the query. A weight falls with the letters that a term has beyond the one asked for, or with the edits between both, as shares of the term's length."""
-    vocabulary = posted.select("term").distinct()
-    size = F.length("term")
-
-    def weight(q: str) -> Column:
-        far = F.levenshtein(F.col("term"), F.lit(q), fuzzy)
-        return F.when(F.col("term") == q, 1.0).when(F.startswith("term", F.lit(q)), prefix_weight * size / (size + 0.3 * (size - len(q)))).when(far >= 0, fuzzy_weight * size / (size + far))
-
-    hits = [F.struct(F.lit(q).alias("asked"), weight(q).alias("weight")) for q in query]
-    return vocabulary.select("term", F.explode(F.array(*hits)).alias("h")).select("h.asked", "term", "h.weight").where("weight is not null")
+    asked = posted.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(query)], "asked string")
+    return near_terms(posted.select("term").distinct(), asked, fuzzy, True, prefix_weight, fuzzy_weight)
 
 
 def tfidf_overlap(docs: DataFrame, key: str, text: str, units: DataFrame, unit: str, unit_text: str, most_terms: int = 20_000) -> DataFrame:

@@ -6,30 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _last_of(segments: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Segments with own_last: whether none of the group begins later."""
-    return segments.join(segments.groupBy(*by).agg(F.max(order).alias("own_most")), by).withColumn("own_last", F.col(order) == F.col("own_most")).drop("own_most")
+def _swept(points: DataFrame, t: str, segments: DataFrame, at: str, keys: list[str]) -> tuple[DataFrame, list[str], Window]:
+    """Points and segments (own_seg) in one frame, ordered within their group by place, at the same one the segments first."""
+    held = [c for c in segments.columns if c not in keys]
+    own = segments.select(*keys, F.struct(*held).alias("own_seg"), F.col(at).alias("own_at"), F.lit(0).alias("own_side"))
+    both = points.withColumns({"own_at": F.col(t), "own_side": F.lit(1)}).unionByName(own, allowMissingColumns=True)
+    return both, points.columns, Window.partitionBy(*keys).orderBy("own_at", "own_side", "own_seg")
 
 
 def to_source(points: DataFrame, segments: DataFrame, by: list[str], t: str) -> DataFrame:
-    """points with source_id and source_t, null in an insert or outside. Segments are open at their ends, but the last one of the timeline is closed. The join is on the timeline's key, with the interval as its condition."""
-    s = _last_of(segments.select(*by, "served_start", "served_end", "kind", F.col("source_id").alias("own_id"), "source_start"), by, "served_start")
-    inside = (F.col(t) >= F.col("served_start")) & ((F.col(t) < F.col("served_end")) | (F.col("own_last") & (F.col(t) == F.col("served_end"))))
-    met = points.join(s.where("kind = 'source'"), by).where(inside).select(*points.columns, F.col("own_id").alias("source_id"), (F.col("source_start") + F.col(t) - F.col("served_start")).alias("source_t"))
-    return points.join(met, points.columns, "left")
+    """points with source_id and source_t, null in an insert or outside. Segments don't overlap; they are open at their ends, but the last one of the timeline is closed. Points and segments are sorted together once, and each point looks at the segment before it."""
+    s = segments.select(*by, "served_start", "served_end", "kind", F.col("source_id").alias("id"), "source_start")
+    both, columns, w = _swept(points, t, s, "served_start", by)
+    seg = F.last("own_seg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    most = F.max("own_seg.served_start").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = both.withColumns({"own_met": seg, "own_most": most}).where("own_side = 1")
+    inside = (F.col("own_met.kind") == "source") & ((F.col(t) < F.col("own_met.served_end")) | ((F.col("own_met.served_start") == F.col("own_most")) & (F.col(t) == F.col("own_met.served_end"))))
+    return met.select(*columns, F.when(inside, F.col("own_met.id")).alias("source_id"), F.when(inside, F.col("own_met.source_start") + F.col(t) - F.col("own_met.served_start")).alias("source_t"))
 
 
 def to_served(points: DataFrame, segments: DataFrame, by: list[str], t: str) -> DataFrame:
-    """points (by, source_id, t) with served_t, null where the source was cut, and the boundaries around: before_t, the served end of the last kept segment that begins at or before t, and after_t, the served start of the next one."""
+    """points (by, source_id, t) with served_t, null where the source was cut, and the boundaries around: before_t, the served end of the last kept segment that begins at or before t, and after_t, the served start of the next one. A source's segments don't overlap; points and segments are sorted together once."""
     keys = [*by, "source_id"]
-    s = _last_of(segments.where("kind = 'source'").select(*keys, "served_start", "served_end", "source_start", "source_end"), keys, "source_start")
-    inside = (F.col(t) >= F.col("source_start")) & ((F.col(t) < F.col("source_end")) | (F.col("own_last") & (F.col(t) == F.col("source_end"))))
-    both = points.join(s, keys, "left")
-    return both.groupBy(*points.columns).agg(
-        F.min(F.when(inside, F.col("served_start") + F.col(t) - F.col("source_start"))).alias("served_t"),
-        F.max_by("served_end", F.when(F.col("source_start") <= F.col(t), F.col("source_start"))).alias("before_t"),
-        F.min_by("served_start", F.when(F.col("source_start") > F.col(t), F.col("source_start"))).alias("after_t"),
-    )
+    s = segments.where("kind = 'source'").select(*keys, "source_start", "source_end", "served_start", "served_end")
+    both, columns, w = _swept(points, t, s, "source_start", keys)
+    before = F.last("own_seg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("own_seg", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    most = F.max("own_seg.source_start").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = both.withColumns({"own_met": before, "own_next": after, "own_most": most}).where("own_side = 1")
+    inside = (F.col(t) < F.col("own_met.source_end")) | ((F.col("own_met.source_start") == F.col("own_most")) & (F.col(t) == F.col("own_met.source_end")))
+    served = F.when(inside, F.col("own_met.served_start") + F.col(t) - F.col("own_met.source_start"))
+    return met.select(*columns, served.alias("served_t"), F.col("own_met.served_end").alias("before_t"), F.col("own_next.served_start").alias("after_t"))
 
 
 def remapped(items: DataFrame, segments: DataFrame, by: list[str], clamp_to: Column | None = None, snap: bool = False) -> DataFrame:

@@ -328,16 +328,16 @@ def ordered_links(spark, sf):
 
 # ---- timelines -----------------------------------------------------------------------------------------------------
 
-SEGMENTS_SQL = """s AS (SELECT user_id AS k, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, (event_id % 5 + 1)::DOUBLE AS len, CASE WHEN event_id % 6 = 0 THEN 'insert' ELSE 'source' END AS kind FROM events WHERE event_id < 4000),
+SEGMENTS_SQL = """s AS (SELECT user_id AS k, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, (event_id % 5 + 1)::DOUBLE AS len, CASE WHEN event_id % 6 = 0 THEN 'insert' ELSE 'source' END AS kind FROM events),
 g AS (SELECT k, i, kind, sum(len) OVER w - len AS served_start, sum(len) OVER w AS served_end, CASE WHEN kind = 'source' THEN 'a' END AS source_id, CASE WHEN kind = 'source' THEN i * 10.0 END AS source_start, CASE WHEN kind = 'source' THEN i * 10 + len END AS source_end FROM s WINDOW w AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING))"""
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
-    """An edit list for each user, made of the first 4000 events."""
+    """An edit list for each user, made of the events."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("k").orderBy("i")
-    s = table(spark, sf, "events").where("event_id < 4000").select(F.col("user_id").alias("k"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i"), (F.col("event_id") % 5 + 1).cast("double").alias("len"), F.when(F.col("event_id") % 6 == 0, "insert").otherwise("source").alias("kind"))
+    s = table(spark, sf, "events").select(F.col("user_id").alias("k"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i"), (F.col("event_id") % 5 + 1).cast("double").alias("len"), F.when(F.col("event_id") % 6 == 0, "insert").otherwise("source").alias("kind"))
     end, own = F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("kind") == "source"
     return s.select("k", "i", "kind", (end - F.col("len")).alias("served_start"), end.alias("served_end"), F.when(own, "a").alias("source_id"), F.when(own, F.col("i") * 10.0).alias("source_start"), F.when(own, F.col("i") * 10 + F.col("len")).alias("source_end"))
 
@@ -374,11 +374,11 @@ def remapped_items(spark, sf):
     return timeline.remapped(items, g, ["k"], F.lit(999.0), snap=True)
 
 
-@query("""WITH x AS (SELECT user_id AS k, event_id, (event_id % 997)::DOUBLE AS a, (event_id % 997 + value / 4)::DOUBLE AS b FROM events WHERE event_id % 5 = 0), c AS (SELECT k, a, b FROM x WHERE b - a >= CASE WHEN a <= 0.001 OR b >= 999.999 THEN 1.0 ELSE 10.0 END),
+@query("""WITH x AS (SELECT user_id AS k, event_id, (event_id % 997)::DOUBLE AS a, (event_id % 997 + value / 4)::DOUBLE AS b FROM events), c AS (SELECT k, a, b FROM x WHERE b - a >= CASE WHEN a <= 0.001 OR b >= 999.999 THEN 1.0 ELSE 10.0 END),
 r AS (SELECT k, coalesce(max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, a AS t FROM c UNION ALL SELECT k, max(b), 1000.0 FROM c GROUP BY 1), n AS (SELECT * FROM r WHERE t > f + 0.001)
 SELECT k, f AS source_start, t AS source_end, round(coalesce(sum(t - f) OVER (PARTITION BY k ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 5) AS served_start, round(sum(t - f) OVER (PARTITION BY k ORDER BY f ROWS UNBOUNDED PRECEDING), 5) AS served_end FROM n""")
 def keep_spans(spark, sf):
-    quiet = table(spark, sf, "events").where("event_id % 5 = 0").select(F.col("user_id").alias("k"), (F.col("event_id") % 997).cast("double").alias("start"), (F.col("event_id") % 997 + F.col("value") / 4).alias("end"))
+    quiet = table(spark, sf, "events").select(F.col("user_id").alias("k"), (F.col("event_id") % 997).cast("double").alias("start"), (F.col("event_id") % 997 + F.col("value") / 4).alias("end"))
     lengths = quiet.select("k").distinct().withColumn("duration", F.lit(1000.0))
     return timeline.keep_spans(quiet, lengths, ["k"]).withColumns({c: F.round(c, 5) for c in ("served_start", "served_end")})
 
@@ -638,11 +638,11 @@ def quote_speakers(spark, sf):
     return quotes.quote_attribution(asked, turns, ["k"]).select("k", "quote_id", "speaker")
 
 
-@query("""WITH u AS (SELECT conv_id AS k, turn, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')), ' ')[:12] AS w FROM conversations), g AS (SELECT k, turn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM u), c AS (SELECT k, turn, gram, 1 + ln(count(*)) AS tf FROM g GROUP BY k, turn, gram),
+@query("""WITH u AS (SELECT conv_id AS k, turn, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')), ' ') AS w FROM conversations), g AS (SELECT k, turn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM u), c AS (SELECT k, turn, gram, 1 + ln(count(*)) AS tf FROM g GROUP BY k, turn, gram),
 n AS (SELECT k, count(*) AS n FROM u GROUP BY 1), d AS (SELECT k, gram, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM c JOIN n USING (k) GROUP BY k, gram), v AS (SELECT k, turn, gram, tf * idf AS w FROM c JOIN d USING (k, gram)), m AS (SELECT k, turn, sqrt(sum(w * w)) AS m FROM v GROUP BY k, turn)
 SELECT a.k, a.turn AS item, b.turn AS unit, round(sum(a.w * b.w) / (any_value(p.m) * any_value(q.m)), 5) AS score FROM v a JOIN v b ON a.k = b.k AND a.gram = b.gram AND a.turn = 0 JOIN m p ON p.k = a.k AND p.turn = a.turn JOIN m q ON q.k = b.k AND q.turn = b.turn GROUP BY a.k, a.turn, b.turn""")
 def tfidf_rows(spark, sf):
-    words = F.slice(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " ")), " "), 1, 12)
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " ")), " ")
     u = table(spark, sf, "conversations").select(F.col("conv_id").alias("k"), "turn", words.alias("words"))
     return quotes.tfidf_scores(u.where("turn = 0").withColumnRenamed("turn", "item"), u.withColumnRenamed("turn", "unit"), ["k"]).withColumn("score", F.round("score", 5))
 
@@ -734,9 +734,9 @@ def quality_routes(spark, sf):
     return judging.routing(rows, ["route"], "m", "w", 8, 0.0123).withColumn("mean_margin", F.round("mean_margin", 6))
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey % 400 = 3) SELECT a, b FROM p WHERE a IN (SELECT a FROM p GROUP BY 1 HAVING count(*) = 1) AND b IN (SELECT b FROM p GROUP BY 1 HAVING count(*) = 1)""")
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS a, l_extendedprice AS b FROM lineitem) SELECT a, b FROM p WHERE a IN (SELECT a FROM p GROUP BY 1 HAVING count(*) = 1) AND b IN (SELECT b FROM p GROUP BY 1 HAVING count(*) = 1)""")
 def unique_matches(spark, sf):
-    p = table(spark, sf, "lineitem").where("l_orderkey % 400 = 3").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
+    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_extendedprice").alias("b"))
     return judging.unique_matches(p, "a", "b")
 
 
