@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quorumlake.operators import searchindex
+from quorumlake.operators import availability, searchindex
 from quorumlake.plans.catalog import query
 from quorumlake.plans.upkeep import QUERIES, SQL
 from quorumlake.sources.readers import table
@@ -83,3 +83,27 @@ def index_records(spark, sf):
     state = F.when(k % 5 == 0, "missing").when(k % 5 == 1, "confirmed_empty").when(k % 5 == 2, "recovered")
     rows = table(spark, sf, "orders").select(k.alias("uid"), (F.col("o_orderstatus") == "P").alias("suppressed"), F.col("o_orderdate").cast("timestamp").alias("published"), state.alias("state"), F.when(k % 7 == 1, "available").alias("override"), F.concat(F.lit(" \n"), F.col("o_orderpriority"), F.lit("\t ")).alias("title"))
     return searchindex.search_documents(rows, {"title": 4})
+
+
+KINDS = ["silent", "playable", "silent", "transport_failed", "partial", "dead", "silent", "override", "playable", "missing", "partial"]
+CALLS = ["available", "missing", "bogus", None, "confirmed_partial"]
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS k, ts, {KINDS}[(event_id * 7 % 11)::INT + 1] AS kind, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'g' ELSE 'f' END AS fp, {str(CALLS).replace("None", "NULL")}[(event_id % 5)::INT + 1] AS call, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT DISTINCT k, 0::BIGINT AS n, NULL::VARCHAR AS state, 0 AS silent, 0 AS partial, NULL::VARCHAR AS fp, NULL::VARCHAR AS override, NULL::TIMESTAMP AS recovered_at, NULL::TIMESTAMP AS last_check FROM e UNION ALL
+SELECT k, n, CASE WHEN kind = 'override' THEN coalesce(state, CASE WHEN sets THEN 'available' END) WHEN kind = 'transport_failed' THEN state WHEN kind = 'silent' THEN CASE WHEN silent0 >= 1 THEN 'confirmed_empty' ELSE 'suspected_empty' END WHEN kind = 'partial' THEN CASE WHEN partial0 >= 1 THEN 'confirmed_partial' ELSE 'suspected_partial' END
+ WHEN kind = 'dead' THEN 'invalid' WHEN kind = 'missing' THEN 'missing' WHEN ends THEN 'recovered' ELSE 'available' END,
+ CASE WHEN NOT content THEN silent WHEN kind = 'silent' THEN silent0 + 1 ELSE 0 END, CASE WHEN NOT content THEN partial WHEN kind = 'partial' THEN partial0 + 1 ELSE 0 END, CASE WHEN content THEN coalesce(nfp, fp) ELSE fp END,
+ CASE WHEN kind = 'override' AND sets THEN call WHEN kind = 'override' AND call IS NULL AND state IS NOT NULL THEN NULL WHEN content AND fresh THEN NULL ELSE override END, CASE WHEN content AND ends THEN ts WHEN content AND fresh THEN NULL ELSE recovered_at END,
+ CASE WHEN kind = 'override' THEN CASE WHEN sets OR (call IS NULL AND state IS NOT NULL) THEN ts ELSE last_check END WHEN kind = 'transport_failed' AND state IS NULL THEN NULL ELSE ts END
+ FROM (SELECT *, CASE WHEN fresh THEN 0 ELSE silent END AS silent0, CASE WHEN fresh THEN 0 ELSE partial END AS partial0, kind = 'playable' AND NOT fresh AND coalesce(override, state, '') IN ('suspected_empty', 'confirmed_empty', 'missing', 'invalid') AS ends FROM (
+ SELECT s.k, e.n, e.ts, e.kind, e.fp AS nfp, e.call, s.state, s.silent, s.partial, s.fp, s.override, s.recovered_at, s.last_check, e.kind NOT IN ('override', 'transport_failed') AS content, coalesce(e.call <> 'bogus', FALSE) AS sets, coalesce(e.kind NOT IN ('override', 'transport_failed') AND e.fp <> s.fp, FALSE) AS fresh
+ FROM s JOIN e ON e.k = s.k AND e.n = s.n + 1)))
+SELECT k, state, coalesce(override, state) AS effective, silent AS silent_confirmations, partial AS partial_confirmations, fp AS fingerprint, override, recovered_at, last_check FROM s WHERE state IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1""")
+def media_verdicts(spark, sf):
+    """Each user's events as observations of a recording."""
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    k = F.col("event_id")
+    log = table(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("at"), "event_id", pick(KINDS, k * 7 % 11).alias("kind"), F.when(k % 6 == 1, "g").when(k % 6 != 0, "f").alias("fingerprint"), F.lit("p").alias("profile"), pick(CALLS, k % 5).alias("state"), F.lit("r").alias("reason"))
+    told = availability.latest_verdicts(log, ["k"], "at", ["event_id"])
+    return told.select("k", "state", "effective", "silent_confirmations", "partial_confirmations", "fingerprint", "override", "recovered_at", "last_check")
