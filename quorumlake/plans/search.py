@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quorumlake.functions import nearest
 from quorumlake.operators import availability, searchindex
 from quorumlake.plans.catalog import query
 from quorumlake.plans.upkeep import QUERIES, SQL
 from quorumlake.sources.readers import table
-from quorumlake.sources.scratch import fresh_folder
+from quorumlake.sources.scratch import fresh_folder, written
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -107,3 +108,13 @@ def media_verdicts(spark, sf):
     log = table(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("at"), "event_id", pick(KINDS, k * 7 % 11).alias("kind"), F.when(k % 6 == 1, "g").when(k % 6 != 0, "f").alias("fingerprint"), F.lit("p").alias("profile"), pick(CALLS, k % 5).alias("state"), F.lit("r").alias("reason"))
     told = availability.latest_verdicts(log, ["k"], "at", ["event_id"])
     return told.select("k", "state", "effective", "silent_confirmations", "partial_confirmations", "fingerprint", "override", "recovered_at", "last_check")
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, b.label AS person, b.vec_id AS ref, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+SELECT vec_id, first(person ORDER BY round(s, 5) DESC, ref) AS person, first(ref ORDER BY round(s, 5) DESC, ref) AS ref, max(round(s, 5)) AS score FROM p GROUP BY vec_id""")
+def profile_matches_every(spark, sf):
+    """All rows against all other rows, by blocks around pivots."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    best = nearest.best_matches(e, e, written)
+    people = e.select(F.col("id").alias("ref"), F.col("label").alias("person"))
+    return best.join(people, "ref").select(F.col("id").alias("vec_id"), "person", "ref", "score")
