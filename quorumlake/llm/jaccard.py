@@ -180,7 +180,7 @@ def sieved(docs: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
 
 
 def prefixes(classes: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """For each class the elements of its prefix that others share: key, node, n, place (from 1) and matches, the number l that it chose."""
+    """For each class the elements of its prefix that others share: key, node, n, place (from 1), matches, the number l that it chose, and central, how frequent its elements are on average."""
     elements = classes.select("node", "n", F.explode("hashes").alias("key"))
     counts = elements.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     told = elements.join(counts, "key").groupBy("node", "n").agg(F.collect_list(F.struct("c", "key")).alias("shared"))
@@ -202,13 +202,13 @@ def prefixes(classes: DataFrame, least: tuple[int, int]) -> DataFrame:
                 best = int(np.argmin(joined * (1 + n / matches)))
                 held.append(key[order[: some[best]]])
                 places.append(alone + np.arange(1, some[best] + 1))
-                rows.append((i, n, some[best], matches[best]))
+                rows.append((i, n, some[best], matches[best], int(1000 * np.log2(c).sum() / n)))
             if rows:
-                i, n, some, chosen = (np.array(c, np.int64) for c in zip(*rows))
-                columns = [np.concatenate(held), b.column(0).to_numpy()[np.repeat(i, some)], np.repeat(n, some), np.concatenate(places), np.repeat(chosen, some)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node", "n", "place", "matches"])
+                i, n, some, chosen, central = (np.array(c, np.int64) for c in zip(*rows))
+                columns = [np.concatenate(held), b.column(0).to_numpy()[np.repeat(i, some)], np.repeat(n, some), np.concatenate(places), np.repeat(chosen, some), np.repeat(central, some)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node", "n", "place", "matches", "central"])
 
-    found = materialize(told.mapInArrow(of, "key long, node long, n long, place long, matches long"), "found")
+    found = materialize(told.mapInArrow(of, "key long, node long, n long, place long, matches long, central long"), "found")
     several = found.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     return materialize(found.join(several, "key", "left_semi"), "met")
 
@@ -238,7 +238,7 @@ def candidates(met: DataFrame, bits: DataFrame, roots: DataFrame | None, least:
     """Pairs (a, b) of classes of different components that share enough elements of their prefixes. One side of each is outside the main component of an element, so that main components are never joined with themselves."""
     open_ = materialize(still_open(rooted(met, roots)), "open")
     outside = open_.groupBy("node").agg(F.max(F.col("root") != F.col("main")).alias("outside"))
-    told = open_.drop("main").join(outside.join(bits, "node"), "node")
+    told = open_.drop("main", "central").join(outside.join(bits, "node"), "node")
     told = materialize(told, "told")
     side = lambda s: told.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "matches", "bits", "root", "outside")])
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
@@ -252,12 +252,13 @@ def candidates(met: DataFrame, bits: DataFrame, roots: DataFrame | None, least:
 
 
 def with_hubs(met: DataFrame, bits: DataFrame, roots: DataFrame | None, seed: int, least: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of each class with one other class of each of its elements, drawn by hash; with roots, one of the element's main component, if it is another. Pairs that can't be similar are left out."""
+    """Pairs (a, b) of each class with one other class of each of its elements: at first the most central one, as the text that many were copied from; with roots, one of the element's main component, drawn by hash, if its own is another. Pairs that can't be similar are left out."""
     held = rooted(met, roots)
     if roots is not None:
         held = materialize(still_open(held), "open")
     among = held if roots is None else held.where(F.col("root") == F.col("main"))
-    hubs = among.groupBy("key").agg(F.min_by("node", F.xxhash64(F.lit(seed), "node")).alias("hub"))
+    drawn = F.xxhash64(F.lit(seed), "node")
+    hubs = among.groupBy("key").agg(F.max_by("node", F.struct("central", drawn) if roots is None else drawn).alias("hub"))
     pairs = held.where("true" if roots is None else "root <> main").join(hubs, "key").where("node <> hub")
     pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     told = pairs.join(bits.toDF("a", "a_n", "a_bits"), "a").join(bits.toDF("b", "b_n", "b_bits"), "b")
