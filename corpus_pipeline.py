@@ -1,9 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicate removal, redaction of personal data, mixing and packing.
 
 Each stage works on all that its predecessor kept and returns the columns of the documents, the last one the pieces of
-the packed sequences. Null and empty texts fail the quality rules. Documents without a doc_id can't be told apart by it
-and pass the near-duplicate stage; rows that share a doc_id are one document there, of which one row stays. A document
-that the mix takes more than once appears as often, and is packed as often. Empty tables stay empty, and further
+the packed sequences. Null and empty texts fail the quality rules. The near-duplicate stage looks at rows: one that has no
+doc_id, or shares it with others, goes only if its own text has a near duplicate that stays. A document that the mix takes more than once appears as often, and is packed as often. Empty tables stay empty, and further
 columns are carried along, whatever their names.
 """
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.llm import minhash, mixing, packing, pii, quality
-from quorumlake.llm.common import documents, materialize, packed, unpacked
+from quorumlake.llm.common import broadcast_if_small, documents, materialize, packed, unpacked
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +21,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, by five-word shingles and a similarity of 0.8, the one with the least doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    one = named.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each group of near duplicates, by five-word shingles and a similarity of 0.8, the one with the least doc_id. Rows whose doc_id doesn't name them alone are numbered after all others."""
+    rows = packed(docs, "doc_id", "text")
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    shared = broadcast_if_small(counts.where("doc_id is null or n > 1").select(F.col("doc_id").alias("own_shared")))
+    same = F.col("doc_id").eqNullSafe(F.col("own_shared"))
+    if not shared.isEmpty():
+        after = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
+        numbered = rows.join(shared, same, "left_semi").withColumn("doc_id", F.lit(after) + F.monotonically_increasing_id())
+        rows = rows.join(shared, same, "left_anti").unionByName(materialize(numbered, "numbered"))
+    kept = minhash.near_duplicates(rows).where("kept").select("doc_id")
+    return rows.join(kept, "doc_id", "left_semi").select("own_row.*")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
