@@ -44,8 +44,9 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document without a doc_id isn't held out: it trains."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0))
     model = langid.train(docs.where(fold != 2))
     return langid.predict(docs, model).withColumn("held_out", fold == 2).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quorumlake.llm import langid, lm, media, minhash, mixing, packing, pii, quality, substring, urlfilter
+from quorumlake.llm import langid, lm, media, minhash, mixing, packing, pii, quality, queries, substring, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, key string, size string, bands string, train string"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -74,6 +74,22 @@ def test_pipeline_on_edges(spark):
     assert held.count() == 0
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    """Of the near-duplicate stage: a text goes only if another one like it stays, whatever its doc_id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (1, b, "en", "s"), (2, a, "en", "s"), (None, c, "en", "s"), (None, f"{c} more", "en", "s"), (3, f"{b} more", "en", "s"), (4, "short", "en", "s")]
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, rows), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in kept) == [(0, "c"), (2, "a"), (3, "b"), (4, "s")]
+
+
+def test_language_fold_without_id(spark, tmp_path):
+    words = {"en": "the of and to in that", "de": "der die und das nicht ist"}
+    rows = [(None if i % 5 == 0 else i, f"{words[lang]} {i}", lang) for i in range(60) for lang in words]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op8_langid"](spark, str(tmp_path)).collect()
+    assert {r["held_out"] for r in got if r["doc_id"] is None} == {False} and len(got) == len(rows)
+
+
 def test_many_near_copies(spark):
     """Components of a family of near copies equal those by brute force."""
     rng = random.Random(3)
