@@ -116,6 +116,28 @@ def tfidf_scores(items: DataFrame, units: DataFrame, by: list[str], most: int =
     return dots.join(norm(item, "item"), [*by, "item"]).join(norm(unit, "unit"), [*by, "unit"]).select(*by, "item", "unit", (F.col("dot") / (F.col("item_norm") * F.col("unit_norm"))).alias("score"))
 
 
+#: Words that carry no weight, and what a formal identifier looks like.
+STOPWORDS = "a an and are at be by for from in into is it of on or that the this to with".split()
+IDENTIFIER = r"(?<![a-z0-9])(?:[a-z]{1,8}\d+[a-z0-9]*(?:[./-][a-z0-9]+)*|\d+[./-][a-z0-9]+)(?![a-z0-9])"
+
+
+def lexical_scores(items: DataFrame, units: DataFrame, by: list[str]) -> DataFrame:
+    """by, item, unit and score for the pairs of a group with a token in common, all others have 0: the weights of the item's tokens that the unit has over those of all the item's tokens, those that no unit has included. A token weighs its rarity among the group's units and 1, three times that if it is a formal identifier. items: by, item, text; units: by, unit, text."""
+    folded = lambda c: F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ß"), F.lit("ss"))
+    tokens = lambda c: F.filter(F.array_distinct(F.regexp_extract_all(folded(c), F.lit("[a-z0-9]+"), F.lit(0))), lambda t: ~t.isin(STOPWORDS))
+    have = units.select(*by, "unit", F.explode(tokens(F.col("text"))).alias("own_t"))
+    df = have.groupBy(*by, "own_t").agg(F.count("*").alias("own_df"))
+    n = units.groupBy(*by).agg(F.count("*").alias("own_n"))
+    named = F.regexp_extract_all(folded(F.col("text")), F.lit(IDENTIFIER), F.lit(0))
+    asked = items.select(*by, "item", named.alias("own_ids"), F.explode(tokens(F.col("text"))).alias("own_t"))
+    asked = asked.select(*by, "item", "own_t", F.when(F.array_contains("own_ids", F.col("own_t")), 3.0).otherwise(1.0).alias("own_f"))
+    weight = (F.log((F.col("own_n") + 1) / (F.coalesce("own_df", F.lit(0)) + 1)) + 1) * F.col("own_f")
+    weighed = asked.join(df, [*by, "own_t"], "left").join(n, by).select(*by, "item", "own_t", weight.alias("own_w"))
+    whole = weighed.groupBy(*by, "item").agg(F.sum("own_w").alias("own_whole"))
+    met = have.join(weighed, [*by, "own_t"]).groupBy(*by, "item", "unit").agg(F.sum("own_w").alias("own_met"))
+    return met.join(whole, [*by, "item"]).select(*by, "item", "unit", (F.col("own_met") / F.col("own_whole")).alias("score"))
+
+
 def with_neighbours(ranked: list[DataFrame], by: list[str], unit: str, score: str, top: int, radius: int) -> DataFrame:
     """The best units of each ranking, with those up to radius places around them."""
     out = None

@@ -42,6 +42,26 @@ def notice_class(text: Column, placeholder: str, short: int = 40) -> Column:
     return F.when(n == 0, "empty").when(text.rlike(placeholder), "placeholder").when(n < short, "short_notice").otherwise("complete")
 
 
+#: What a viewer's shell and a notice of a cancelled meeting say.
+PLACEHOLDER = r"(?:documentviewer\.php|\bloading(?:\.\.\.|…)?\b|not currently published|please wait|javascript (?:is )?required|an error occurred|unable to load)"
+NOTICE = r"\b(?:cancel(?:led|ed)?|no meeting|meeting (?:is )?(?:postponed|rescheduled)|meeting notice|meeting has been canceled)\b"
+
+
+def agenda_class(text: Column, score: Column) -> Column:
+    """empty, unpublished-placeholder, viewer-placeholder, short-notice or complete. A viewer's shell counts as such in a short text, or in one with an agenda score of 0; so do raw PDF bytes, and a link or file name alone. A short notice has at most 1,000 characters and says that a meeting isn't held as planned."""
+    spaced = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "), "^ | $", "")
+    lower, n = F.lower(spaced), F.length(spaced)
+    shell = lower.rlike(PLACEHOLDER) & (lower.contains("documentviewer.php") | (n <= 500) | (F.coalesce(score, F.lit(0)) == 0))
+    bare = (n <= 180) & lower.rlike("[a-z0-9]") & (lower.rlike("^https?://") | spaced.rlike(r"^[\p{L}\p{N}_./-]+$"))
+    return (
+        F.when(spaced == "", "empty")
+        .when(lower.contains("not currently published"), "unpublished-placeholder")
+        .when(spaced.rlike(r"^%PDF-\d") | shell | bare, "viewer-placeholder")
+        .when((n <= 1000) & lower.rlike(NOTICE), "short-notice")
+        .otherwise("complete")
+    )
+
+
 def readable_ratio(text: Column) -> Column:
     """The share of words that consist of letters and common punctuation; null without a word."""
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")

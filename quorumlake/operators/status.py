@@ -114,9 +114,9 @@ def failure_counts(df: DataFrame, error: str) -> DataFrame:
     return df.where(F.col(error).isNotNull()).groupBy(error).agg(F.count("*").alias("n"))
 
 
-def erring_providers(runs: DataFrame, ts: str, errors: str, look_back: int, threshold: int) -> DataFrame:
-    """Of the newest runs, how many met an error at each provider; those at the threshold or above. runs holds errors as a map from provider to a number."""
-    newest = runs.orderBy(F.col(ts).desc()).limit(look_back)
+def erring_providers(runs: DataFrame, ts: str, errors: str, look_back: int, threshold: int, tie: list[str]) -> DataFrame:
+    """Of the newest runs (of one time, those first in the order of tie), how many met an error at each provider; those at the threshold or above. runs holds errors as a map from provider to a number."""
+    newest = runs.orderBy(F.col(ts).desc(), *tie).limit(look_back)
     return newest.select(F.explode(errors).alias("provider", "n")).where("n > 0").groupBy("provider").agg(F.count("*").alias("runs")).where(F.col("runs") >= threshold)
 
 

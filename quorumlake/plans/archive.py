@@ -164,11 +164,11 @@ def audio_failures(spark, sf):
     return status.failure_counts(records(spark, sf), "error")
 
 
-@query("""WITH r AS (SELECT ts, event_id, props->>'k' AS k FROM events ORDER BY ts DESC LIMIT 500) SELECT 'p' || (k::INT % 10) AS provider, count(*) AS runs FROM r WHERE k::INT % 2 = 1 GROUP BY 1 HAVING count(*) >= 45""")
+@query("""WITH r AS (SELECT ts, event_id, props->>'k' AS k FROM events ORDER BY ts DESC, event_id LIMIT 500) SELECT 'p' || (k::INT % 10) AS provider, count(*) AS runs FROM r WHERE k::INT % 2 = 1 GROUP BY 1 HAVING count(*) >= 45""")
 def erring_providers(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
-    runs = table(spark, sf, "events").select("ts", F.create_map(F.concat(F.lit("p"), k % 10), k % 2).alias("errors"))
-    return status.erring_providers(runs, "ts", "errors", 500, 45)
+    runs = table(spark, sf, "events").select("ts", "event_id", F.create_map(F.concat(F.lit("p"), k % 10), k % 2).alias("errors"))
+    return status.erring_providers(runs, "ts", "errors", 500, 45, ["event_id"])
 
 
 @query("""WITH f AS (SELECT c_custkey AS k, c_custkey % 8 AS least, c_custkey % 20 AS archived, c_custkey % 3 AS materialized FROM customer), n AS (SELECT k, least, archived, materialized, count(o_custkey) AS n FROM f LEFT JOIN orders ON o_custkey = k GROUP BY ALL)

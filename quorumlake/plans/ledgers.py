@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlake.functions import canonical
-from quorumlake.operators import budget, cells, identity
+from quorumlake.functions import canonical, quotes
+from quorumlake.operators import bodies, budget, cells, identity, lanes, normalize
 from quorumlake.plans.catalog import query
 from quorumlake.plans.search import QUERIES, SQL
 from quorumlake.sources.readers import table
@@ -113,3 +113,46 @@ def stable_uids(spark, sf):
     before = written(identity.assign_uids(records.where("at % 3 = 0"), none, none, ["body"], "guid", ["at"], written).select("guid", "uid"), "uids")
     bound = records.where("at % 97 = 0").select("guid", F.concat(F.lit("bound-"), F.col("guid")).alias("uid"))
     return identity.assign_uids(records, before, bound, ["body"], "guid", ["at"], written).select("guid", "uid", "how")
+
+
+@query("""WITH l AS (SELECT s_nationkey AS k, s_suppkey AS lane, s_suppkey % 3 = 0 AS live, s_suppkey % 4 AS ratio, s_suppkey % 5 + 1 AS units, (s_suppkey % 5 + 1) * 2.5::DOUBLE + 1.5 AS cost FROM supplier), v AS (SELECT *, CASE WHEN live THEN floor(round(40 * ratio::DOUBLE / nullif(sum(ratio) FILTER (WHERE live) OVER (PARTITION BY k), 0), 9)) END AS lj FROM l),
+f AS (SELECT *, 900 - coalesce(sum(lj * cost) OVER (PARTITION BY k), 0) AS rest, sum(ratio * cost) FILTER (WHERE NOT live) OVER (PARTITION BY k) AS weight FROM v), j AS (SELECT *, CASE WHEN live THEN lj WHEN rest > 0 AND weight > 0 THEN floor(round(ratio * (rest / weight), 9)) END::BIGINT AS jobs FROM f)
+SELECT lane, jobs AS reserved_jobs, jobs * units AS reserved_units, (sum(jobs * units) OVER (PARTITION BY k))::BIGINT AS daily_units, 2 * CASE WHEN jobs > 0 THEN jobs WHEN jobs = 0 THEN max(jobs) OVER (PARTITION BY k) END AS max_queued FROM j""")
+def lane_reservations(spark, sf):
+    """A nation's suppliers as lanes."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), k.alias("lane"), (k % 3 == 0).alias("live"), (k % 4).alias("ratio"), (k % 5 + 1).alias("units"))
+    return lanes.reservations(rows, ["k"], 40, 1000.0, 100.0, 2.5, 1.5, 2).select("lane", "reserved_jobs", "reserved_units", "daily_units", "max_queued")
+
+
+@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'The meeting was CANCELLED. ' || left(text, 900) WHEN 1 THEN 'Please wait  ' || left(text, 300) WHEN 2 THEN 'unable to load ' || text WHEN 3 THEN 'Not currently' || chr(10) || 'published ' || text WHEN 4 THEN '%PDF-1.4 ' || text WHEN 5 THEN 'agenda_' || doc_id || '.pdf' ELSE text END AS t, doc_id % 5 AS score FROM documents),
+n AS (SELECT doc_id, score, trim(regexp_replace(coalesce(t, ''), '[\s\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+', ' ', 'g')) AS s FROM d), l AS (SELECT *, lower(s) AS w, length(s) AS n FROM n)
+SELECT doc_id, CASE WHEN s = '' THEN 'empty' WHEN contains(w, 'not currently published') THEN 'unpublished-placeholder'
+WHEN regexp_matches(s, '^%PDF-[0-9]') OR (regexp_matches(w, '(documentviewer\.php|\bloading(\.\.\.|…)?\b|please wait|javascript (is )?required|an error occurred|unable to load)') AND (contains(w, 'documentviewer.php') OR n <= 500 OR score = 0)) OR (n <= 180 AND regexp_matches(w, '[a-z0-9]') AND (regexp_matches(w, '^https?://') OR regexp_matches(s, '^[\p{L}\p{N}_./-]+$'))) THEN 'viewer-placeholder'
+WHEN n <= 1000 AND regexp_matches(w, '\b(cancel(led|ed)?|no meeting|meeting (is )?(postponed|rescheduled)|meeting notice|meeting has been canceled)\b') THEN 'short-notice' ELSE 'complete' END AS class FROM l""")
+def agenda_classes(spark, sf):
+    """Documents, some as notices, viewers' shells, raw files and file names."""
+    k, text = F.col("doc_id"), F.col("text")
+    made = F.when(k % 8 == 0, F.concat(F.lit("The meeting was CANCELLED. "), F.left(text, F.lit(900)))).when(k % 8 == 1, F.concat(F.lit("Please wait  "), F.left(text, F.lit(300)))).when(k % 8 == 2, F.concat(F.lit("unable to load "), text))
+    made = made.when(k % 8 == 3, F.concat(F.lit("Not currently\npublished "), text)).when(k % 8 == 4, F.concat(F.lit("%PDF-1.4 "), text)).when(k % 8 == 5, F.concat(F.lit("agenda_"), k, F.lit(".pdf"))).otherwise(text)
+    return table(spark, sf, "documents").select("doc_id", normalize.agenda_class(made, k % 5).alias("class"))
+
+
+@query(r"""WITH t AS (SELECT conv_id AS k, turn, replace(lower(coalesce(text, '')), 'ß', 'ss') || ' hb' || (turn % 3) AS w FROM conversations), u AS (SELECT k, turn AS unit, unnest(list_distinct(regexp_extract_all(w, '[a-z0-9]+'))) AS t FROM t), i AS (SELECT k, turn AS item, unnest(list_distinct(regexp_extract_all(w || ' unheard', '[a-z0-9]+'))) AS t FROM t WHERE turn = 0),
+x AS (SELECT unnest(string_split('a an and are at be by for from in into is it of on or that the this to with', ' ')) AS t), n AS (SELECT k, count(*) AS n FROM t GROUP BY k), f AS (SELECT k, t, count(*) AS df FROM u GROUP BY k, t),
+q AS (SELECT i.k, item, i.t, (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) * CASE WHEN regexp_full_match(i.t, '[a-z]{1,8}[0-9]+[a-z0-9]*') THEN 3 ELSE 1 END AS w FROM i JOIN n USING (k) LEFT JOIN f ON f.k = i.k AND f.t = i.t WHERE i.t NOT IN (SELECT t FROM x))
+SELECT q.k, q.item, u.unit, round(sum(q.w) / any_value(s.s), 5) AS score FROM q JOIN u ON u.k = q.k AND u.t = q.t JOIN (SELECT k, item, sum(w) AS s FROM q GROUP BY k, item) s ON s.k = q.k AND s.item = q.item GROUP BY q.k, q.item, u.unit""")
+def lexical_scores(spark, sf):
+    """Each conversation's first turn asked for in all its turns, with a formal identifier in each and a word that none has."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" HB"), F.col("turn") % 3)
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("k"), "turn", text.alias("text"))
+    items = t.where("turn = 0").select("k", F.col("turn").alias("item"), F.concat("text", F.lit(" unheard")).alias("text"))
+    return quotes.lexical_scores(items, t.withColumnRenamed("turn", "unit"), ["k"]).withColumn("score", F.round("score", 5))
+
+
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) || ' So moved: aye' AS said FROM conversations""")
+def spoken_texts(spark, sf):
+    """Turns with a speaker, a time and an annotation before them, and a heading between them and the last words."""
+    flat = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    text = F.concat(F.lit("[music] 01:02:03\nMAYOR O'NEIL: "), flat, F.lit("\r\nTHE AGENDA\n[applause\n 1:05 So moved: aye"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.replace(bodies.spoken_text(text), F.lit(" [applause"), F.lit("")).alias("said"))
