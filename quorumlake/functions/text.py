@@ -87,7 +87,7 @@ def cues(text: Column) -> Column:
     clock = lambda s: F.aggregate(F.split(F.replace(s, F.lit(","), F.lit(".")), ":"), F.lit(0.0), lambda acc, x: acc * 60 + F.coalesce(x.try_cast("double"), F.lit(0.0)))
     time = r"((?:\d+:)?\d+:\d+[.,]\d+)\s+-->\s+((?:\d+:)?\d+:\d+[.,]\d+)"
     blocks = F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n\s*\n"), lambda b: b.rlike(time))
-    return F.transform(blocks, lambda b: F.struct(clock(F.regexp_extract(b, time, 1)).alias("start"), clock(F.regexp_extract(b, time, 2)).alias("end"), F.trim(F.regexp_replace(b, rf"(?s)^.*?{time}[^\n]*\n?", "")).alias("text")))
+    return F.transform(blocks, lambda b: F.struct(clock(F.regexp_extract(b, time, 1)).alias("start"), clock(F.regexp_extract(b, time, 2)).alias("end"), F.regexp_replace(F.regexp_replace(b, rf"(?s)^.*?{time}[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("text")))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quorumlake.plans import archive, catalog, ledgers, search, upkeep  # noqa: F401
+from quorumlake.plans import archive, catalog, ledgers, provided, search, upkeep  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
