@@ -15,8 +15,8 @@ def availability(df: DataFrame, by: list[str], order: str, ok: str, dead_after:
 
 
 def token_bucket(df: DataFrame, by: list[str], at: Column, order: str, cost: Column, capacity: float, per_second: float) -> DataFrame:
-    """For each key how many requests a bucket of tokens, refilled over time, admits in order, and what is left."""
-    rows = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(order).alias("o"), cost.cast("double").alias("cost"))))
+    """For each key how many requests a bucket of tokens, refilled over time, admits in order, and what is left. A null cost is none."""
+    rows = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(order).alias("o"), F.coalesce(cost.cast("double"), F.lit(0.0)).alias("cost"))))
     start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(float(capacity)).alias("level"), F.lit(0).alias("admitted"), F.lit(0).alias("refused"))
 
     def fold(acc: Column, x: Column) -> Column:

@@ -449,9 +449,13 @@ def availability(spark, sf):
     return ledger.availability(e, ["user_id"], "event_id", "ok", 3)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS s, coalesce(value, 0)::DOUBLE AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::DOUBLE AS s, 200.0::DOUBLE AS level, 0 AS admitted, 0 AS refused FROM e UNION ALL
+SELECT user_id, n, s, CASE WHEN have >= cost THEN have - cost ELSE have END, admitted + (have >= cost)::INT, refused + (have < cost)::INT FROM (SELECT e.user_id, e.n, e.s, e.cost, admitted, refused, least(200.0::DOUBLE, level + coalesce(e.s - w.s, 0) * 0.002::DOUBLE) AS have FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT user_id, admitted, refused, round(level, 6) AS level FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""")
 def token_bucket(spark, sf):
-    return ledger.token_bucket(table(spark, sf, "events"), ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "event_id", F.col("value"), 200.0, 0.002)
+    told = ledger.token_bucket(table(spark, sf, "events"), ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "event_id", F.col("value"), 200.0, 0.002)
+    return told.withColumn("level", F.round("level", 6))
 
 
 @query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, count(*) > 3 AS over FROM events GROUP BY 1, 2")
@@ -474,12 +478,19 @@ def sessions(spark, sf):
 # ---- packing -------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT c_nationkey AS k, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer),
+w AS (SELECT DISTINCT k, 0::BIGINT AS n, NULL::BIGINT AS c_custkey, NULL::DOUBLE AS c_acctbal, 0 AS shard, [0, 0, 0, 0]::DOUBLE[] AS l, [0, 0, 0, 0] AS m FROM c UNION ALL
+SELECT k, n, c_custkey, c_acctbal, s, [CASE WHEN s = i THEN l[i + 1] + c_acctbal ELSE l[i + 1] END FOR i IN [0, 1, 2, 3]], [CASE WHEN s = i THEN m[i + 1] + 1 ELSE m[i + 1] END FOR i IN [0, 1, 2, 3]]
+FROM (SELECT c.k, c.n, c.c_custkey, c.c_acctbal, l, m, list_sort([{'l': l[i + 1], 'm': m[i + 1], 's': i} FOR i IN [0, 1, 2, 3]])[1].s AS s FROM w JOIN c ON c.k = w.k AND c.n = w.n + 1))
+SELECT k AS c_nationkey, c_custkey, c_acctbal, shard FROM w WHERE n > 0""")
 def shard_plan(spark, sf):
     return packing.assign_shards(table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), "c_nationkey", "c_custkey", "c_acctbal", 4)
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT dense_rank() OVER (ORDER BY source NULLS LAST) AS g, source, doc_id, n_chars, coalesce(n_chars, 0) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+w AS (SELECT DISTINCT g, 0::BIGINT AS n, NULL::VARCHAR AS source, NULL::BIGINT AS doc_id, 0::BIGINT AS n_chars, 0 AS pack, 0::BIGINT AS load FROM d UNION ALL
+SELECT d.g, d.n, d.source, d.doc_id, d.n_chars, CASE WHEN load > 0 AND load + t > 8000 THEN pack + 1 ELSE pack END, CASE WHEN load > 0 AND load + t > 8000 THEN t ELSE load + t END FROM w JOIN d ON d.g = w.g AND d.n = w.n + 1)
+SELECT source, doc_id, n_chars, pack FROM w WHERE n > 0""")
 def pack_in_order(spark, sf):
     return packing.pack_in_order(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 8000)
 
@@ -572,6 +583,9 @@ def bootstrap_interval(spark, sf):
     return ends.select("event_type", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT dense_rank() OVER (ORDER BY source NULLS LAST) AS g, source, n_chars AS t, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS n FROM documents WHERE n_chars IS NOT NULL),
+w AS (SELECT DISTINCT g, 0::BIGINT AS n, source, 0::BIGINT AS made, 0::BIGINT AS padded, 0::BIGINT AS rows, 0::BIGINT AS most FROM d UNION ALL
+SELECT d.g, d.n, d.source, made + shut::INT, padded + CASE WHEN shut THEN rows * most ELSE 0 END, CASE WHEN shut THEN 1 ELSE rows + 1 END, d.t FROM (SELECT *, t > 0 AND rows >= greatest(1, 65536 // nullif(t, 0)) AS shut FROM (SELECT w.g, w.n, made, padded, rows, most, d.t FROM w JOIN d ON d.g = w.g AND d.n = w.n + 1)) w JOIN d ON d.g = w.g AND d.n = w.n + 1)
+SELECT source, made + 1 AS batches, padded + rows * most AS padded FROM w WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC) = 1""")
 def microbatches(spark, sf):
     return packing.microbatches(table(spark, sf, "documents"), "source", "n_chars", 65536)
