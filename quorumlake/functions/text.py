@@ -21,7 +21,7 @@ def ngrams(words: Column, n: int) -> Column:
 
 def tag_phrases(docs: DataFrame, key: str, text: str, taxonomy: list[tuple[str, list[str], list[str]]]) -> DataFrame:
     """key, tag and hits: for each tag with a phrase in the text, on word boundaries and with any white space between words, the number of matches; a text with an excluded phrase doesn't get the tag. The taxonomy (tag, include, exclude) is configuration and becomes expressions."""
-    as_pattern = lambda phrases: r"(?i)(?<!\w)(?:" + "|".join(r"\s+".join(p.split()) for p in phrases) + r")(?!\w)"
+    as_pattern = lambda phrases: r"(?iU)(?<!\w)(?:" + "|".join(r"\s+".join(p.split()) for p in phrases) + r")(?!\w)"
     hits = [F.struct(F.lit(tag).alias("tag"), F.when(F.col(text).rlike(as_pattern(no)) if no else F.lit(False), 0).otherwise(F.regexp_count(F.col(text), F.lit(as_pattern(yes)))).alias("hits")) for tag, yes, no in taxonomy]
     return docs.select(key, F.explode(F.array(*hits)).alias("t")).select(key, "t.tag", "t.hits").where("hits > 0")
 

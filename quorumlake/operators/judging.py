@@ -142,7 +142,7 @@ def phrase_audit(df: DataFrame, key: str, fields: list[str], taxonomy: list[tupl
         for kind, phrases in (("include", yes), ("exclude", no)):
             for p in phrases:
                 for f in fields:
-                    found = F.regexp_extract_all(F.coalesce(f, F.lit("")), F.lit(r"(?i)(?<!\w)" + r"\s+".join(p.split()) + r"(?!\w)"), F.lit(0))
+                    found = F.regexp_extract_all(F.coalesce(f, F.lit("")), F.lit(r"(?iU)(?<!\w)" + r"\s+".join(p.split()) + r"(?!\w)"), F.lit(0))
                     rows.append(F.struct(F.lit(tag).alias("tag"), F.lit(kind).alias("kind"), F.lit(p).alias("phrase"), F.lit(f).alias("field"), F.size(found).alias("n"), F.slice(F.array_distinct(found), 1, samples).alias("samples")))
     return df.select(key, F.explode(F.array(*rows)).alias("o")).select(key, "o.*").where("n > 0")
 

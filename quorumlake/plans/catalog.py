@@ -505,7 +505,7 @@ def reservations(spark, sf):
 TAXONOMY = [("place", ["of the", "in the"], []), ("motion", ["to the"], ["la de"]), ("article", ["der die"], [])]
 
 
-@query(r"""WITH t AS (SELECT doc_id, unnest([{'tag': 'place', 'hits': len(regexp_extract_all(text, '(?i)\b(?:of\s+the|in\s+the)\b'))}, {'tag': 'motion', 'hits': CASE WHEN regexp_matches(text, '(?i)\bla\s+de\b') THEN 0 ELSE len(regexp_extract_all(text, '(?i)\b(?:to\s+the)\b')) END}, {'tag': 'article', 'hits': len(regexp_extract_all(text, '(?i)\b(?:der\s+die)\b'))}]) AS x FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, unnest([{'tag': 'place', 'hits': len(regexp_extract_all(text, '(?i)\b(?:of\s+the|in\s+the)\b'))}, {'tag': 'motion', 'hits': CASE WHEN regexp_matches(text, '(?i)\bla\s+de\b') THEN 0 ELSE len(regexp_extract_all(text, '(?i)\b(?:to\s+the)\b')) END}, {'tag': 'article', 'hits': len(regexp_extract_all(text, '(?i)\b(?:der\s+die)\b'))}]) AS x FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS text FROM documents))
 SELECT doc_id, x.tag AS tag, x.hits AS hits FROM t WHERE x.hits > 0""")
 def tag_phrases(spark, sf):
     return tx.tag_phrases(table(spark, sf, "documents"), "doc_id", "text", TAXONOMY)

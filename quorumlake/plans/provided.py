@@ -237,3 +237,52 @@ def word_regions(spark, sf):
     said = turns.select("k", F.posexplode(F.array(*[F.lit(w) for w in ("Zz1,", "zz2", "ZZ3!")])).alias("seq", "text")).select("k", "seq", "text", (100 + F.col("seq") * 0.5).alias("start"), (100.25 + F.col("seq") * 0.5).alias("end"))
     asked = turns.select("k", F.lit("zz1 zz2 zz3").alias("quote_id"), F.lit("zz1 zz2 zz3").alias("quote"), F.lit(None).cast("double").alias("near_start"), F.lit(None).cast("double").alias("near_end"))
     return quotes.word_region(asked, words.unionByName(said), ["k"]).select("k", "quote_id", "word_start", "word_end")
+
+
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT l_suppkey AS k, l_linenumber AS source, l_partkey * 10.0::DOUBLE AS a, l_partkey * 10.0::DOUBLE + l_quantity AS b, (l_orderkey % 24) * 1048583 AS h FROM lineitem), d AS (SELECT k, h, count(*) AS n FROM s GROUP BY k, h),
+t AS (SELECT x.k, x.h FROM d x JOIN d y ON x.k = y.k AND bit_count(xor(x.h, y.h)) <= 6 GROUP BY x.k, x.h HAVING sum(y.n) >= 320), c AS (SELECT s.* FROM s ANTI JOIN t ON s.k = t.k AND s.h = t.h), o AS (SELECT *, row_number() OVER (PARTITION BY k, source ORDER BY a, b, h) AS n FROM c),
+w(k, source, n, i, a, b, h) AS (SELECT k, source, n, 1, a, b, h FROM o WHERE n = 1 UNION ALL SELECT k, source, n, CASE WHEN near THEN i ELSE i + 1 END, CASE WHEN near THEN wa ELSE a END, b, CASE WHEN near THEN wh ELSE h END
+FROM (SELECT o.*, w.i, w.a AS wa, w.h AS wh, o.a - w.b <= 30 AND bit_count(xor(w.h, o.h)) <= 6 AS near FROM w JOIN o ON o.k = w.k AND o.source = w.source AND o.n = w.n + 1)), z AS (SELECT DISTINCT ON (k, source, i) k, source, a, b, h FROM w ORDER BY k, source, i, n DESC)
+SELECT k, source, a, b, h FROM z QUALIFY row_number() OVER (PARTITION BY k ORDER BY source, a, b, h) <= 60""")
+def recurring_slides(spark, sf):
+    """A supplier's lines as pictures, without those that are near to 320 or more of the supplier's."""
+    a = F.col("l_partkey") * 10.0
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("source"), a.alias("a"), (a + F.col("l_quantity")).alias("b"), (F.col("l_orderkey") % 24 * 1048583).alias("h"))
+    return timeline.selected_slides(rows, ["k"], "source", "a", "b", "h", recurring=320).select("k", "source", F.col("start").alias("a"), F.col("end").alias("b"), F.col("hash").alias("h"))
+
+
+@query(r"""SELECT conv_id, seq, CASE WHEN seq % 3 < 2 THEN position('part ' || (seq - seq // 3) IN t) END::INT AS span_start FROM (SELECT conv_id, 'zz' || string_agg('part ' || g || ' of it', ' ' ORDER BY g) AS t FROM conversations, generate_series(0, 5) x(g) WHERE turn = 0 GROUP BY conv_id), generate_series(0, 8) y(seq)""")
+def title_places(spark, sf):
+    """The places of titles in order; every third isn't in the text."""
+    talks = table(spark, sf, "conversations").where("turn = 0").select("conv_id").distinct()
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.lit("Part  "), i, F.lit(" of it"))), " ")
+    seq = F.col("seq")
+    titles = talks.select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("seq")).withColumn("title", F.when(seq % 3 < 2, F.concat(F.lit("PART "), seq - F.floor(seq / 3))).otherwise("not there"))
+    return quotes.title_spans(talks.withColumn("text", F.concat(F.lit("zz"), text)), titles, ["conv_id"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Second item: ' || o_orderpriority || ' THE FIRST' ELSE 'hello ' || o_orderpriority END AS text FROM orders""")
+def without_preambles(spark, sf):
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("hello "), F.when(k % 2 == 0, F.concat(F.lit("Second item: "), "o_orderpriority", F.lit(" THE FIRST"))).otherwise(F.col("o_orderpriority")))
+    titles = F.array(F.lit("the first"), F.lit("SECOND ITEM"), F.lit("unheard of"))
+    return table(spark, sf, "orders").select("o_orderkey", quotes.without_preamble(text, titles).alias("text"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(['agenda', 'spoken']) AS field, unnest([lower(text), reverse(lower(text))]) AS x FROM documents), p(tag, kind, phrase) AS (VALUES ('a', 'include', 'the'), ('a', 'include', 'und'), ('a', 'exclude', 'of'), ('b', 'include', 'la'))
+SELECT doc_id, tag, kind, phrase, field, len(regexp_extract_all(' ' || regexp_replace(x, '[^a-z0-9_\\x{80}-\\x{10FFFF}]+', '  ', 'g') || ' ', ' ' || phrase || ' '))::INT AS n FROM t, p WHERE regexp_matches(' ' || regexp_replace(x, '[^a-z0-9_\\x{80}-\\x{10FFFF}]+', '  ', 'g') || ' ', ' ' || phrase || ' ')""")
+def phrase_audit(spark, sf):
+    """How often each phrase of two tags is in each document and in its mirror image."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("agenda"), F.reverse("text").alias("spoken"))
+    return judging.phrase_audit(docs, "doc_id", ["agenda", "spoken"], [("a", ["the", "und"], ["of"]), ("b", ["la"], [])]).select("doc_id", "tag", "kind", "phrase", "field", "n")
+
+
+@query("""SELECT l_orderkey, l_linenumber AS link_id, CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END::BIGINT AS chapter FROM lineitem""")
+def links_of_chapters(spark, sf):
+    """Links that name a case of one of two chapters, or its title, or nothing."""
+    n = F.col("l_linenumber")
+    label = F.when(n % 3 == 0, "The  Budget Hearing file").when(n % 3 == 1, F.concat(F.lit("Backup PD20-"), F.col("l_orderkey"))).otherwise("map")
+    links = table(spark, sf, "lineitem").select("l_orderkey", n.alias("link_id"), label.alias("label"), F.lit("https://x").alias("url"))
+    keys = links.select("l_orderkey").distinct()
+    chapters = keys.select("l_orderkey", F.lit(0).cast("long").alias("chapter"), F.concat(F.lit("Zoning Case PD20-"), F.col("l_orderkey")).alias("title")).unionByName(keys.select("l_orderkey", F.lit(1).cast("long").alias("chapter"), F.lit("Budget hearing").alias("title")))
+    return judging.chapter_of_links(links, chapters, ["l_orderkey"], r"[A-Z]{1,4}\d{2}-\d+").select("l_orderkey", "link_id", "chapter")
