@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -51,6 +52,60 @@ def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack(rows)
 
 
+def _next_row(above: np.ndarray, i: int, word: object, b: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    open_row = np.concatenate(([i], np.minimum(above[1:] + 1, above[:-1] + (b != word))))
+    return np.minimum.accumulate(open_row - steps) + steps
+
+
+def word_pairs(a: np.ndarray, b: np.ndarray) -> list[tuple[int | None, int | None]]:
+    """The places that a best alignment puts together, None for a word alone: from the end on a pair where one is optimal, else a word of a, else one of b.
+
+    Of the table only every root(n)-th row is kept; the rows between two of them are made again when the way back enters
+    them. So 2 root(n) rows are held, and each is made twice.
+    """
+    n, steps, width = len(a), np.arange(len(b) + 1), max(1, math.isqrt(len(a)))
+    kept, row = {0: steps}, steps
+    for i in range(1, n + 1):
+        row = _next_row(row, i, a[i - 1], b, steps)
+        if i % width == 0:
+            kept[i] = row
+    out, i, j, rows, base = [], n, len(b), [], None
+    while i or j:
+        if base is None or i - 1 < base and i:
+            base = (i - 1) // width * width if i else 0
+            rows = [kept[base]]
+            for r in range(base + 1, min(base + width, n) + 1):
+                rows.append(_next_row(rows[-1], r, a[r - 1], b, steps))
+        if i and j and rows[i - base][j] == rows[i - 1 - base][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif i and rows[i - base][j] == rows[i - 1 - base][j] + 1:
+            i -= 1
+            out.append((i, None))
+        else:
+            j -= 1
+            out.append((None, j))
+    return out[::-1]
+
+
+def aligned_words(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """keys, seq, a, b, a_word and b_word: the pairs of a best alignment of two columns of words, as rows; a side is null where a word stands alone. Null counts as no words."""
+    kinds = dict(df.dtypes)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                *key, x, y = row
+                x, y = (np.array([] if w is None else list(w), object) for w in (x, y))
+                pairs = word_pairs(x, y)
+                if pairs:
+                    told = pd.DataFrame({"seq": range(len(pairs)), "a": pd.array([p for p, _ in pairs], "Int64"), "b": pd.array([q for _, q in pairs], "Int64"), "a_word": [None if p is None else x[p] for p, _ in pairs], "b_word": [None if q is None else y[q] for _, q in pairs]})
+                    yield told.assign(**dict(zip(keys, key)))[[*keys, *told.columns]]
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "seq int, a int, b int, a_word string, b_word string"])
+    return df.select(*keys, left, right).mapInPandas(of, schema)
+
+
 def _deltas(a: np.ndarray, b: np.ndarray, at: np.ndarray, bt: np.ndarray) -> tuple[float, float]:
     """Agreement of two word lists, and the mean distance in time of the words that an alignment puts together."""
     if not len(a) or not len(b):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +118,51 @@ def bootstrap_interval(df: DataFrame, by: list[str], cluster: str, value: str, r
     means = drawn.groupBy(*by, "_rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("_m"))
     ends = means.groupBy(*by).agg(F.expr("percentile_cont(0.025) within group (order by _m)").alias("low"), F.expr("percentile_cont(0.975) within group (order by _m)").alias("high"))
     return sums.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("mean")).join(ends, by)
+
+
+def bootstrap_fixed(df: DataFrame, by: list[str], cluster: str, value: str, reps: int, seed: str, size: int = 20_000) -> DataFrame:
+    """by, mean, low and high, and draws: the mean with its 95% percentile interval over replicates that each draw as many clusters as there are, with replacement.
+
+    A stratum's clusters lie in buckets of about ``size``. A replicate's draws are dealt to the buckets by binomial splits,
+    from the first on, each with the share of the clusters that are left; within a bucket they are dealt to its clusters
+    in the same way. All numbers come from hashes of seed, stratum, replicate and bucket, so that reruns agree. draws is what each replicate drew.
+    """
+    sums = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count("*").alias("_n"))
+    totals = sums.groupBy(*by).agg(F.count("*").alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
+    whole = totals.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "_all")
+    told = (sums.join(F.broadcast(whole), same) if by else sums.crossJoin(F.broadcast(whole))).drop(*[f"_{i}" for i in range(len(by))])
+    told = told.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), cluster), F.ceil(F.col("_all") / size)))
+    counts = told.groupBy(*by, "_bucket").agg(F.count("*").alias("_m"), F.first("_all").alias("_all"))
+    lists = counts.groupBy(*by, "_all").agg(F.array_sort(F.collect_list(F.struct("_bucket", "_m"))).alias("_buckets"))  # a row for each bucket
+    keys = "".join(f"`{c}` {dict(told.dtypes)[c]}, " for c in by)
+
+    def number(*parts: object) -> np.random.Generator:
+        return np.random.default_rng(int.from_bytes(hashlib.sha256("\x1f".join(map(str, (seed, *parts))).encode()).digest()[:8], "big"))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.to_dict("records"):
+                sizes = np.array([x["_m"] for x in row["_buckets"]])
+                rng = number("buckets", *[row[c] for c in by])
+                drawn = rng.multinomial(int(row["_all"]), sizes / sizes.sum(), reps)
+                yield pd.DataFrame([{**{c: row[c] for c in by}, "_bucket": x["_bucket"], "_draws": drawn[:, i].tolist()} for i, x in enumerate(row["_buckets"])])
+
+    dealt = lists.mapInPandas(deal, f"{keys}_bucket long, _draws array<long>")
+
+    def draw(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({**{c: [] for c in by}, "_rep": [], "_ws": [], "_wn": [], "_w": []})
+        a = a.sort_values(cluster, kind="stable")
+        key = [a[c].iloc[0] for c in by]
+        rng, s, n = number("clusters", *key, int(a["_bucket"].iloc[0])), a["_s"].to_numpy(), a["_n"].to_numpy()
+        w = np.stack([rng.multinomial(int(k), np.full(len(a), 1 / len(a))) for k in b["_draws"].iloc[0]])
+        return pd.DataFrame({**dict(zip(by, key)), "_rep": np.arange(1, reps + 1), "_ws": w @ s, "_wn": w @ n, "_w": w.sum(axis=1)})
+
+    group = [*by, "_bucket"]
+    parts = told.groupBy(*group).cogroup(dealt.groupBy(*group)).applyInPandas(draw, f"{keys}_rep long, _ws double, _wn long, _w long")
+    means = parts.groupBy(*by, "_rep").agg((F.sum("_ws") / F.sum("_wn")).alias("_m"), F.sum("_w").alias("_w"))
+    ends = means.groupBy(*by).agg(F.expr("percentile_cont(0.025) within group (order by _m)").alias("low"), F.expr("percentile_cont(0.975) within group (order by _m)").alias("high"), F.min("_w").alias("draws"), F.max("_w").alias("_most")).where("draws = _most").drop("_most")
+    mean = sums.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("mean")).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "mean")
+    both = mean.join(ends, same) if by else mean.crossJoin(ends)
+    return both.select(*by, "mean", "low", "high", "draws")

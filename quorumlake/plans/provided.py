@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorumlake.functions import quotes
-from quorumlake.operators import judging, packing, timeline
+from quorumlake.operators import align, judging, packing, stats, timeline
 from quorumlake.plans.catalog import query
 from quorumlake.plans.ledgers import QUERIES, SQL
 from quorumlake.sources import payloads, readers
@@ -286,3 +286,17 @@ def links_of_chapters(spark, sf):
     keys = links.select("l_orderkey").distinct()
     chapters = keys.select("l_orderkey", F.lit(0).cast("long").alias("chapter"), F.concat(F.lit("Zoning Case PD20-"), F.col("l_orderkey")).alias("title")).unionByName(keys.select("l_orderkey", F.lit(1).cast("long").alias("chapter"), F.lit("Budget hearing").alias("title")))
     return judging.chapter_of_links(links, chapters, ["l_orderkey"], r"[A-Z]{1,4}\d{2}-\d+").select("l_orderkey", "link_id", "chapter")
+
+
+@query()
+def aligned_turns(spark, sf):
+    """The words of each turn beside those of the turn before it, as an alignment puts them together."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", align.plain_words(F.col("text")).alias("words"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("words").alias("before"))
+    return align.aligned_words(turns.join(before, ["conv_id", "turn"]), ["conv_id", "turn"], "words", "before")
+
+
+@query()
+def bootstrap_users(spark, sf):
+    """The mean value of each kind of event, with an interval over users drawn as often as there are."""
+    return stats.bootstrap_fixed(table(spark, sf, "events"), ["event_type"], "user_id", "value", 200, "a")
