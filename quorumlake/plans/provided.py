@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorumlake.functions import quotes
-from quorumlake.operators import align, judging, packing, stats, timeline
+from quorumlake.operators import align, integrity, judging, packing, stats, timeline, verdicts
 from quorumlake.plans.catalog import query
 from quorumlake.plans.ledgers import QUERIES, SQL
 from quorumlake.sources import payloads, readers
@@ -300,3 +300,104 @@ def aligned_turns(spark, sf):
 def bootstrap_users(spark, sf):
     """The mean value of each kind of event, with an interval over users drawn as often as there are."""
     return stats.bootstrap_fixed(table(spark, sf, "events"), ["event_type"], "user_id", "value", 200, "a")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS uid, row_number() OVER w AS i, row_number() OVER w AS n, l_quantity::DOUBLE AS len, sum(l_quantity::DOUBLE) OVER w AS e, l_partkey % 50 AS x FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, e - len + CASE WHEN x = 1 THEN 2 WHEN x = 2 AND n > 1 THEN -2 ELSE 0 END AS a FROM s), p AS (SELECT *, lag(e) OVER (PARTITION BY uid ORDER BY i) AS before FROM g), t AS (SELECT uid, sum(e - a) AS total, max(e) AS last, max(e) + CASE WHEN uid % 9 = 0 THEN 5 ELSE 0 END AS served FROM g GROUP BY uid)
+SELECT uid, CASE WHEN a < coalesce(before, 0) - 0.1 THEN 'timeline-overlap' WHEN before IS NULL THEN 'timeline-gap-start' ELSE 'timeline-gap' END AS code, i AS "at", 'error' AS severity FROM p WHERE a < coalesce(before, 0) - 0.1 OR a > coalesce(before, 0) + 0.1
+UNION ALL SELECT uid, 'timeline-duration-mismatch', NULL, 'error' FROM t WHERE abs(total - served) >= 1 UNION ALL SELECT uid, 'timeline-short-coverage', NULL, 'error' FROM t WHERE abs(last - served) >= 1
+UNION ALL SELECT uid, 'timeline-source-overrun', i, 'error' FROM g WHERE x = 3 UNION ALL SELECT o_orderkey, 'timeline-empty', NULL, 'error' FROM orders WHERE o_orderkey NOT IN (SELECT uid FROM s) UNION ALL SELECT uid, 'timeline-chapter-out-of-range', 1, 'warn' FROM t WHERE uid % 4 = 0""")
+def timeline_findings(spark, sf):
+    """Order lines as edit lists, some with gaps, overlaps, wrong lengths, long sources or late chapters."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("uid").orderBy("i")
+    x = F.col("x")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("uid"), place.cast("long").alias("i"), F.col("l_quantity").cast("double").alias("len"), (F.col("l_partkey") % 50).alias("x"))
+    s = lines.withColumns({"n": F.row_number().over(w), "served_end": F.sum("len").over(w)})
+    s = s.withColumn("served_start", F.col("served_end") - F.col("len") + F.when(x == 1, 2).when((x == 2) & (F.col("n") > 1), -2).otherwise(0))
+    segments = s.select("uid", "i", F.lit("source").alias("kind"), F.lit("a").alias("source_id"), "served_start", "served_end", F.lit(0.0).alias("source_start"), F.when(x == 3, 1000.5).otherwise(1000.05).alias("source_end"))
+    ends = s.groupBy(F.col("uid").alias("own_uid")).agg(F.max("served_end").alias("last"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("uid"))
+    recordings = orders.join(ends, F.col("uid") == F.col("own_uid"), "left").select("uid", (F.col("last") + F.when(F.col("uid") % 9 == 0, 5).otherwise(0)).alias("served"))
+    chapters = recordings.where("served is not null").select("uid", F.lit(1).cast("long").alias("i"), F.when(F.col("uid") % 4 == 0, F.col("served") + 1).otherwise(F.col("served")).alias("start"))
+    return integrity.timeline_findings(recordings, segments, orders.select("uid", F.lit("a").alias("source_id"), F.lit(1000.0).alias("duration")), chapters)
+
+
+@query("""SELECT DISTINCT key FROM (SELECT unnest([CASE WHEN o_orderkey % 3 > 0 THEN 'a' || o_custkey END, CASE WHEN o_orderkey % 4 = 0 THEN 't' || o_orderkey ELSE '' END]) AS key FROM orders) WHERE coalesce(key, '') <> ''""")
+def referenced_keys(spark, sf):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(F.when(k % 3 > 0, F.concat(F.lit("a"), F.col("o_custkey"))).alias("audio_key"), F.when(k % 4 == 0, F.concat(F.lit("t"), k)).otherwise("").alias("transcript_key"))
+    return integrity.referenced_keys(rows, ["audio_key", "transcript_key"])
+
+
+@query("""WITH l AS (SELECT user_id, event_id, 'https://x/' || (event_id % 60) AS url, row_number() OVER (PARTITION BY user_id, event_id % 60 ORDER BY event_id) AS r FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM l WHERE r = 1)
+SELECT user_id, event_id, url, event_id % 5 = 0 OR event_id % 7 = 0 AS minutes FROM f WHERE n <= 25""")
+def document_links(spark, sf):
+    """A user's events as links, the first 25 urls of each, and whether they lead to minutes."""
+    k = F.col("event_id")
+    rows = table(spark, sf, "events").select("user_id", "event_id", F.concat(F.lit("https://x/"), k % 60).alias("url"), F.when(k % 5 == 0, "minutes").otherwise("agenda").alias("kind"), F.when(k % 7 == 0, "Draft MINUTES of May").otherwise("minuteshare").alias("label"))
+    kept = integrity.deduplicated_links(rows, ["user_id"], "event_id", "url", 25)
+    return kept.select("user_id", "event_id", "url", integrity.is_minutes_link(F.col("kind"), F.col("label"), F.col("url")).alias("minutes"))
+
+
+@query("""WITH d AS (SELECT user_id % 40 AS verb, ts::DATE AS day, count(*) AS ran, sum(event_id % 50) AS backlog, sum(event_id % 3) % 2 AS ready FROM events GROUP BY ALL), i AS (SELECT *, backlog // 2 + verb % 2 AS limited, row_number() OVER (PARTITION BY verb ORDER BY day) AS i FROM d),
+t AS (SELECT verb, count(*) AS days, coalesce(regr_slope(backlog, i), 0) AS slope, avg(backlog) AS mean, avg(ran) AS ran, max_by(backlog, day) AS last, max_by(ready, day) AS ready, max_by(limited, day) AS limited FROM i GROUP BY verb),
+v AS (SELECT *, CASE WHEN days < 6 THEN 'insufficient_data' WHEN slope >= greatest(0.4, 0.01 * mean) THEN 'growing' WHEN slope <= -greatest(0.4, 0.01 * mean) THEN 'shrinking' ELSE 'flat' END AS trend, CASE WHEN days >= 6 AND ran > 0 THEN last / ran END AS drain FROM t),
+h AS (SELECT *, days >= 6 AND CASE WHEN verb % 3 > 0 THEN last > 0 AND coalesce(drain > 20, TRUE) AND trend <> 'shrinking' ELSE trend = 'growing' END AND ready = 0 AS held FROM v)
+SELECT verb, days, last::BIGINT AS backlog, trend, round(drain, 2) AS drain_days, held AS constrained, CASE WHEN held AND last > 0 THEN CASE WHEN limited / last >= 0.5 THEN 'raise_ingress_quota' ELSE 'add_route_capacity' END END AS action FROM h""")
+def backlog_verdicts(spark, sf):
+    """Forty groups of users as verbs with a backlog a day."""
+    k = F.col("event_id")
+    days = table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("verb"), F.to_date("ts").alias("day")).agg(F.count("*").alias("ran"), F.sum(k % 50).alias("backlog"), (F.sum(k % 3) % 2).alias("ready"))
+    days = days.withColumn("limited", F.floor(F.col("backlog") / 2) + F.col("verb") % 2)
+    told = integrity.backlog_verdicts(days, ["verb"], 6, 0.4, 0.01, 20.0, F.col("verb") % 3 > 0)
+    return told.select("verb", "days", "backlog", "trend", "drain_days", "constrained", "action")
+
+
+JUDGED = """j AS (SELECT event_id AS seq, user_id % 30 AS subject, 't' || (user_id % 2) AS task, 'q' || (event_id % 3) || CASE WHEN event_id % 5 = 4 THEN '_s' ELSE '' END AS question, CASE WHEN event_id % 4 = 0 THEN 'T2' ELSE 'T1' END AS tier, ['anchor', 'sibling', 'adjudicator'][event_id * 7 % 5 % 3 + 1] AS role, 'm' || (event_id % 7) AS model,
+CASE WHEN event_id % 5 = 4 THEN 'stability' WHEN event_id % 11 = 0 THEN 'escalation' ELSE 'routine' END AS sample, CASE WHEN event_id % 6 > 0 THEN 'validate' ELSE 'rate' END AS kind, CASE WHEN event_id % 8 > 0 THEN event_id * 13 % 17 % 2 = 0 END AS said, CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END AS quote_valid FROM events)"""
+
+
+def judgments(spark, sf):
+    k = F.col("event_id")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    again = k % 5 == 4
+    return table(spark, sf, "events").select(
+        k.alias("seq"), (F.col("user_id") % 30).alias("subject"), F.concat(F.lit("t"), F.col("user_id") % 2).alias("task"), F.concat(F.lit("q"), k % 3, F.when(again, "_s").otherwise("")).alias("question"), F.when(k % 4 == 0, "T2").otherwise("T1").alias("tier"), pick(("anchor", "sibling", "adjudicator"), k * 7 % 5 % 3).alias("role"), F.concat(F.lit("m"), k % 7).alias("model"),
+        F.when(again, "stability").when(k % 11 == 0, "escalation").otherwise("routine").alias("sample"), F.when(k % 6 > 0, "validate").otherwise("rate").alias("kind"), F.when(k % 8 > 0, k * 13 % 17 % 2 == 0).alias("said"), F.when(k % 9 == 1, False).when(k % 9 > 0, True).alias("quote_valid"),
+    )
+
+
+@query(f"""WITH {JUDGED} SELECT role, model, count(*) FILTER (WHERE quote_valid) AS valid, count(*) FILTER (WHERE NOT quote_valid) AS invalid, count(*) FILTER (WHERE quote_valid IS NULL) AS unchecked FROM j WHERE role <> 'anchor' GROUP BY ALL""")
+def judged_quotes(spark, sf):
+    return verdicts.quote_counts(judgments(spark, sf))
+
+
+@query(f"""WITH {JUDGED}, v AS (SELECT subject, task, question, tier, role, model, arg_max(said, seq) AS said, min(seq) AS first FROM j WHERE kind = 'validate' AND said IS NOT NULL AND role <> 'adjudicator' GROUP BY ALL), f AS (SELECT *, CASE WHEN model IN ('m0', 'm1', 'm2') THEN 'f' ELSE model END AS family FROM v),
+p AS (SELECT a.subject, a.task, a.question, a.tier, a.model, a.said AS x, arg_min(b.said, b.first) AS y FROM f a JOIN f b USING (subject, task, question, tier) WHERE a.role = 'anchor' AND b.role = 'sibling' AND a.family <> b.family GROUP BY ALL)
+SELECT model, task, question, tier, count(*) FILTER (WHERE x = y) AS agree, count(*) AS pairs, round(count(*) FILTER (WHERE x = y) / count(*), 4) AS rate FROM p GROUP BY ALL""")
+def judged_agreement(spark, sf):
+    families = spark.createDataFrame([(f"m{i}", "f") for i in range(3)], "model string, family string")
+    return verdicts.agreement(judgments(spark, sf), families)
+
+
+@query(f"""WITH {JUDGED}, s AS (SELECT subject, model, bool_or(role = 'anchor' AND tier = 'T1') AS f, bool_or(sample = 'escalation') AS e FROM j GROUP BY ALL) SELECT model, count(*) FILTER (WHERE e) AS escalated, count(*) AS subjects FROM s WHERE f GROUP BY model""")
+def judged_escalation(spark, sf):
+    return verdicts.escalation(judgments(spark, sf), "T1")
+
+
+@query(f"""WITH {JUDGED}, s AS (SELECT *, CASE WHEN subject % 2 = 0 THEN subject % 4 = 0 END AS truth, (role <> 'adjudicator' OR coalesce(quote_valid, TRUE)) AS usable FROM j)
+SELECT model, count(*) AS asked, count(*) FILTER (WHERE usable AND truth IS NOT NULL AND said IS NOT NULL) AS scored, count(*) FILTER (WHERE usable AND truth = said) AS correct, count(*) FILTER (WHERE NOT quote_valid) AS unsupported FROM s GROUP BY model""")
+def judged_probes(spark, sf):
+    """All subjects as probes; the even ones have a known truth."""
+    rows = judgments(spark, sf)
+    truths = rows.select("subject").distinct().where("subject % 2 = 0").withColumn("truth", F.col("subject") % 4 == 0)
+    return verdicts.probe_results(rows, truths)
+
+
+@query(f"""WITH {JUDGED}, u AS (SELECT * FROM j WHERE (role <> 'adjudicator' OR coalesce(quote_valid, TRUE)) AND said IS NOT NULL), r AS (SELECT subject, task, model, question, tier, arg_max(said, seq) AS own FROM u WHERE sample = 'routine' GROUP BY ALL)
+SELECT u.model, count(*) AS again, count(*) FILTER (WHERE u.said <> own) AS changed FROM u JOIN r ON u.subject = r.subject AND u.task = r.task AND u.model = r.model AND u.tier = r.tier AND regexp_replace(u.question, '_s$', '') = r.question WHERE u.sample = 'stability' GROUP BY u.model""")
+def judged_stability(spark, sf):
+    return verdicts.stability(judgments(spark, sf))
