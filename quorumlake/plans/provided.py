@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quorumlake.functions import quotes
-from quorumlake.operators import align, integrity, judging, packing, stats, timeline, verdicts
+from quorumlake.functions import quotes, text
+from quorumlake.operators import align, integrity, judging, packing, stats, timeline, verdicts, workqueue
 from quorumlake.plans.catalog import query
 from quorumlake.plans.ledgers import QUERIES, SQL
 from quorumlake.sources import payloads, readers
@@ -401,3 +401,23 @@ def judged_probes(spark, sf):
 SELECT u.model, count(*) AS again, count(*) FILTER (WHERE u.said <> own) AS changed FROM u JOIN r ON u.subject = r.subject AND u.task = r.task AND u.model = r.model AND u.tier = r.tier AND regexp_replace(u.question, '_s$', '') = r.question WHERE u.sample = 'stability' GROUP BY u.model""")
 def judged_stability(spark, sf):
     return verdicts.stability(judgments(spark, sf))
+
+
+@query("""SELECT o_orderkey, 2.5::DOUBLE * coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 7 END, 0) + 0.5 * (o_orderkey % 4) AS work FROM orders""")
+def weighted_work(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", workqueue.weighted_work({"encode": (F.when(k % 3 > 0, k % 7), 2.5), "probe": (k % 4, 0.5)}).alias("work"))
+
+
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 11)::DOUBLE END, avg(CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 11)::DOUBLE END) OVER ()) AS weight FROM orders""")
+def imputed_weights(spark, sf):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(k % 5 > 0, (k % 11).cast("double")).alias("known"))
+    return stats.imputed_weight(rows, "known", "weight").select("o_orderkey", "weight")
+
+
+@query("""WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM b WHERE r = 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""")
+def best_orders(spark, sf):
+    """Each customer's dearest order, and of these the 25 dearest."""
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return text.best_rows(rows, ["o_custkey"], "o_totalprice", "o_orderkey", 25)
