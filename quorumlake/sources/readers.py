@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quorumlake.functions.text import cues
+from quorumlake.sources.scratch import exists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,6 +189,22 @@ def rendered_feed(df: DataFrame, by: str, title: Column, guid: str, published: s
     return whole.select(by, "items", F.array_join("_all._item", "\n").alias("xml"))
 
 
-def save_records(df: DataFrame, path: str, by: str) -> None:
-    """Overwrites the partitions that the frame has rows for, and no others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def save_records(df: DataFrame, path: str, by: str, parts: int = 64) -> None:
+    """Replaces the rows of the keys that the frame has rows for, and of no others.
+
+    Keys lie in so many folders by hash, however many keys there are; always give a path the same number. The folders of
+    the frame's keys are written anew, each with the stored rows of its other keys; the rest isn't touched.
+    """
+    spark, placed = df.sparkSession, lambda rows: rows.withColumn("own_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    rows = placed(df)
+    if exists(spark, path):
+        keys = df.select(F.col(by).alias("own_key")).distinct()
+        touched = [r["own_part"] for r in rows.select("own_part").distinct().collect()]  # at most parts numbers
+        stored = spark.read.schema(rows.schema).parquet(path).where(F.col("own_part").isin(touched))
+        rows = rows.unionByName(stored.join(keys, F.col(by).eqNullSafe(F.col("own_key")), "left_anti"))
+    rows.repartition("own_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("own_part").parquet(path)
+
+
+def saved_records(spark: SparkSession, path: str) -> DataFrame:
+    """What save_records has put down."""
+    return spark.read.parquet(path).drop("own_part")
