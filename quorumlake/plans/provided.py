@@ -160,18 +160,23 @@ def flat_records(spark, sf):
     )
 
 
+#: Records of all priorities for each file of every priority.
+RECORDS_IN_FILE = 50_000
+
+
 @query("""SELECT o_orderkey::VARCHAR AS uid, 'A "title" \\ ' || o_orderkey AS title, o_orderdate::DATE::VARCHAR AS day, o_orderpriority AS body, CASE WHEN o_orderkey % 3 = 0 THEN 'https://a/' || o_orderkey END AS agenda, CASE WHEN o_orderkey % 4 = 0 THEN 'https://s' END AS audio_url, (o_orderkey % 2)::INT AS attempts, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 7 END AS audio_bytes,
 CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice::DOUBLE END AS duration_source, CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE 0 END::INT AS chapters, CASE WHEN o_orderkey % 2 = 0 THEN 't' END AS transcript_key, o_orderkey % 6 = 0 AS synced FROM orders""")
 def stored_records(spark, sf):
-    """Records written as a store's JSON files, one for each priority, and read again."""
-    encoded = payloads.encoded_records(flat_records(spark, sf)).join(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), "o_orderpriority"), "uid")
+    """Records written as a store's JSON files, by priority and some thousands in each, and read again."""
+    orders = table(spark, sf, "orders")
+    encoded = payloads.encoded_records(flat_records(spark, sf)).join(orders.select(F.col("o_orderkey").cast("string").alias("uid"), "o_orderpriority"), "uid")
     entry = F.concat(F.to_json(F.struct(F.col("uid").alias("u"))), F.lit(""))
-    told = encoded.select("o_orderpriority", F.concat(F.regexp_extract(entry, r'^\{"u":(.*)\}$', 1), F.lit(":"), F.col("record")).alias("entry"))
-    files = told.groupBy("o_orderpriority").agg(F.concat(F.lit('{"schema_version":2,"episodes":{'), F.array_join(F.collect_list("entry"), ","), F.lit("}}")).alias("value"))
+    told = encoded.select("o_orderpriority", F.pmod(F.xxhash64("uid"), F.lit(-(-orders.count() // RECORDS_IN_FILE))).alias("part"), F.concat(F.regexp_extract(entry, r'^\{"u":(.*)\}$', 1), F.lit(":"), F.col("record")).alias("entry"))
+    files = told.groupBy("o_orderpriority", "part").agg(F.concat(F.lit('{"schema_version":2,"episodes":{'), F.array_join(F.collect_list("entry"), ","), F.lit("}}")).alias("value"))
     folder = fresh_folder(spark, "store")
-    files.repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(folder)
+    files.write.partitionBy("o_orderpriority", "part").text(folder)
     kind = spark.createDataFrame([], payloads.RECORD_FIELDS.replace("uid string, ", "", 1)).schema
-    read = readers.record_store(spark, f"{folder}/*/*.txt", kind)
+    read = readers.record_store(spark, f"{folder}/*/*/*.txt", kind)
     r = payloads.decoded_records(read.select(F.to_json(F.struct("*")).alias("p")), "p")
     return r.select("uid", "title", F.date_format("published", "yyyy-MM-dd").alias("day"), "body", F.col("links")["agenda"].alias("agenda"), "audio_url", "attempts", "audio_bytes", "duration_source", F.size("chapters").alias("chapters"), "transcript_key", "synced")
 

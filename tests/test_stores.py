@@ -3,8 +3,12 @@
 import os
 from urllib.parse import urlparse
 
+from pyspark.sql import functions as F
+
+from quorumlake.operators import timeline
+from quorumlake.plans import provided
 from quorumlake.sources import readers
-from quorumlake.sources.scratch import fresh_folder
+from quorumlake.sources.scratch import fresh_folder, shared_folder
 
 
 def files(folder):
@@ -20,3 +24,20 @@ def test_keys_share_a_bounded_number_of_folders(spark):
     got = sorted(((r["k"], r["v"]) for r in readers.saved_records(spark, folder).collect()), key=str)
     assert got == sorted([(k, "second" if k == 7 else "first") for k in range(500)] + [(None, "second")], key=str)
     assert len(files(folder)) == 8 and len(before.keys() - files(folder).keys()) <= 2
+
+
+def test_no_file_of_a_store_grows_with_the_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(provided, "RECORDS_IN_FILE", 100)
+    rows = spark.range(2000).select(F.col("id").alias("o_orderkey"), F.lit(1.5).alias("o_totalprice"), F.lit("1998-01-01 00:00:00").cast("timestamp").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"))
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    before = set(os.listdir(urlparse(shared_folder(spark)).path))
+    got = provided.stored_records(spark, str(tmp_path))
+    assert sorted(int(r["uid"]) for r in got.select("uid").collect()) == list(range(2000))
+    (store,) = [d for d in set(os.listdir(urlparse(shared_folder(spark)).path)) - before if d.startswith("store-")]
+    assert len(files(f"{shared_folder(spark)}/{store}")) == 20
+
+
+def test_marks_after_ten_million_seconds(spark):
+    """Spark writes a double from 10**7 on with an exponent."""
+    logs = spark.createDataFrame([("a", 12345678.5), ("b", 2.5)], "k string, at double").select("k", F.concat(F.lit("x_start: "), "at", F.lit("\nx_end: "), F.col("at") + 1, F.lit(" | more\n")).alias("log"))
+    assert [tuple(r) for r in timeline.marked_intervals(logs, "k", "log", "x_start", "x_end").orderBy("k").collect()] == [("a", 1, 12345678.5, 12345679.5), ("b", 1, 2.5, 3.5)]
