@@ -85,10 +85,14 @@ def without_edges(intervals: DataFrame, duration: Column, edge: float, first_cha
     return intervals.where(~leading & ~trailing)
 
 
+#: Seconds as logs print them; large numbers may have an exponent.
+CLOCK = r"[0-9.]+(?:[eE][+-]?[0-9]+)?"
+
+
 def marked_intervals(logs: DataFrame, key: str, text: str, begin: str, end: str) -> DataFrame:
     """Intervals of log texts with markers, as ``silence_start: 1.5`` and ``silence_end: 2.5``: each end meets the start before it. key, seq, start, end; the last interval has no end where the log stops in it. Texts are split into marks in place, and only marks are shuffled."""
-    found = F.regexp_extract_all(F.col(text), F.lit(rf"(?:{begin}|{end}):\s*[0-9.]+"), F.lit(0))
-    marks = logs.select(key, F.posexplode(found).alias("at", "mark")).select(key, "at", F.col("mark").startswith(begin).alias("opens"), F.regexp_extract("mark", r"([0-9.]+)$", 1).try_cast("double").alias("t"))
+    found = F.regexp_extract_all(F.col(text), F.lit(rf"(?:{begin}|{end}):\s*{CLOCK}"), F.lit(0))
+    marks = logs.select(key, F.posexplode(found).alias("at", "mark")).select(key, "at", F.col("mark").startswith(begin).alias("opens"), F.regexp_extract("mark", rf"({CLOCK})$", 1).try_cast("double").alias("t"))
     order = Window.partitionBy(key).orderBy("at")
     paired = marks.withColumns({"closes": F.lead("opens").over(order) == False, "end": F.lead("t").over(order), "more": F.lead("at").over(order).isNotNull()}).where("opens")  # noqa: E712
     return paired.where(F.col("closes") | ~F.col("more")).select(key, F.row_number().over(order).alias("seq"), F.col("t").alias("start"), F.when(F.col("closes"), F.col("end")).alias("end"))
