@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows of either side that meet in one task's group, on average.
 PIECE = 4096
+#: Of a group, so many queries are compared at once; of what a task tells, so many rows go out at once.
+SLICE = 256
 #: Scores are compared at so many digits; bounds leave room for a difference of one in the last of them.
 DIGITS = 5
 
@@ -61,7 +63,9 @@ def visits(queries: DataFrame, pivots: np.ndarray, near: np.ndarray, far: np.nda
             wanted = least <= most[:, None] + 1e-9
             wanted[np.arange(len(b)), b["block"]] = False
             q, block = np.nonzero(wanted)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[q], "vec": b["vec"].to_numpy()[q], "block": block})
+            for i in range(0, len(q), PIECE):
+                own = q[i : i + PIECE]
+                yield pd.DataFrame({"id": b["id"].to_numpy()[own], "vec": b["vec"].to_numpy()[own], "block": block[i : i + PIECE]})
 
     return queries.mapInPandas(of, f"id {dict(queries.dtypes)['id']}, vec array<double>, block int")
 
@@ -81,12 +85,15 @@ def met(queries: DataFrame, refs: DataFrame) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "score": [], "ref": []})
         b = b.sort_values("id", kind="stable")
-        s = np.round(np.stack(a["vec"]) @ np.stack(b["vec"]).T, DIGITS)
-        s[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
-        at = s.argmax(axis=1)  # the first of equal ones
-        best = s[np.arange(len(a)), at]
+        ids, refs, x, y = a["id"].to_numpy(), b["id"].to_numpy(), np.stack(a["vec"]), np.stack(b["vec"]).T
+        at, best = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        for i in range(0, len(ids), SLICE):
+            s = np.round(x[i : i + SLICE] @ y, DIGITS)
+            s[ids[i : i + SLICE, None] == refs[None, :]] = -np.inf
+            at[i : i + SLICE] = s.argmax(axis=1)  # the first of equal ones
+            best[i : i + SLICE] = s.max(axis=1)
         some = np.isfinite(best)
-        return pd.DataFrame({"id": a["id"].to_numpy()[some], "score": best[some], "ref": b["id"].to_numpy()[at[some]]})
+        return pd.DataFrame({"id": ids[some], "score": best[some], "ref": refs[at[some]]})
 
     keys = ("block", "qp", "rp")
     return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(of, f"id {kind}, score double, ref {kind}")
@@ -116,3 +123,51 @@ def best_matches(queries: DataFrame, refs: DataFrame, written, most_pivots: int
     first = written(best_of(met(q, r)), "first")
     asked = q.join(first.select("id", F.col("score").alias("best")), "id", "left").select("id", "vec", "block", "best")
     return best_of(first.select("id", "score", "ref").unionByName(met(written(visits(asked, pivots, near, far), "visits"), r)))
+
+
+def _against(x: list, y: list) -> np.ndarray:
+    """Cosines of vectors; -1 where lengths differ or one has no direction, NaN where a component is none."""
+    out = np.full((len(x), len(y)), -1.0)
+    widths = [np.array([-1 if v is None else len(v) for v in side]) for side in (x, y)]
+    for w in np.intersect1d(*widths):
+        if w > 0:
+            i, j = (np.flatnonzero(n == w) for n in widths)
+            a, b = (np.stack([side[k] for k in own]).astype(np.float64) for side, own in ((x, i), (y, j)))
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                norm = np.outer(np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1)))
+                out[np.ix_(i, j)] = np.where(norm == 0, -1.0, (a @ b.T) / norm)
+    return out
+
+
+def best_of_all(queries: DataFrame, refs: DataFrame, piece: int = 4 * PIECE) -> DataFrame:
+    """id, score, ref and most: for each query (id, vec) the reference (id, vec) with the greatest cosine at DIGITS digits, of equal ones the least, and the greatest cosine itself; a row with the query's own id is no match.
+
+    All pairs are compared: both sides are dealt to pieces of bounded size, and each pair of pieces is a group whose
+    products of matrices are made some queries at a time. Vectors of other lengths, null, zero or with null components
+    have a cosine of -1; one with a component that is no number is NaN, which counts as the greatest.
+    """
+    whole = lambda df: df.where("id is not null").select("id", F.when(~F.exists("vec", lambda v: v.isNull()), F.col("vec")).alias("vec"))
+    pieces = [max(1, -(-df.count() // piece)) for df in (queries, refs)]
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = whole(queries).select("id", "vec", own(pieces[0]).alias("qp"), every(pieces[1]).alias("rp"))
+    r = whole(refs).select("id", "vec", own(pieces[1]).alias("rp"), every(pieces[0]).alias("qp"))
+    kind = dict(queries.dtypes)["id"]
+
+    def of(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id", kind="stable")
+        ids, others, x, y = a["id"].to_numpy(), b["id"].to_numpy(), list(a["vec"]), list(b["vec"])
+        out = [pd.DataFrame({"id": ids[:0], "score": np.zeros(0), "ref": others[:0], "most": np.zeros(0)})]
+        for i in range(0, len(ids) if len(others) else 0, SLICE):
+            s = _against(x[i : i + SLICE], y)
+            s[np.isnan(s)] = np.inf
+            s[ids[i : i + SLICE, None] == others[None, :]] = -np.inf
+            most, s = s.max(axis=1), np.round(s, DIGITS)
+            at, some = s.argmax(axis=1), most > -np.inf
+            out.append(pd.DataFrame({"id": ids[i : i + SLICE][some], "score": s.max(axis=1)[some], "ref": others[at[some]], "most": most[some]}))
+        return pd.concat(out)
+
+    found = q.groupBy("qp", "rp").cogroup(r.groupBy("qp", "rp")).applyInPandas(of, f"id {kind}, score double, ref {kind}, most double")
+    told = lambda c: F.when(c == float("inf"), float("nan")).otherwise(c)
+    best = found.groupBy("id").agg(F.max("score").alias("score"), F.min_by("ref", F.struct(-F.col("score"), "ref")).alias("ref"), F.max("most").alias("most"))
+    return best.withColumns({"score": told(F.col("score")), "most": told(F.col("most"))})

@@ -48,3 +48,32 @@ def test_profiles_of_all_rows(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = catalog.QUERIES["profile_matches_all"](spark, str(tmp_path)).collect()
     assert {r["vec_id"]: r["person"] for r in got} == {0: 3, 60: 5}
+
+
+def test_best_of_all_in_pieces(spark):
+    """Many small pieces give what one large one gives; vectors without a direction score -1, ones of another length too."""
+    import random
+
+    from quorumlake.functions import nearest
+
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)] + [(300, [0.0] * 4), (301, None), (302, [1.0]), (303, [1.0, None, 0.0, 0.0]), (304, rng.choices([0.5], k=4)), (305, [0.5] * 4)]
+    e = spark.createDataFrame(rows, "id long, vec array<float>")
+    asked = e.where("id % 7 = 0 or id >= 300")
+    one, many = ({r["id"]: tuple(r) for r in nearest.best_of_all(asked, e, piece).collect()} for piece in (1000, 40))
+    assert one == many and len(one) == asked.count()
+    assert one[304][1:3] == (1.0, 305) and one[305][2] == 304
+    assert all(one[i][1:] == (-1.0, 0, -1.0) for i in (300, 301, 302, 303))
+
+
+def test_visits_leave_in_small_batches(spark):
+    import numpy as np
+
+    from quorumlake.functions import nearest
+
+    pivots = np.eye(32)
+    q = spark.range(3000, numPartitions=1).selectExpr("id", "transform(sequence(1, 32), i -> 0.17677669529663687D) AS vec", "0 AS block", "CAST(NULL AS double) AS best")
+    visited = nearest.visits(q, pivots, np.zeros(32), np.full(32, 2.0))
+    counts = visited.mapInPandas(lambda batches: (type(b)({"n": [len(b)]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in counts) == 3000 * 31
+    assert nearest.SLICE * nearest.PIECE * 8 <= 16_000_000
