@@ -96,15 +96,15 @@ def turn_metrics(gold: DataFrame, said: DataFrame, mapping: DataFrame, by: list[
 
 
 def chapter_of_links(links: DataFrame, chapters: DataFrame, by: list[str], pattern: str) -> DataFrame:
-    """links (by, link_id, label, url) with chapter: the first whose identifiers, or whose whole title if it has none, the link's text holds; null without one. chapters: by, chapter, title. The join is on the agenda's key."""
+    """links (by, link_id, label, url) with chapter: the first whose identifiers, or whose whole title if it has none, the link's text holds; null without one. chapters: by, chapter, title. An agenda's chapters are one array, joined on its key; links are shuffled once."""
     squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     text = squeeze(F.concat_ws(" ", F.coalesce("label", F.lit("")), "url"))
     ids = F.regexp_extract_all(F.col("title"), F.lit(pattern), F.lit(0))
-    both = links.join(chapters.where("title <> ''").select(*by, "chapter", "title", ids.alias("own_ids")), by)
-    whole = lambda i: F.regexp_count(text, F.concat(F.lit(r"(?<![0-9a-z])\Q"), F.lower(i), F.lit(r"\E(?![0-9a-z])"))) > 0
-    fits = F.when(F.size("own_ids") > 0, F.exists("own_ids", whole)).otherwise(F.contains(text, squeeze(F.col("title"))))
-    first = both.where(fits).groupBy(*by, "link_id").agg(F.min("chapter").alias("chapter"))
-    return links.join(first, [*by, "link_id"], "left")
+    agenda = chapters.where("title <> ''").groupBy(*by).agg(F.collect_list(F.struct("chapter", squeeze(F.col("title")).alias("title"), ids.alias("ids"))).alias("own_agenda"))
+    whole = lambda i: F.regexp_count(F.col("own_text"), F.concat(F.lit(r"(?<![0-9a-z])\Q"), F.lower(i), F.lit(r"\E(?![0-9a-z])"))) > 0
+    fits = lambda c: F.when(F.size(c["ids"]) > 0, F.exists(c["ids"], whole)).otherwise(F.contains(F.col("own_text"), c["title"]))
+    both = links.withColumn("own_text", text).join(agenda, by, "left")
+    return both.select(*by, *[c for c in links.columns if c not in by], F.array_min(F.transform(F.filter("own_agenda", fits), lambda c: c["chapter"])).alias("chapter"))
 
 
 def _ratio(left: Column, right: Column) -> Column:

@@ -10,7 +10,7 @@ from quorumlake.plans.catalog import query
 from quorumlake.plans.ledgers import QUERIES, SQL
 from quorumlake.sources import payloads, readers
 from quorumlake.sources.readers import table
-from quorumlake.sources.scratch import fresh_folder
+from quorumlake.sources.scratch import fresh_folder, spread
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -287,7 +287,8 @@ def links_of_chapters(spark, sf):
     """Links that name a case of one of two chapters, or its title, or nothing."""
     n = F.col("l_linenumber")
     label = F.when(n % 3 == 0, "The  Budget Hearing file").when(n % 3 == 1, F.concat(F.lit("Backup PD20-"), F.col("l_orderkey"))).otherwise("map")
-    links = table(spark, sf, "lineitem").select("l_orderkey", n.alias("link_id"), label.alias("label"), F.lit("https://x").alias("url"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    links = spread(lines, lines.count(), "l_orderkey").select("l_orderkey", n.alias("link_id"), label.alias("label"), F.lit("https://x").alias("url"))
     keys = links.select("l_orderkey").distinct()
     chapters = keys.select("l_orderkey", F.lit(0).cast("long").alias("chapter"), F.concat(F.lit("Zoning Case PD20-"), F.col("l_orderkey")).alias("title")).unionByName(keys.select("l_orderkey", F.lit(1).cast("long").alias("chapter"), F.lit("Budget hearing").alias("title")))
     return judging.chapter_of_links(links, chapters, ["l_orderkey"], r"[A-Z]{1,4}\d{2}-\d+").select("l_orderkey", "link_id", "chapter")

@@ -25,6 +25,15 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that a task of a spread frame holds, on average.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """The frame by hash of columns in as many partitions as its rows ask for, so that a task's share doesn't grow with them; what groups by these columns needs no other shuffle."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *by)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written once and read from there."""
     path = fresh_folder(df.sparkSession, name)
