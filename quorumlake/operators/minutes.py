@@ -79,5 +79,7 @@ def vote_rows(df: DataFrame, key: str, text: str, roster: DataFrame | None = Non
     votes = carried.where(F.col("own_line").rlike(VOTE_WORD)).select(key, "line", "agenda_item", F.left("own_line", F.lit(500)).alias("evidence"), F.explode(F.concat(first, second)).alias("own_vote")).select(key, "line", "agenda_item", "own_vote.member", "own_vote.value", "evidence")
     if roster is None:
         return votes
-    known = roster.groupBy(key, name_key(F.col("name")).alias("own_key")).agg(F.max("name").alias("own_name"))
-    return votes.withColumn("own_key", name_key(F.col("member"))).join(known, [key, "own_key"]).withColumn("member", F.col("own_name")).drop("own_key", "own_name")
+    known = roster.groupBy(key).agg(F.collect_set(F.struct(name_key(F.col("name")).alias("k"), F.col("name").alias("name"))).alias("own_known"))
+    same = F.transform(F.filter("own_known", lambda x: x["k"] == F.col("own_key")), lambda x: x["name"])
+    met = votes.withColumn("own_key", name_key(F.col("member"))).join(known, key)
+    return met.withColumn("member", F.array_max(same)).where("member is not null").drop("own_key", "own_known")

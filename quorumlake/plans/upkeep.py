@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quorumlake.operators import audit, limits, minutes, normalize, timeline
 from quorumlake.plans.catalog import QUERIES, SQL, query
 from quorumlake.sources.readers import table
+from quorumlake.sources.scratch import spread
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -27,6 +28,7 @@ VOTES = r"""CASE WHEN p_size % 2 = 0 THEN 'Item ' || p_size || '. Budget ' || p_
 SELECT p_partkey, 1 + d AS line, item, p_name AS member, 'yes' AS value FROM p UNION ALL SELECT p_partkey, 1 + d, item, 'BOB JONES', 'no' FROM p UNION ALL SELECT p_partkey, 2 + d, item, 'BOB JONES', 'abstain' FROM p""")
 def vote_rows(spark, sf):
     part = table(spark, sf, "part")
+    part = spread(part.select("p_partkey", "p_name", "p_size"), part.count(), "p_partkey")
     texts = part.select("p_partkey", F.expr(VOTES.replace("chr(10)", "char(10)")).alias("text"))
     roster = part.select("p_partkey", F.explode(F.array("p_name", F.lit("BOB JONES"))).alias("name"))
     return minutes.vote_rows(texts, "p_partkey", "text", roster).select("p_partkey", "line", F.col("agenda_item").alias("item"), "member", "value")
