@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.sources.scratch import spread
+
 #: Counters of a feed's row, by state.
 STATES = ("linked_video", "served", "stale", "pending", "deferred", "dead", "transient_error")
 SUMS = ("episodes", "hosted", *STATES, "hours_hosted", "hours_linked", "gb_stored", "tx_synced", "tx_text", "tx_none")
@@ -60,8 +62,9 @@ def feed_rows(records: DataFrame, by: list[str], max_kbps: int) -> DataFrame:
     return made.withColumn("health", F.when(bad, "error").when(waits, "warn").otherwise("ok"))
 
 
-def source_actuals(records: DataFrame, keys: list[str], max_kbps: int) -> DataFrame:
-    """The same measures over everything, each record of several feeds being counted once."""
+def source_actuals(records: DataFrame, keys: list[str], max_kbps: int, rows: int | None = None) -> DataFrame:
+    """The same measures over everything, each record of several feeds being counted once; rows tells how many there are, where known, so that tasks get shares of bounded size."""
+    records = records if rows is None else spread(records, rows, *keys)
     return records.dropDuplicates(keys).agg(*[c.alias(n) for n, c in _measures(records, max_kbps).items()])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.operators.normalize import body_key, plain_key
+from quorumlake.sources.scratch import written
 
 # Ranks of the buckets that publishable work comes from.
 BUCKETS = ("feed_visible", "recent_archive", "deep_archive")
@@ -59,8 +60,19 @@ def ordered(df: DataFrame, keys: list[list[Column]], ordinal: str) -> DataFrame:
 
 
 def positions(df: DataFrame, by: list[str], keys: list[list[Column]], ordinal: str, name: str = "position") -> DataFrame:
-    """The place of each row in the order, within its group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*[c for k in keys for c in k], ordinal)))
+    """The place of each row in the order, within its group; without a group, among all rows.
+
+    All rows are sorted by ranges and written once; a range's rows are numbered in it and begin after those of the ranges
+    before it, of which one number each is told.
+    """
+    order = [c for k in keys for c in k]
+    if by:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order, ordinal)))
+    sorted_rows = written(df.orderBy(*order, ordinal).withColumn("own_range", F.spark_partition_id()).withColumn("own_id", F.monotonically_increasing_id()), "ordered")
+    counts = sorted_rows.groupBy("own_range").agg(F.count("*").alias("own_n"), F.min("own_id").alias("own_first"))
+    before = counts.withColumn("own_before", F.coalesce(F.sum("own_n").over(Window.orderBy("own_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.col("own_before") + F.col("own_id") - F.col("own_first") + 1
+    return sorted_rows.join(F.broadcast(before), "own_range").select(*df.columns, place.cast("int").alias(name))
 
 
 def manifest(records: DataFrame, artifacts: dict[str, Column], done: dict[str, Column]) -> DataFrame:

@@ -9,6 +9,7 @@ from quorumlake.functions import quotes
 from quorumlake.operators import bodies, judging, limits, people, status, timeline, workqueue
 from quorumlake.plans.catalog import QUERIES, SQL, query
 from quorumlake.sources.readers import table
+from quorumlake.sources.scratch import spread
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -114,10 +115,11 @@ def feed_status(spark, sf):
 @query(f"WITH {RECORDS_SQL}, u AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM t WHERE l_linenumber = 1 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING count(*) > 1)) SELECT {MEASURES_SQL} FROM u")
 def source_status(spark, sf):
     """Each record counted once, though two feeds hold it."""
-    first = records(spark, sf).where("l_linenumber = 1")
+    n = table(spark, sf, "lineitem").count()
+    first = spread(records(spark, sf).where("l_linenumber = 1"), n, "l_orderkey")
     single = first.groupBy("l_orderkey").agg(F.count("*").alias("c")).where("c = 1").select("l_orderkey")
     both = first.join(single, "l_orderkey", "left_semi")
-    return status.source_actuals(both.unionByName(both.withColumn("feed", F.lit(0).cast("long"))), ["l_orderkey", "l_linenumber"], 64)
+    return status.source_actuals(both.unionByName(both.withColumn("feed", F.lit(0).cast("long"))), ["l_orderkey", "l_linenumber"], 64, n)
 
 
 @query(f"""WITH {FEEDS_SQL} SELECT s_nationkey AS city, count(*) AS feeds, string_agg(DISTINCT 'p' || feed % 3, ', ' ORDER BY 'p' || feed % 3) AS provider, {", ".join(f"round(sum({c}), {4 if c == 'gb_stored' else 2}) AS {c}" if c in ("hours_hosted", "hours_linked", "gb_stored") else f"sum({c})::BIGINT AS {c}" for c in status.SUMS)},
@@ -261,7 +263,7 @@ def work(spark: SparkSession, sf: str) -> DataFrame:
 CASE WHEN published >= TIMESTAMP '1998-06-01' - INTERVAL 90 DAY THEN 0 ELSE 1 END, CASE WHEN published >= TIMESTAMP '1998-06-01' - INTERVAL 90 DAY THEN -epoch_us(published) ELSE 0 END, k)::INT AS position FROM w""")
 def policy_order(spark, sf):
     keys = [workqueue.feed_visible_first(F.col("bucket")), workqueue.long_first(F.col("work_class"), F.col("hours"), 4.0, ("transcript",)), workqueue.city_order(F.col("city").cast("string"), ["3", "1"]), workqueue.recency(F.col("published"), "1998-06-01", within_days=90)]
-    return workqueue.positions(work(spark, sf).withColumn("own_all", F.lit(1)), ["own_all"], keys, "k").select("k", "position")
+    return workqueue.positions(work(spark, sf), [], keys, "k").select("k", "position")
 
 
 @query(f"""WITH {WORK_SQL} SELECT k, row_number() OVER (PARTITION BY city ORDER BY CASE WHEN published >= TIMESTAMP '1998-06-01' - INTERVAL 365 DAY THEN 0 ELSE 1 END, CASE bucket WHEN 'deep_archive' THEN 0 ELSE 1 END, bucket, published, k)::INT AS position FROM w""")
@@ -650,7 +652,8 @@ def tfidf_rows(spark, sf):
 @query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS u, max(l_discount) AS s, max(l_tax) AS t FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, u) AS x, row_number() OVER (PARTITION BY k ORDER BY t DESC, u) AS y FROM a)
 SELECT DISTINCT k, unnest(range(greatest(u - 1, 0), u + 2)) AS u FROM r WHERE x = 1 OR y = 1""")
 def ranked_neighbours(spark, sf):
-    a = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("u")).agg(F.max("l_discount").alias("s"), F.max("l_tax").alias("t"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("u"), "l_discount", "l_tax")
+    a = spread(rows, rows.count(), "k").groupBy("k", "u").agg(F.max("l_discount").alias("s"), F.max("l_tax").alias("t"))
     return quotes.with_neighbours([a.select("k", "u", "s"), a.select("k", "u", F.col("t").alias("s"))], ["k"], "u", "s", 1, 1).select("k", F.col("u").cast("long").alias("u"))
 
 
