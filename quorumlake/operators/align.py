@@ -8,9 +8,10 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 
 def plain_words(text: Column) -> Column:
@@ -41,15 +42,8 @@ def error_rates(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     ).drop("_a", "_b")
 
 
-def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All edit distances of prefixes; a row is closed under insertion by one running minimum."""
-    steps = np.arange(len(b) + 1)
-    rows = [steps]
-    for i, word in enumerate(a, 1):
-        above = rows[-1]
-        open_row = np.concatenate(([i], np.minimum(above[1:] + 1, above[:-1] + (b != word))))
-        rows.append(np.minimum.accumulate(open_row - steps) + steps)
-    return np.stack(rows)
+#: Up to so many cells, 8 MB, a table of distances is kept whole.
+MOST_CELLS = 1_000_000
 
 
 def _next_row(above: np.ndarray, i: int, word: object, b: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -60,16 +54,19 @@ def _next_row(above: np.ndarray, i: int, word: object, b: np.ndarray, steps: np.
 def word_pairs(a: np.ndarray, b: np.ndarray) -> list[tuple[int | None, int | None]]:
     """The places that a best alignment puts together, None for a word alone: from the end on a pair where one is optimal, else a word of a, else one of b.
 
-    Of the table only every root(n)-th row is kept; the rows between two of them are made again when the way back enters
+    A table up to MOST_CELLS is kept whole. Of a larger one only every root(n)-th row is kept; the rows between two of them are made again when the way back enters
     them. So 2 root(n) rows are held, and each is made twice.
     """
     n, steps, width = len(a), np.arange(len(b) + 1), max(1, math.isqrt(len(a)))
-    kept, row = {0: steps}, steps
+    kept, row, small = {0: steps}, steps, len(a) * len(b) <= MOST_CELLS
+    rows, base = ([steps], 0) if small else ([], None)
     for i in range(1, n + 1):
         row = _next_row(row, i, a[i - 1], b, steps)
-        if i % width == 0:
+        if small:
+            rows.append(row)
+        elif i % width == 0:
             kept[i] = row
-    out, i, j, rows, base = [], n, len(b), [], None
+    out, i, j = [], n, len(b)
     while i or j:
         if base is None or i - 1 < base and i:
             base = (i - 1) // width * width if i else 0
@@ -110,33 +107,25 @@ def _deltas(a: np.ndarray, b: np.ndarray, at: np.ndarray, bt: np.ndarray) -> tup
     """Agreement of two word lists, and the mean distance in time of the words that an alignment puts together."""
     if not len(a) or not len(b):
         return (1.0 if len(a) == len(b) else 0.0), 0.0
-    d = _table(a, b)
-    i, j, apart = len(a), len(b), []
-    while i and j:  # a pair where one is optimal, else a word of the left side, else one of the right side
-        if d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            if at[i] > 0 or bt[j] > 0:
-                apart.append(abs(at[i] - bt[j]))
-        elif d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
-    return 1.0 - d[-1, -1] / max(len(a), len(b)), float(np.mean(apart)) if apart else 0.0
+    pairs = word_pairs(a, b)
+    apart = [abs(at[i] - bt[j]) for i, j in pairs if i is not None and j is not None and (at[i] > 0 or bt[j] > 0)][::-1]
+    edits = sum(i is None or j is None or a[i] != b[j] for i, j in pairs)
+    return 1.0 - edits / max(len(a), len(b)), float(np.mean(apart)) if apart else 0.0
 
 
 def timed_agreement(df: DataFrame, left: str, right: str, drift: float = 0.8) -> DataFrame:
     """Adds agreement, delta and drifts for two columns array<struct<word, start>>, which hold clips; null counts as empty."""
 
-    @pandas_udf("agreement double, delta double")
-    def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @arrow_udf("agreement double, delta double")
+    def compare(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for lefts, rights in batches:
             out = []
-            for x, y in zip(lefts, rights, strict=True):
-                x, y = ([] if v is None else v for v in (x, y))
+            for x, y in zip(lefts, rights, strict=True):  # a row at a time; the batch itself stays in Arrow
+                x, y = (v.as_py() or [] for v in (x, y))
                 words = [np.array([u["word"] for u in side], dtype=object) for side in (x, y)]
                 times = [np.array([u["start"] or 0.0 for u in side], dtype=float) for side in (x, y)]
                 out.append(_deltas(*words, *times))
-            yield pd.DataFrame(out, columns=["agreement", "delta"])
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in out], pa.float64()) for i in (0, 1)], ["agreement", "delta"])
 
     return df.withColumn("_m", compare(left, right)).select(*df.columns, "_m.*").withColumn("drifts", F.col("delta") > drift)
 

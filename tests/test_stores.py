@@ -41,3 +41,31 @@ def test_marks_after_ten_million_seconds(spark):
     """Spark writes a double from 10**7 on with an exponent."""
     logs = spark.createDataFrame([("a", 12345678.5), ("b", 2.5)], "k string, at double").select("k", F.concat(F.lit("x_start: "), "at", F.lit("\nx_end: "), F.col("at") + 1, F.lit(" | more\n")).alias("log"))
     assert [tuple(r) for r in timeline.marked_intervals(logs, "k", "log", "x_start", "x_end").orderBy("k").collect()] == [("a", 1, 12345678.5, 12345679.5), ("b", 1, 2.5, 3.5)]
+
+
+def test_all_rows_are_placed_without_one_task(spark):
+    from quorumlake.operators import workqueue
+
+    rows = spark.range(1000, numPartitions=5).withColumn("v", F.col("id") * 7 % 10)
+    got = workqueue.positions(rows, [], [[F.col("v").desc()]], "id")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["id"] for r in got.orderBy("position").collect()] == [r["id"] for r in sorted(rows.collect(), key=lambda r: (-r["v"], r["id"]))]
+    assert "row_number()" not in plan and got.agg(F.max("position")).first()[0] == 1000
+
+
+def test_partitions_follow_the_rows(spark):
+    from quorumlake.sources.scratch import TASK_ROWS, spread
+
+    assert spread(spark.range(10), 40 * TASK_ROWS, "id").rdd.getNumPartitions() == 40
+    assert spread(spark.range(10), 10, "id").rdd.getNumPartitions() == 8
+
+
+def test_long_turns_are_aligned_in_little_memory(spark, monkeypatch):
+    import numpy as np
+
+    from quorumlake.operators import align
+
+    a, b = (np.array([f"w{(i * k) % 31}" for i in range(200)], object) for k in (3, 5))
+    whole = align.word_pairs(a, b), align._deltas(a, b, np.arange(200.0), np.arange(200.0))
+    monkeypatch.setattr(align, "MOST_CELLS", 100)
+    assert (align.word_pairs(a, b), align._deltas(a, b, np.arange(200.0), np.arange(200.0))) == whole
