@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Up to so many terms asked for, and pieces of them, are told to every task: the vocabulary then stays where it lies.
+MOST_TOLD = 200_000
+
+
 def edits_for(term: Column, fuzzy: float, most: int = 6) -> Column:
     """How many edits a term allows: a share of its letters below 1, rounded half up and at most ``most``; else the number itself."""
     return (F.least(F.lit(most), F.floor(F.length(term) * fuzzy + 0.5)) if fuzzy < 1 else F.lit(int(fuzzy))).cast("int")
@@ -46,16 +50,18 @@ def near_terms(vocabulary: DataFrame, asked: DataFrame, fuzzy: float, prefix: bo
     letters and ``more`` those beyond; any other within the edits allowed weighs fuzzy_weight n / (n + edits).
     """
     size = F.length("term")
+    held = lambda df: F.broadcast(df) if df.limit(MOST_TOLD + 1).count() <= MOST_TOLD else df
+    asked = held(asked.select("asked"))
     found = vocabulary.join(asked.select("asked", F.col("asked").alias("term")), "term").select("asked", "term", F.lit(1.0).alias("weight"))
     if prefix:
         lengths = asked.select(F.length("asked").alias("own_n")).distinct()
-        cut = vocabulary.where(size > 1).select("term", F.explode(F.sequence(F.lit(1), size - 1)).alias("own_n")).join(lengths, "own_n")
+        cut = vocabulary.where(size > 1).select("term", F.explode(F.sequence(F.lit(1), size - 1)).alias("own_n")).join(F.broadcast(lengths), "own_n")
         begun = cut.select("term", F.substring(F.col("term"), F.lit(1), F.col("own_n")).alias("asked")).join(asked, "asked")
         found = found.unionByName(begun.select("asked", "term", (prefix_weight * size / (size + 0.3 * (size - F.length("asked")))).alias("weight")))
     told = asked.select("asked", edits_for(F.col("asked"), fuzzy, most_edits).alias("k"))
     most = told.agg(F.max("k")).first()[0] or 0
     if most > 0:
-        met = pieces(vocabulary, most).join(probes(told), ["k", "size", "i", "piece"]).select("asked", "term", "k").distinct()
+        met = pieces(vocabulary, most).join(held(probes(told)), ["k", "size", "i", "piece"]).select("asked", "term", "k").distinct()
         far = met.withColumn("far", F.levenshtein("asked", "term")).where("far between 1 and k")
         if prefix:
             far = far.where(~F.startswith("term", "asked"))
