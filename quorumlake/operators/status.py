@@ -62,10 +62,16 @@ def feed_rows(records: DataFrame, by: list[str], max_kbps: int) -> DataFrame:
     return made.withColumn("health", F.when(bad, "error").when(waits, "warn").otherwise("ok"))
 
 
+#: What the measures are made of, in the order by which one of a record's unlike rows is chosen: the least, null first.
+MEASURED = ("published", "state", "served_seconds", "source_seconds", "bytes", "synced", "transcript_key")
+
+
 def source_actuals(records: DataFrame, keys: list[str], max_kbps: int, rows: int | None = None) -> DataFrame:
-    """The same measures over everything, each record of several feeds being counted once; rows tells how many there are, where known, so that tasks get shares of bounded size."""
+    """The same measures over everything, each record of several feeds being counted once: of its rows the one published first, and of those the least by MEASURED. rows tells how many there are, where known, so that tasks get shares of bounded size."""
+    records = records.select(*keys, *MEASURED)
     records = records if rows is None else spread(records, rows, *keys)
-    return records.dropDuplicates(keys).agg(*[c.alias(n) for n, c in _measures(records, max_kbps).items()])
+    first = records.groupBy(*keys).agg(F.min(F.struct(*MEASURED)).alias("own")).select("own.*")
+    return first.agg(*[c.alias(n) for n, c in _measures(first, max_kbps).items()])
 
 
 def city_rows(feeds: DataFrame, city: str, provider: str) -> DataFrame:

@@ -12,6 +12,21 @@ def values(spark, texts, fn):
     return [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").orderBy("k").select(fn(F.col("t"))).collect()]
 
 
+def test_all_records_are_counted_once(spark, tmp_path):
+    """Records of all line numbers, also those of several rows: of these the one published first, whatever their order."""
+    from quorumlake.plans import archive
+
+    day = lambda d: datetime.datetime(2020, 1, d)
+    rows = [(1, 4, 3, 1, 60.0, 2e6, "N", day(1)), (1, 8, 6, 3, 60.0, 4e6, "N", day(2)), (1, 5, 6, 3, 60.0, 8e6, "N", day(3)), (2, 4, 3, 1, 60.0, 1e6, "N", day(5)), (2, 4, 3, 1, 60.0, 1e6, "N", day(5)), (2, 4, 3, 1, 60.0, 9e6, "N", day(5)), (3, 9, 6, 7, 60.0, 1e6, "A", day(4)), (None, 11, 3, 2, 60.0, 1e6, "R", day(4))]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp"
+    told = []
+    for n, own in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(own, schema).repartition(3).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        told.append(archive.source_status(spark, f"{tmp_path}/{n}").first().asDict())
+    assert told[0] == told[1]
+    assert {k: told[0][k] for k in ("episodes", "hosted", "served", "stale", "pending", "gb_stored", "last_published")} == {"episodes": 5, "hosted": 3, "served": 2, "stale": 1, "pending": 1, "gb_stored": 7.0, "last_published": "2020-01-05"}
+
+
 def test_names_of_bodies(spark):
     assert values(spark, ["City Council on 2026-05-19 4:00 PM", "ZONING COMMISSION", "Evening City Council - Regular Session", "Special"], bodies.canonical_body) == ["City Council", "Zoning Commission", "City Council", "Special"]
     assert values(spark, ["City Council on 2026-05-19 4:00 PM - May 19, 2026", "Board of Adjustment - May 20, 2026", "City Council Worksession 5-26-26 - May 26, 2026", " - "], bodies.titled_body) == ["City Council", "Board of Adjustment", "City Council Worksession", None]
