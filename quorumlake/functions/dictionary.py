@@ -25,9 +25,10 @@ def _piece_at(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
     return F.floor(length * i / (k + 1)), F.floor(length * (i + 1) / (k + 1))
 
 
-def pieces(vocabulary: DataFrame, most: int) -> DataFrame:
-    """term and its pieces (k, size, i, piece) for each number of edits up to ``most``."""
-    cut = vocabulary.select("term", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).select("term", "k", F.length("term").alias("size"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+def pieces(vocabulary: DataFrame, most: int, wanted: DataFrame) -> DataFrame:
+    """term and its pieces (k, size, i, piece) for each number of edits up to ``most`` that is wanted (k, size) for its size."""
+    sized = vocabulary.select("term", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).select("term", "k", F.length("term").alias("size"))
+    cut = sized.join(F.broadcast(wanted), ["k", "size"]).select("term", "k", "size", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
     a, b = _piece_at(F.col("size"), F.col("k"), F.col("i"))
     return cut.select("term", "k", "size", "i", F.substring("term", (a + 1).cast("int"), (b - a).cast("int")).alias("piece"))
 
@@ -61,7 +62,8 @@ def near_terms(vocabulary: DataFrame, asked: DataFrame, fuzzy: float, prefix: bo
     told = asked.select("asked", edits_for(F.col("asked"), fuzzy, most_edits).alias("k"))
     most = told.agg(F.max("k")).first()[0] or 0
     if most > 0:
-        met = pieces(vocabulary, most).join(held(probes(told)), ["k", "size", "i", "piece"]).select("asked", "term", "k").distinct()
+        sought = probes(told)
+        met = pieces(vocabulary, most, sought.select("k", "size").distinct()).join(held(sought), ["k", "size", "i", "piece"]).select("asked", "term", "k").distinct()
         far = met.withColumn("far", F.levenshtein("asked", "term")).where("far between 1 and k")
         if prefix:
             far = far.where(~F.startswith("term", "asked"))
